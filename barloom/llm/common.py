@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +52,16 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         start = stop
 
 
-_PART = re.compile(r"[^\x20\x09-\x0D]+")
+def runs_of(texts: list[str], most: int = 1 << 20) -> Iterator[slice]:
+    """Consecutive parts of about `most` code points, of one text at least."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= most:
+            yield slice(start, i + 1)
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,3 +92,35 @@ def training_ids(documents: DataFrame, labels: DataFrame, label: str, per_class:
     )
     parts = [rows.where(F.col("label") == k).orderBy("order", "doc_id").limit(per_class) for k in (0, 1)]
     return parts[0].unionByName(parts[1]).select("doc_id", "label")
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of UTF-8 texts in a row: starts, ends, 64-bit hashes of the words with
+    A-Z lowered, and for each text the number of its first word (n + 1 entries)."""
+    n = len(data)
+    word = ~_BLANK[data]
+    border = np.zeros(n + 1, bool)
+    border[offsets] = True
+    before = np.concatenate([[False], word[:-1]]) if n else word
+    starts = np.flatnonzero(word & (~before | border[:-1]))
+    after = np.concatenate([word[1:], [False]]) if n else word
+    ends = np.flatnonzero(word & (~after | border[1:])) + 1
+    first = np.searchsorted(starts, offsets)
+    if not len(starts):
+        return starts, ends, np.empty(0, np.uint64), first
+    lengths = ends - starts
+    longest = int(lengths.max())
+    powers = np.cumprod(np.full(longest + 1, 0x9E3779B97F4A7C15, np.uint64))
+    powers[-1] = 0
+    place = np.arange(starts[0], n) - np.repeat(starts, np.diff(np.concatenate([starts, [n]])))
+    np.minimum(place, longest, out=place)
+    values = (_LOWER[data[starts[0] :]].astype(np.uint64) + np.uint64(1)) * powers[place]
+    values[~word[starts[0] :]] = 0
+    hashes = np.add.reduceat(values, starts - starts[0])
+    return starts, ends, mix(hashes + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), first

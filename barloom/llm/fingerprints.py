@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import mix
+from barloom.llm.common import mix, runs_of
 
 #: k-mers of code points, and their inner substrings.
 K, S = 16, 4
@@ -129,18 +129,6 @@ def fingerprint(documents: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, fingerprint string")
 
 
-def runs_of(texts: list[str], most: int = 1 << 20) -> Iterator[slice]:
-    """Consecutive parts of about `most` code points, of one text at least."""
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= most:
-            yield slice(start, i + 1)
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def edited(text: str, following: str) -> str:
     """The last third of the code points replaced by the first as many of the following text."""
     n = len(text) // 3
@@ -221,5 +209,5 @@ def fingerprint_edits(documents: DataFrame) -> DataFrame:
     both = F.when(F.col("host").isNotNull() & F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, guest)).otherwise(F.array(own))
     dealt = rows.select("doc_id", "text", F.explode(both).alias("to")).select("doc_id", "text", "to.run", "to.guest")
     parts = max(1, min(len(tops), 20_000))
-    ordered = dealt.repartition(parts, "run").sortWithinPartitions("run", "guest", F.desc_nulls_last("doc_id"), "text")
+    ordered = dealt.repartitionById(parts, F.pmod("run", F.lit(parts))).sortWithinPartitions("run", "guest", F.desc_nulls_last("doc_id"), "text")
     return ordered.mapInArrow(_walk, EDITED)

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, fingerprints, packing, sharding, token_counts
-from barloom.llm.common import table
+from barloom.llm import chat, decontamination, fingerprints, packing, pii, quality, sharding, token_counts, toxicity
+from barloom.llm.common import held_out, table
 
 
 def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +33,34 @@ def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit(documents, table(spark, sf_dir, "labels"))
+    scored = quality.score(documents, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "attention")
+
+
+def op5_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
+
+
+def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_spans", "spans")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_syncmer_fingerprints, op3_minimax_shards, op4_chat_format, op6_viterbi_token_counts, op8_sum_of_squares_packing)
-}
+    for f in (
+        op1_syncmer_fingerprints, op2_attention_quality, op3_minimax_shards, op4_chat_format, op5_spaced_seed_decontamination, op6_viterbi_token_counts,
+        op7_weak_supervision_pii, op8_sum_of_squares_packing, op9_crf_toxicity,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
