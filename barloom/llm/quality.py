@@ -182,3 +182,18 @@ def score(documents: DataFrame, model: AttentionModel) -> DataFrame:
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, SCORED)
+
+
+def accepted(documents: DataFrame, model: AttentionModel, least: float) -> DataFrame:
+    """The rows whose score is `least` or more, with all their columns; only the text reaches Python.
+
+    Rows are judged one by one, so rows that repeat, null ids and clashing names of other columns matter not.
+    """
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], ["text"])
+        out = [model.score(*passages(part.column("text")))[0] for part in slices(batch, "text", 1 << 20)]
+        return pd.Series(np.concatenate(out) if out else np.empty(0))
+
+    return documents.where(scored(F.col("text").cast("string")) >= least)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontamination, fingerprints, packing, pii, quality, sharding, token_counts, toxicity
+from barloom.llm import chat, decontamination, fingerprints, jaccard_join, packing, pii, quality, sharding, token_counts, toxicity
 from barloom.llm.common import held_out, table
 
 
@@ -55,11 +55,15 @@ def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_spans", "spans")
 
 
+def op10_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_syncmer_fingerprints, op2_attention_quality, op3_minimax_shards, op4_chat_format, op5_spaced_seed_decontamination, op6_viterbi_token_counts,
-        op7_weak_supervision_pii, op8_sum_of_squares_packing, op9_crf_toxicity,
+        op7_weak_supervision_pii, op8_sum_of_squares_packing, op9_crf_toxicity, op10_token_group_jaccard,
     )
 }
 

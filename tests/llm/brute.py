@@ -34,3 +34,41 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 continue
             out[kind].append(m.span())
     return out
+
+
+def shingle_set(text: str | None) -> frozenset:
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    if not words:
+        return frozenset()
+    if len(words) < 5:
+        return frozenset([tuple(words)])
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+
+def jaccard_classes(documents: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+    """doc_id: (set size, smallest doc_id reachable), by comparing all documents that share a shingle."""
+    sets = {d: shingle_set(t) for d, t in documents}
+    holders: dict = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    root = {d: d for d in sets}
+
+    def find(d: int) -> int:
+        while root[d] != d:
+            root[d] = root[root[d]]
+            d = root[d]
+        return d
+
+    for d, s in sets.items():
+        common: dict[int, int] = {}
+        for x in s:
+            for e in holders[x]:
+                if e < d:
+                    common[e] = common.get(e, 0) + 1
+        for e, n in common.items():
+            if 100 * n >= 80 * (len(s) + len(sets[e]) - n):
+                a, b = sorted((find(d), find(e)))
+                root[b] = a
+    return {d: (len(s), find(d)) for d, s in sets.items()}
