@@ -23,7 +23,6 @@ def indicator(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return fn
 
 
-c, h, l, v = F.col("close"), F.col("high"), F.col("low"), F.col("volume")  # noqa: E741
 WEIGHT_SMALL = 1e-10
 
 
@@ -43,7 +42,7 @@ def roc(bars: DataFrame, period: int = 20) -> DataFrame:
 @indicator
 def ma(bars: DataFrame, period: int = 5) -> DataFrame:
     """Distance of the close from its mean, relative; 0 in the warm-up."""
-    return stages(bars, {"m": rolling(F.avg, "close", period)}, {"value": safe_divide(c - F.col("m"), F.col("m"))})
+    return stages(bars, {"m": rolling(F.avg, "close", period)}, {"value": safe_divide(F.col("close") - F.col("m"), F.col("m"))})
 
 
 @indicator
@@ -58,13 +57,13 @@ def ma_cross(bars: DataFrame, short: int = 5, long: int = 20) -> DataFrame:
 
 @indicator
 def price_above_ma(bars: DataFrame, period: int = 20) -> DataFrame:
-    return stages(bars, {"value": c - rolling(F.avg, "close", period)})
+    return stages(bars, {"value": F.col("close") - rolling(F.avg, "close", period)})
 
 
 @indicator
 def bias_momentum(bars: DataFrame, ma_period: int = 90, momentum_day: int = 25) -> DataFrame:
     """Slope of close over its long mean."""
-    return stages(bars, {"t": row_no(), "b": ratio(c, rolling(F.avg, "close", ma_period))}, {"value": rolling2(F.regr_slope, "b", "t", momentum_day)})
+    return stages(bars, {"t": row_no(), "b": ratio(F.col("close"), rolling(F.avg, "close", ma_period))}, {"value": rolling2(F.regr_slope, "b", "t", momentum_day)})
 
 
 @indicator
@@ -76,14 +75,14 @@ def mom_skip(bars: DataFrame, skip: int = 22, total: int = 252) -> DataFrame:
 @indicator
 def trend_score(bars: DataFrame, period: int = 25) -> DataFrame:
     """Yearly slope of the log close times its R squared."""
-    return stages(bars, {"t": row_no(), "y": F.log(positive(c))}, {"value": rolling2(F.regr_slope, "y", "t", period) * 252 * rolling2(F.regr_r2, "y", "t", period)})
+    return stages(bars, {"t": row_no(), "y": F.log(positive(F.col("close")))}, {"value": rolling2(F.regr_slope, "y", "t", period) * 252 * rolling2(F.regr_r2, "y", "t", period)})
 
 
 @indicator
 def trend_score_v2(bars: DataFrame, period: int = 25) -> DataFrame:
     """Compounded slope of the log close times R squared."""
     steps = {"s": rolling2(F.regr_slope, "y", "t", period), "r": F.coalesce(rolling2(F.regr_r2, "y", "t", period), F.lit(0.0))}
-    return stages(bars, {"t": row_no(), "y": F.log(positive(c))}, steps, {"value": (F.exp(F.col("s") * 250) - 1) * F.col("r")})
+    return stages(bars, {"t": row_no(), "y": F.log(positive(F.col("close")))}, steps, {"value": (F.exp(F.col("s") * 250) - 1) * F.col("r")})
 
 
 @indicator
@@ -96,7 +95,7 @@ def trend_score_v2_skip(bars: DataFrame, period: int = 252, skip: int = 22) -> D
 @indicator
 def plain_trend_score(bars: DataFrame, lookback: int = 60) -> DataFrame:
     """Yearly slope of the log close."""
-    return stages(bars, {"t": row_no(), "y": F.log(positive(c))}, {"value": rolling2(F.regr_slope, "y", "t", lookback) * 252})
+    return stages(bars, {"t": row_no(), "y": F.log(positive(F.col("close")))}, {"value": rolling2(F.regr_slope, "y", "t", lookback) * 252})
 
 
 @indicator
@@ -106,12 +105,12 @@ def momentum_score(bars: DataFrame, lookback: int = 20) -> DataFrame:
 
 @indicator
 def mean_reversion_score(bars: DataFrame, lookback: int = 20) -> DataFrame:
-    return stages(bars, {"value": -ratio(c - rolling(F.avg, "close", lookback), rolling(F.stddev_samp, "close", lookback))})
+    return stages(bars, {"value": -ratio(F.col("close") - rolling(F.avg, "close", lookback), rolling(F.stddev_samp, "close", lookback))})
 
 
 @indicator
 def ma_gap_reversal_score(bars: DataFrame, lookback: int = 20) -> DataFrame:
-    return stages(bars, {"value": -(ratio(c, rolling(F.avg, "close", lookback)) - 1)})
+    return stages(bars, {"value": -(ratio(F.col("close"), rolling(F.avg, "close", lookback)) - 1)})
 
 
 @indicator
@@ -123,7 +122,7 @@ def asset_class_momentum_score(bars: DataFrame, lookbacks: tuple[int, ...] = (20
 @indicator
 def er(bars: DataFrame, period: int = 14) -> DataFrame:
     """Efficiency ratio: net move over the path's length; 0 in the warm-up."""
-    return stages(bars, {"d": F.abs(c - lag("close"))}, {"value": safe_divide(F.abs(c - lag("close", period)), rolling(F.sum, "d", period))})
+    return stages(bars, {"d": F.abs(F.col("close") - lag("close"))}, {"value": safe_divide(F.abs(F.col("close") - lag("close", period)), rolling(F.sum, "d", period))})
 
 
 # ---- channels and oscillators
@@ -132,7 +131,7 @@ def er(bars: DataFrame, period: int = 14) -> DataFrame:
 @indicator
 def cci(bars: DataFrame, period: int = 20) -> DataFrame:
     """Typical price's distance from its mean over 0.015 mean absolute deviations."""
-    price = (h + l + c) / 3
+    price = (F.col("high") + F.col("low") + F.col("close")) / 3
     steps = {"m": rolling(F.avg, "x", period), "a": F.collect_list("x").over(frame(period))}
     spread = F.aggregate("a", F.lit(0.0), lambda s, x: s + F.abs(x - F.col("m"))) / period
     return stages(bars, {"x": price}, steps, {"value": ratio(F.col("x") - F.col("m"), spread * 0.015)})
@@ -141,7 +140,7 @@ def cci(bars: DataFrame, period: int = 20) -> DataFrame:
 @indicator
 def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
     """Strength of gains against losses by simple means; 50 where it is undefined."""
-    d = c - lag("close")
+    d = F.col("close") - lag("close")
     steps = {"g": rolling(F.avg, F.greatest(F.col("d"), F.lit(0.0)), period, period), "s": rolling(F.avg, F.greatest(-F.col("d"), F.lit(0.0)), period, period)}
     return stages(bars, {"d": F.coalesce(d, F.lit(0.0))}, steps, {"value": F.coalesce(100 - 100 / (1 + ratio("g", "s")), F.lit(50.0))})
 
@@ -150,22 +149,22 @@ def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
 def simple_rsi(bars: DataFrame, lookback: int = 14) -> DataFrame:
     d = F.col("d")
     up, down = F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))
-    return stages(bars, {"d": c - lag("close")}, {"u": up, "w": down}, {"value": F.coalesce(100 - 100 / (1 + ratio(rolling(F.avg, "u", lookback), rolling(F.avg, "w", lookback))), F.lit(50.0))})
+    return stages(bars, {"d": F.col("close") - lag("close")}, {"u": up, "w": down}, {"value": F.coalesce(100 - 100 / (1 + ratio(rolling(F.avg, "u", lookback), rolling(F.avg, "w", lookback))), F.lit(50.0))})
 
 
 @indicator
 def williams_r(bars: DataFrame, period: int = 14, standardize_window: int = 60) -> DataFrame:
     """Williams %R around its centre, damped by the trend, standardised."""
     top, bottom = rolling(F.max, "high", period), rolling(F.min, "low", period)
-    raw = safe_divide(F.col("top") - c, F.col("top") - F.col("bottom"), 0.5) * -100 + 50
-    trend = F.tanh(ratio(c - lag("close", period - 1), lag("close", period - 1)) * 10)
+    raw = safe_divide(F.col("top") - F.col("close"), F.col("top") - F.col("bottom"), 0.5) * -100 + 50
+    trend = F.tanh(ratio(F.col("close") - lag("close", period - 1), lag("close", period - 1)) * 10)
     return stages(bars, {"top": top, "bottom": bottom}, {"x": raw * (1 - F.abs(trend))}, {"value": clip(zscore("x", standardize_window), -3, 3)})
 
 
 @indicator
 def orb_relvol(bars: DataFrame, period: int = 14) -> DataFrame:
     """Volume over the mean volume up to the bar before; 1 where that is undefined."""
-    return stages(bars, {"m": rolling(F.avg, "volume", period, 1)}, {"value": safe_divide(v, lag("m"), 1.0)})
+    return stages(bars, {"m": rolling(F.avg, "volume", period, 1)}, {"value": safe_divide(F.col("volume"), lag("m"), 1.0)})
 
 
 @indicator
@@ -173,7 +172,7 @@ def donchian_channel(bars: DataFrame, period: int = 20, standardize_window: int
     """Place in the channel, its drift and width, standardised and smoothed."""
     top, bottom = rolling(F.max, "high", period), rolling(F.min, "low", period)
     width = F.col("top") - F.col("bottom")
-    place = safe_divide(c - F.col("bottom"), width, 0.5) * 2 - 1
+    place = safe_divide(F.col("close") - F.col("bottom"), width, 0.5) * 2 - 1
     drift = F.tanh(safe_divide(F.col("mid") - lag("mid", period), F.col("mid")) * 10)
     blend = F.col("place") * 0.5 + F.col("drift") * 0.3 + F.tanh(F.col("wide") * 5) * F.col("place") * 0.2
     return stages(
@@ -186,7 +185,7 @@ def donchian_channel(bars: DataFrame, period: int = 20, standardize_window: int
 @indicator
 def slowkdj(bars: DataFrame, k_period: int = 14, k_smooth: int = 3, d_smooth: int = 3, standardize_window: int = 60) -> DataFrame:
     """Slow stochastic J, as a reversal signal damped by momentum, standardised."""
-    rsv = safe_divide(c - rolling(F.min, "low", k_period), rolling(F.max, "high", k_period) - rolling(F.min, "low", k_period), 0.5) * 100
+    rsv = safe_divide(F.col("close") - rolling(F.min, "low", k_period), rolling(F.max, "high", k_period) - rolling(F.min, "low", k_period), 0.5) * 100
     return stages(
         bars, {"r": rsv}, {"k": rolling(F.avg, "r", k_smooth, 1)}, {"d": rolling(F.avg, "k", d_smooth, 1)},
         {"x": -(F.col("k") * 3 - F.col("d") * 2 - 50) / 50 * 0.7 + F.tanh((F.col("k") - F.col("d")) / 10) * 0.3},
@@ -209,13 +208,13 @@ def rsi_divergence(bars: DataFrame, rsi_period: int = 14, divergence_period: int
 @indicator
 def atr(bars: DataFrame, period: int = 14) -> DataFrame:
     """Smoothed true range."""
-    return stages(bars, {"p": lag("close")}, {"tr": F.greatest(h - l, F.abs(h - F.col("p")), F.abs(l - F.col("p")))}, {"value": ewm("tr", 1 / period)})
+    return stages(bars, {"p": lag("close")}, {"tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("p")), F.abs(F.col("low") - F.col("p")))}, {"value": ewm("tr", 1 / period)})
 
 
 @indicator
 def close_atr_proxy(bars: DataFrame, lookback: int = 14) -> DataFrame:
     """Smoothed absolute change of the close, null until `lookback` changes are there."""
-    d = F.abs(c - lag("close"))
+    d = F.abs(F.col("close") - lag("close"))
     return stages(bars, {"d": d}, {"e": ewm("d", 1 / lookback), "n": F.count("d").over(frame(1_000_000_000))}, {"value": F.when(F.col("n") >= lookback, F.col("e"))})
 
 
@@ -282,7 +281,7 @@ def vr_hurst_regime_persistence(bars: DataFrame, period: int = 100) -> DataFrame
         lambda z: z["top"] - z["low"],
     )
     steps = {"m": rolling(F.avg, "y", period), "s": rolling(F.stddev_pop, "y", period), "a": F.collect_list("y").over(frame(period))}
-    return stages(bars, {"y": F.log(positive(c))}, steps, {"value": F.when(F.col("m").isNotNull(), F.log(positive(ratio(walk, "s"))) / math.log(period) - 0.5)})
+    return stages(bars, {"y": F.log(positive(F.col("close")))}, steps, {"value": F.when(F.col("m").isNotNull(), F.log(positive(ratio(walk, "s"))) / math.log(period) - 0.5)})
 
 
 @indicator
@@ -305,7 +304,7 @@ def vr2_calmar_risk_adjusted(bars: DataFrame, period: int = 60) -> DataFrame:
         "a", F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("dd")),
         lambda z, x: F.struct(F.greatest(z["top"], x).alias("top"), F.greatest(z["dd"], 1 - x / F.greatest(z["top"], x)).alias("dd")), lambda z: z["dd"],
     )
-    return stages(bars, {"a": F.collect_list("close").over(frame(period))}, {"value": F.when(F.size("a") == period, F.tanh(ratio(c / F.element_at("a", 1) - 1, worst)))})
+    return stages(bars, {"a": F.collect_list("close").over(frame(period))}, {"value": F.when(F.size("a") == period, F.tanh(ratio(F.col("close") / F.element_at("a", 1) - 1, worst)))})
 
 
 @indicator
@@ -326,7 +325,7 @@ def vr2_return_skew_risk_premium(bars: DataFrame, period: int = 40) -> DataFrame
 @indicator
 def mr_quantile_deviation(bars: DataFrame, period: int = 60, q: float = 0.5) -> DataFrame:
     spread = rolling(F.max, "close", period) - rolling(F.min, "close", period)
-    return stages(bars, {"q": rolling(lambda x: F.percentile(x, F.lit(q)), "close", period), "s": spread}, {"value": -ratio(c - F.col("q"), "s")})
+    return stages(bars, {"q": rolling(lambda x: F.percentile(x, F.lit(q)), "close", period), "s": spread}, {"value": -ratio(F.col("close") - F.col("q"), "s")})
 
 
 @indicator
@@ -336,7 +335,7 @@ def mr_return_autocorr(bars: DataFrame, period: int = 20, lag_by: int = 5) -> Da
 
 @indicator
 def mr_tail_extreme(bars: DataFrame, period: int = 60, k: float = 2.0) -> DataFrame:
-    z = ratio(c - rolling(F.avg, "close", period), rolling(F.stddev_pop, "close", period))
+    z = ratio(F.col("close") - rolling(F.avg, "close", period), rolling(F.stddev_pop, "close", period))
     return stages(bars, {"z": z}, {"value": -F.when(F.abs("z") > k, F.signum("z") * (F.abs("z") - k)).otherwise(F.col("z") * 0.3)})
 
 
@@ -349,8 +348,8 @@ def mr_price_volume_divergence(bars: DataFrame, period: int = 20) -> DataFrame:
 
 @indicator
 def mr_vwap_deviation(bars: DataFrame, period: int = 20) -> DataFrame:
-    steps = {"w": ratio(rolling(F.sum, c * v, period), rolling(F.sum, "volume", period))}
-    return stages(bars, steps, {"value": -ratio(c - F.col("w"), "w")})
+    steps = {"w": ratio(rolling(F.sum, F.col("close") * F.col("volume"), period), rolling(F.sum, "volume", period))}
+    return stages(bars, steps, {"value": -ratio(F.col("close") - F.col("w"), "w")})
 
 
 # ---- trend and momentum factors
@@ -380,13 +379,13 @@ def tm_log_return_skew_momentum(bars: DataFrame, period: int = 20) -> DataFrame:
 
 @indicator
 def tm_path_curvature_momentum(bars: DataFrame, period: int = 20) -> DataFrame:
-    return stages(bars, {"y": F.log(positive(c))}, {"d": F.col("y") - lag("y", 1) * 2 + lag("y", 2)}, {"value": F.tanh(-rolling(F.var_samp, "d", period)) * F.signum(F.col("y") - lag("y", period))})
+    return stages(bars, {"y": F.log(positive(F.col("close")))}, {"d": F.col("y") - lag("y", 1) * 2 + lag("y", 2)}, {"value": F.tanh(-rolling(F.var_samp, "d", period)) * F.signum(F.col("y") - lag("y", period))})
 
 
 @indicator
 def tm_up_down_volume_asymmetry_momentum(bars: DataFrame, period: int = 20) -> DataFrame:
-    up = F.when(F.col("r").isNotNull(), F.when(F.col("r") > 0, v).otherwise(0.0))
-    all_ = F.when(F.col("r").isNotNull(), v)
+    up = F.when(F.col("r").isNotNull(), F.when(F.col("r") > 0, F.col("volume")).otherwise(0.0))
+    all_ = F.when(F.col("r").isNotNull(), F.col("volume"))
     return stages(bars, {"r": change()}, {"u": up, "w": all_}, {"value": (ratio(rolling(F.sum, "u", period), rolling(F.sum, "w", period)) * 2 - 1) * change("close", period)})
 
 
@@ -407,7 +406,7 @@ def tm2_ema_slope_acceleration(bars: DataFrame, fast: int = 10, slow: int = 30,
 def tm2_trend_information_ratio(bars: DataFrame, period: int = 25) -> DataFrame:
     """Slope of the log close over its residuals' deviation."""
     steps = {"s": rolling2(F.regr_slope, "y", "t", period), "e": F.sqrt(F.greatest(1 - rolling2(F.regr_r2, "y", "t", period), F.lit(0.0)) * rolling(F.var_samp, "y", period))}
-    return stages(bars, {"t": row_no(), "y": F.log(positive(c))}, steps, {"value": F.tanh(ratio("s", "e"))})
+    return stages(bars, {"t": row_no(), "y": F.log(positive(F.col("close")))}, steps, {"value": F.tanh(ratio("s", "e"))})
 
 
 @indicator
@@ -419,8 +418,8 @@ def tm2_higher_moment_trend_health(bars: DataFrame, period: int = 30, lookback:
 @indicator
 def tm2_breakout_persistence_momentum(bars: DataFrame, period: int = 20, slope_period: int = 20) -> DataFrame:
     top = rolling(F.max, "close", period)
-    flag = F.when(F.col("top").isNotNull(), (c >= F.col("top")).cast("double"))
-    return stages(bars, {"t": row_no(), "y": F.log(positive(c)), "top": top}, {"f": flag}, {"value": rolling(F.avg, "f", period) * rolling2(F.regr_slope, "y", "t", slope_period)})
+    flag = F.when(F.col("top").isNotNull(), (F.col("close") >= F.col("top")).cast("double"))
+    return stages(bars, {"t": row_no(), "y": F.log(positive(F.col("close"))), "top": top}, {"f": flag}, {"value": rolling(F.avg, "f", period) * rolling2(F.regr_slope, "y", "t", slope_period)})
 
 
 # ---- volume
@@ -440,23 +439,23 @@ def vl_volume_quantile_momentum(bars: DataFrame, period: int = 60, short: int =
 @indicator
 def vl_volume_concentration_herfindahl(bars: DataFrame, period: int = 20) -> DataFrame:
     total = rolling(F.sum, "volume", period)
-    return stages(bars, {"s": rolling(F.sum, v * v, period), "t": total}, {"value": -ratio("s", F.col("t") * F.col("t"))})
+    return stages(bars, {"s": rolling(F.sum, F.col("volume") * F.col("volume"), period), "t": total}, {"value": -ratio("s", F.col("t") * F.col("t"))})
 
 
 @indicator
 def vl_up_day_volume_share(bars: DataFrame, period: int = 20) -> DataFrame:
-    up = F.when(F.col("r").isNotNull(), F.when(F.col("r") > 0, v).otherwise(0.0))
-    return stages(bars, {"r": change()}, {"u": up, "w": F.when(F.col("r").isNotNull(), v)}, {"value": ratio(rolling(F.sum, "u", period), rolling(F.sum, "w", period)) - 0.5})
+    up = F.when(F.col("r").isNotNull(), F.when(F.col("r") > 0, F.col("volume")).otherwise(0.0))
+    return stages(bars, {"r": change()}, {"u": up, "w": F.when(F.col("r").isNotNull(), F.col("volume"))}, {"value": ratio(rolling(F.sum, "u", period), rolling(F.sum, "w", period)) - 0.5})
 
 
 @indicator
 def vl_amihud_illiquidity_inverse(bars: DataFrame, period: int = 20) -> DataFrame:
-    return stages(bars, {"x": ratio(F.abs(change()), v * c)}, {"m": rolling(F.avg, "x", period)}, {"value": F.log(positive(ratio(F.lit(1.0), "m")))})
+    return stages(bars, {"x": ratio(F.abs(change()), F.col("volume") * F.col("close"))}, {"m": rolling(F.avg, "x", period)}, {"value": F.log(positive(ratio(F.lit(1.0), "m")))})
 
 
 @indicator
 def vl_volume_acceleration(bars: DataFrame, period: int = 10) -> DataFrame:
-    return stages(bars, {"y": F.log(positive(v))}, {"m": rolling(F.avg, "y", period)}, {"value": F.col("m") - lag("m", 1) * 2 + lag("m", 2)})
+    return stages(bars, {"y": F.log(positive(F.col("volume")))}, {"m": rolling(F.avg, "y", period)}, {"value": F.col("m") - lag("m", 1) * 2 + lag("m", 2)})
 
 
 @indicator

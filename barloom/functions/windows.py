@@ -8,20 +8,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("symbol").orderBy("eob")
-DATE = Window.partitionBy("eob")
+
+def series() -> WindowSpec:
+    """A symbol's rows in time (a function, as a window needs a session)."""
+    return Window.partitionBy("symbol").orderBy("eob")
+
+
+def prefix() -> WindowSpec:
+    """A symbol's rows up to the present one."""
+    return series().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def by_date() -> WindowSpec:
+    """A date's rows."""
+    return Window.partitionBy("eob")
+
+
+def dates() -> WindowSpec:
+    """One row a date, in time: small whatever the panel."""
+    return Window.orderBy("eob")
+
+
+def dates_prefix() -> WindowSpec:
+    return dates().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def frame(n: int):
+def frame(n: int) -> WindowSpec:
     """The last n rows, the current one included."""
-    return SERIES.rowsBetween(-(n - 1), 0)
+    return series().rowsBetween(-(n - 1), 0)
 
 
 def rolling(fn: Callable[..., Column], x: Column | str, n: int, least: int | None = None) -> Column:
@@ -36,16 +57,16 @@ def rolling2(fn: Callable[..., Column], y: Column | str, x: Column | str, n: int
 
 
 def lag(x: Column | str, k: int = 1) -> Column:
-    return F.lag(col(x), k).over(SERIES)
+    return F.lag(col(x), k).over(series())
 
 
 def lead(x: Column | str, k: int = 1) -> Column:
-    return F.lead(col(x), k).over(SERIES)
+    return F.lead(col(x), k).over(series())
 
 
 def filled(x: Column | str) -> Column:
     """The last value that is not null."""
-    return F.last(col(x), ignorenulls=True).over(SERIES.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(col(x), ignorenulls=True).over(prefix())
 
 
 def ratio(x: Column | str, y: Column | str) -> Column:
@@ -69,7 +90,7 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 
 def row_no() -> Column:
-    return F.row_number().over(SERIES).cast("double")
+    return F.row_number().over(series()).cast("double")
 
 
 def stages(df: DataFrame, *steps: dict[str, Column], keep: tuple[str, ...] = ("value",)) -> DataFrame:
@@ -93,7 +114,7 @@ def ewm(x: Column | str, alpha: float) -> Column:
     The fold runs over the symbol's collected prefix, in the JVM; its cost grows with the square of a
     symbol's rows, so long series go through `ewm_grouped`.
     """
-    seen = F.collect_list(col(x)).over(SERIES.rowsBetween(Window.unboundedPreceding, 0))
+    seen = F.collect_list(col(x)).over(prefix())
     start = F.lit(None).cast("double")
     return F.aggregate(seen, start, lambda a, v: F.when(a.isNull(), v).otherwise(a * (1 - alpha) + v * alpha))
 

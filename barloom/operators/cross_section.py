@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import DATE, average_rank, col, first_rank, lead, percent_rank, population_z, ratio
+from barloom.functions.windows import average_rank, by_date, col, first_rank, lead, percent_rank, population_z, ratio
 
 
 def clip_mad(df: DataFrame, x: str, n: float, by: tuple[str, ...] = ("eob",), out: str = "value") -> DataFrame:
@@ -69,7 +69,7 @@ def summarize_ic(daily: DataFrame, by: tuple[str, ...]) -> DataFrame:
     s = F.stddev_samp("ic")
     return daily.groupBy(*by).agg(
         F.avg("ic").alias("ic_mean"), s.alias("ic_std"), F.try_divide(F.avg("ic"), s).alias("ic_ir"),
-        F.avg((F.col("ic") > 0).cast("double")).alias("positive"), F.count("ic").alias("n"),
+        F.avg((F.col("ic") > 1e-9).cast("double")).alias("positive"), F.count("ic").alias("n"),
     )
 
 
@@ -150,14 +150,14 @@ def combined_score(df: DataFrame, directions: dict[str, int], weights: dict[str,
 def top_n(df: DataFrame, score: str, n: int, gross: float = 1.0) -> DataFrame:
     """Equal weights of each date's n best scores; ties go by symbol."""
     kept = df.where(F.col(score).isNotNull()).withColumn("place_", first_rank(score)).where(F.col("place_") <= n)
-    return kept.withColumn("weight", F.lit(gross) / F.count("*").over(DATE)).drop("place_")
+    return kept.withColumn("weight", F.lit(gross) / F.count("*").over(by_date())).drop("place_")
 
 
 def votes(df: DataFrame, factors: list[str], share: float) -> DataFrame:
     """For each symbol and date the number of factors that rank it in their best `share`."""
     picks = []
     for f in factors:
-        most = F.greatest(F.floor(F.count(F.col(f)).over(DATE) * share), F.lit(1))
+        most = F.greatest(F.floor(F.count(F.col(f)).over(by_date()) * share), F.lit(1))
         picks.append(F.coalesce((average_rank(f, descending=True) <= most).cast("long"), F.lit(0)))
     return df.withColumn("votes", sum(picks, F.lit(0)))
 

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import SERIES, ratio
-
-PREFIX = SERIES.rowsBetween(Window.unboundedPreceding, 0)
+from barloom.functions.windows import prefix, ratio, series
 
 
 def validate(bars: DataFrame) -> DataFrame:
     """Counts of faults in each symbol's bars: missing, negative, crossed and repeated."""
     bad = lambda cond: F.sum(F.coalesce(cond.cast("long"), F.lit(0)))
     missing = F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull()
-    rows = bars.withColumn("again_", F.lag("eob").over(SERIES) == F.col("eob"))
+    rows = bars.withColumn("again_", F.lag("eob").over(series()) == F.col("eob"))
     return rows.groupBy("symbol").agg(
         F.count("*").alias("rows"), bad(missing).alias("missing"), bad((F.col("open") <= 0) | (F.col("low") <= 0)).alias("not_positive"),
         bad(F.col("volume") < 0).alias("negative_volume"), bad((F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close"))).alias("crossed"),
@@ -25,7 +23,7 @@ def validate(bars: DataFrame) -> DataFrame:
 def zero_volume_jumps(bars: DataFrame, threshold: float, least_volume: float = 0.0) -> DataFrame:
     """Bars without trade whose close lies more than `threshold` off the last traded close."""
     idle = F.col("volume") <= least_volume
-    last = F.last(F.when(~idle, F.col("close")), ignorenulls=True).over(PREFIX)
+    last = F.last(F.when(~idle, F.col("close")), ignorenulls=True).over(prefix())
     rows = bars.withColumns({"traded_close": last, "idle_": idle}).withColumn("jump", ratio("close", "traded_close") - 1)
     return rows.where(F.col("idle_") & (F.abs("jump") > threshold)).select("symbol", "eob", "close", "traded_close", "jump")
 
@@ -33,7 +31,7 @@ def zero_volume_jumps(bars: DataFrame, threshold: float, least_volume: float = 0
 def repair_idle(bars: DataFrame, least_volume: float = 0.0) -> DataFrame:
     """Prices of bars without trade replaced by the last traded close."""
     idle = F.col("volume") <= least_volume
-    last = F.last(F.when(~idle, F.col("close")), ignorenulls=True).over(PREFIX)
+    last = F.last(F.when(~idle, F.col("close")), ignorenulls=True).over(prefix())
     rows = bars.withColumns({"last_": last, "idle_": idle})
     return rows.withColumns({c: F.when(F.col("idle_"), F.coalesce("last_", c)).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}).drop("last_", "idle_")
 
@@ -104,7 +102,7 @@ def hold_every(weights: DataFrame, every: int) -> DataFrame:
     dates = weights.select("eob").distinct().withColumn("place_", F.row_number().over(Window.orderBy("eob")) - 1)
     rows = weights.join(F.broadcast(dates), "eob")
     kept = F.when(F.col("place_") % every == 0, F.coalesce("weight", F.lit(0.0)))
-    held = F.last("kept_", ignorenulls=True).over(PREFIX)
+    held = F.last("kept_", ignorenulls=True).over(prefix())
     return rows.withColumn("kept_", kept).withColumn("weight", F.coalesce(held, F.lit(0.0))).drop("place_", "kept_")
 
 
