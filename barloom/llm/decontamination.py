@@ -102,4 +102,4 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     ids = shared_checkpoint(leaks(documents, benchmark).select(F.col("doc_id").alias("leaking_")).distinct())
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return documents.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("leaking_")), "left_anti")
+    return documents.join(side, documents["doc_id"].cast("long").eqNullSafe(side["leaking_"]), "left_anti")

@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import mix, shared_checkpoint, slices, utf8, words_of
@@ -19,14 +20,14 @@ PERCENT = 80
 SHARED = 3
 #: Bands of two smallest hashes that bring near copies to a first leader.
 BANDS = 5
-#: Documents of a group of singles, and most documents of a group of linked ones, on average.
-SINGLES, LINKED = 32, 500
+#: Documents of a block of a class, and of a block of others, on average at most.
+LINKED, OTHERS = 500, 16
 #: Queries that a task opens one group for, on average.
 QUERIES = 1000
-#: Tokens in the shown parts of more documents than this are put last in the order of tokens.
+#: Tokens that more classes than this show are put last in the order of tokens.
 OFTEN = 40
-#: Most tokens that are put last (8 bytes each, sent to all tasks); the most frequent ones are.
-MOST_OFTEN = 1_000_000
+#: Postings of one token that a task holds.
+HELD = 100_000
 #: Most rows of two integers that are broadcast, always after a count; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -61,6 +62,11 @@ def shown(n: int) -> int:
     return n - need + min(SHARED, need)
 
 
+def offered(n: int) -> int:
+    """How many first tokens are compared, so that `shown` tokens are left when those that stand everywhere go last."""
+    return min(n, shown(n) + max(8, shown(n) // 4))
+
+
 def _list(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
@@ -71,7 +77,7 @@ SKETCH = "doc_id long, n long, sig long, sig2 long, bands array<long>, head arra
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size, signature, bands and shown tokens of each set; the order of tokens is that of their hashes."""
+    """Size, signature, bands and offered tokens of each set; the order of tokens is that of their hashes."""
     for batch in batches:
         for part in slices(batch, "text"):
             tokens, sizes = shingle_sets(part.column("text"))
@@ -87,7 +93,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(2 * BANDS):
                     low[full, k] = np.minimum.reduceat(tokens * _BAND[k], at)
             bands = mix(low[:, 0::2] * np.uint64(31) + low[:, 1::2] + np.arange(BANDS, dtype=np.uint64))
-            heads = [tokens[e - n : e - n + shown(n)] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            heads = [tokens[e - n : e - n + offered(n)] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(sizes), pa.array(sig.view(np.int64)), pa.array(sig2.view(np.int64)), _list(list(bands)), _list(heads)],
                 ["doc_id", "n", "sig", "sig2", "bands", "head"],
@@ -99,28 +105,121 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             tokens, sizes = shingle_sets(part.column("text"))
             ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), _list([tokens[e - n : e] for e, n in zip(ends, sizes, strict=True)])], ["doc_id", "n", "tokens"])
+            own = [tokens[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            short = pa.array([(x >> np.uint64(48)).astype("<u2").tobytes() for x in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), _list(own), short], ["doc_id", "n", "tokens", "short"])
+
 
+POSTING = "token long, comp long, doc_id long, n long, place long, often boolean"
 
-def _heads_with(often: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Shown tokens under the order that puts the tokens of `often` (ascending) last."""
+
+def _shared_postings(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of postings sorted by token and class, those of tokens that several classes show; `often` if more than `most` do.
+
+    a token's rows are held until its classes are counted, but no more than HELD of them: then they go on
+    as they are, and the flag of the token's other rows counts for all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []  # rows of the last token met, which may go on
+        token, known = None, False  # that token, and whether it is known to stand often
+
+        def classes(part: pa.Table) -> int:
+            return len(np.unique(part.column("class").to_numpy()))
+
+        def out(part: pa.Table, often: np.ndarray | bool) -> Iterator[pa.RecordBatch]:
+            flags = pa.array(np.broadcast_to(np.asarray(often), part.num_rows))
+            yield from part.select(["token", "class", "doc_id", "n", "place"]).rename_columns(["token", "comp", "doc_id", "n", "place"]).append_column("often", flags).combine_chunks().to_batches()
+
         for batch in batches:
-            n = batch.column("n").to_pylist()
-            heads = []
-            for i in range(batch.num_rows):
-                own = np.array(batch.column("tokens")[i].values, copy=False).view(np.uint64)
-                if len(often) and len(own):
-                    place = np.minimum(np.searchsorted(often, own), len(often) - 1)
-                    last = often[place] == own
-                    own = np.concatenate([own[~last], own[last]])
-                heads.append(own[: shown(n[i])])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), _list(heads)], ["doc_id", "n", "head"])
+            if not batch.num_rows:
+                continue
+            size = batch.column("size").to_numpy()
+            own = pc.coalesce(batch.column("comp"), batch.column("doc_id"))
+            columns = [batch.column("token"), own, batch.column("doc_id"), pa.array(size >> 32), pa.array(size & 0xFFFFFFFF)]
+            batch = pa.RecordBatch.from_arrays(columns, ["token", "class", "doc_id", "n", "place"])
+            tokens = batch.column("token").to_numpy()
+            edge = np.flatnonzero(tokens[1:] != tokens[:-1]) + 1
+            first, last = (int(edge[0]), int(edge[-1])) if len(edge) else (batch.num_rows, 0)
+            if token is not None and tokens[0] == token:
+                if known:
+                    yield from out(pa.Table.from_batches([batch.slice(0, first)]), True)
+                else:
+                    kept.append(batch.slice(0, first))
+            else:
+                first = 0
+            if (len(edge) or tokens[0] != token) and kept:  # the held token has ended
+                part = pa.Table.from_batches(kept)
+                n = classes(part)
+                if n > 1:
+                    yield from out(part, n > most)
+                kept = []
+            start = first
+            if len(edge) and last > start:  # whole tokens inside the batch
+                part = pa.Table.from_batches([batch.slice(start, last - start)])
+                t, g = part.column("token").to_numpy(), part.column("class").to_numpy()
+                new_token = np.concatenate([[True], t[1:] != t[:-1]])
+                run = np.cumsum(new_token) - 1
+                fresh = new_token | np.concatenate([[True], g[1:] != g[:-1]])
+                n = np.bincount(run, fresh)[run]
+                some = np.flatnonzero(n > 1)
+                yield from out(part.take(pa.array(some)), n[some] > most)
+            if len(edge) or token is None or tokens[0] != token:
+                token, known = int(tokens[-1]), False
+                kept = [batch.slice(last if len(edge) else 0)]
+            if not known and sum(k.num_rows for k in kept) > most:
+                part = pa.Table.from_batches(kept)
+                if classes(part) > most:
+                    yield from out(part, True)
+                    kept, known = [], True
+                elif part.num_rows > HELD:
+                    yield from out(part, False)
+                    kept = [batch.slice(batch.num_rows - 1)]
+        if kept:
+            part = pa.Table.from_batches(kept)
+            n = classes(part)
+            if n > 1:
+                yield from out(part, n > most)
 
     return run
 
 
+def _deep_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole heads of sets whose offered tokens were too few; `last` are the set's tokens that go last."""
+    for batch in batches:
+        n = batch.column("n").to_pylist()
+        ids, sizes, tokens = [], [], []
+        for i in range(batch.num_rows):
+            own = np.array(batch.column("tokens")[i].values, copy=False).view(np.uint64)
+            often = np.sort(np.array(batch.column("last")[i].values, copy=False).view(np.uint64))
+            late = np.isin(own, often)
+            head = np.concatenate([own[~late], own[late]])[: shown(n[i])]
+            ids.append(np.full(len(head), batch.column("doc_id")[i].as_py(), np.int64))
+            sizes.append(np.full(len(head), n[i], np.int64))
+            tokens.append(head.view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, sizes, tokens)], ["doc_id", "n", "token"])
+
+
+def needed(n: Column) -> Column:
+    """How many tokens of a set of n a set that links to it shares at least."""
+    return F.ceil(n * PERCENT / 100)
+
+
+def common_at_least(n: Column, m: Column) -> Column:
+    """How many tokens the heads of two sets of n and m share at least if the sets link.
+
+    The head that ends first in the order of tokens holds only tokens that the other set has in its own
+    head or not at all, and linking sets miss no more than n less their least overlap.
+    """
+    overlap = F.ceil((n + m) * PERCENT / (100 + PERCENT))
+    return F.greatest(F.lit(1), overlap + F.least(F.lit(SHARED), needed(F.least(n, m))) - F.greatest(needed(n), needed(m)))
+
+
+def alike(x: str, y: str) -> Column:
+    """Whether sets of such sizes can link."""
+    return (F.col(x) * 100 >= F.col(y) * PERCENT) & (F.col(y) * 100 >= F.col(x) * PERCENT)
+
+
 def small(df: DataFrame) -> DataFrame:
     """A checkpointed table, marked for broadcast if its count allows it."""
     df = shared_checkpoint(df)
@@ -128,9 +227,9 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def sets_for(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, n and the whole token set of the documents whose ids are given (distinct, in column doc_id)."""
+    """doc_id, n, the whole token set and its tokens' first 16 bits, of the documents whose ids are given (distinct, in column doc_id)."""
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
-    return rows.mapInArrow(_sets, "doc_id long, n long, tokens array<long>")
+    return rows.mapInArrow(_sets, "doc_id long, n long, tokens array<long>, short binary")
 
 
 def _linked(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,45 +276,37 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def often_tokens(heads: DataFrame) -> DataFrame:
-    """token and its number of documents, of tokens in more than OFTEN documents; at most MOST_OFTEN, the most frequent."""
-    counts = heads.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > OFTEN)
-    return counts.orderBy(F.desc("n"), "token").limit(MOST_OFTEN)
-
-
 def _open_groups(key: tuple, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """Links of queries to the members of one group.
+    """Pairs of a query and a member of one group that may link.
 
-    The group's row of the token matrix is the union of its members' tokens. A query that shares less
-    than PERCENT of its own tokens with the union can link to no member; for others the group is opened
-    and the overlaps with all members are counted at once.
+    The group's row of the token matrix is the union of its members' tokens, by their first 16 bits. A
+    query that shares less than PERCENT of its own tokens with the union can link to no member; for
+    others the group is opened and the overlaps with all members are counted at once. Bits can only add
+    to an overlap, so no link is lost; whole tokens decide later.
     """
     empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
     if not len(members) or not len(queries):
         return empty
-    flat = np.concatenate(members["tokens"].tolist())
-    sizes = members["n"].to_numpy()
-    owner = np.repeat(np.arange(len(members)), sizes)
+    each = [np.unique(np.frombuffer(x, "<u2")) for x in members["short"]]
+    flat, owner = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    union = np.unique(flat)
-    ids, comps = members["doc_id"].to_numpy(), members["comp"].to_numpy()
+    starts = np.searchsorted(flat, np.arange((1 << 16) + 1))
+    ids, comps, sizes = members["doc_id"].to_numpy(), members["comp"].to_numpy(), members["n"].to_numpy()
     out = []
-    for doc, comp, own in zip(queries["doc_id"], queries["comp"], queries["tokens"], strict=True):
-        place = np.minimum(np.searchsorted(union, own), len(union) - 1)
-        common = own[union[place] == own]
-        if 100 * len(common) < PERCENT * len(own):
+    for doc, comp, short in zip(queries["doc_id"], queries["comp"], queries["short"], strict=True):
+        own = np.frombuffer(short, "<u2").astype(np.int64)
+        first, length = starts[own], starts[own + 1] - starts[own]
+        if 100 * int((length > 0).sum()) < PERCENT * len(own):
             continue
-        first, last = np.searchsorted(flat, common, side="left"), np.searchsorted(flat, common, side="right")
-        length = last - first
         spots = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        both = np.bincount(owner[spots], minlength=len(ids))
+        both = np.minimum(np.bincount(owner[spots], minlength=len(ids)), np.minimum(sizes, len(own)))
         hit = (100 * both >= PERCENT * (sizes + len(own) - both)) & (comps != comp)
-        out += [(doc, m) for m in ids[hit].tolist()]
+        out += [(min(doc, m), max(doc, m)) for m in ids[hit].tolist()]
     return pd.DataFrame(out, columns=["a", "b"]) if out else empty
 
 
-def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(documents: DataFrame, often: int = OFTEN) -> tuple[DataFrame, DataFrame]:
     """The sketches of all non-empty sets with the representative of each set's copies, and links between representatives.
 
     The links join all representatives that any chain of linking pairs joins; links inside a class that is
@@ -234,42 +325,56 @@ def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = some.select("doc_id", "n", "bands", "head").join(copies, ["doc_id", "n"], "left_anti")
 
     # first links: to the smallest document of a band's bucket
-    bucketed = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    leaders = bucketed.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").drop("last")
-    pairs = bucketed.join(small(leaders), ["band", "key"]).where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    bucketed = reps.select("doc_id", "n", F.posexplode("bands").alias("band", "key"))
+    leaders = bucketed.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last"), F.min_by("n", "doc_id").alias("n_a")).where("a < last").drop("last")
+    pairs = bucketed.join(small(leaders), ["band", "key"]).where("a < doc_id").where(alike("n_a", "n")).select("a", F.col("doc_id").alias("b")).distinct()
     pairs = shared_checkpoint(pairs)
     ids = small(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    first = shared_checkpoint(verified(pairs, shared_checkpoint(sets_for(documents, ids))))
+    first = shared_checkpoint(verified(pairs, sets_for(documents, ids)))
     comps = small(components(first))
 
-    # tokens that stand in many documents' heads go last; what else those documents hold often goes with them
-    heads = reps.select("doc_id", "n", "head")
-    often = shared_checkpoint(often_tokens(heads).select("token"))
-    if not often.isEmpty():
-        touched = small(heads.select("doc_id", F.explode("head").alias("token")).join(F.broadcast(often), "token").select("doc_id").distinct())
-        wide = sets_for(documents, touched).select(F.col("tokens").alias("head"))
-        # at most MOST_OFTEN integers: bounded, so sent to all tasks
-        often = shared_checkpoint(often_tokens(wide).select("token").union(often).distinct().limit(2 * MOST_OFTEN))
-        table = np.sort(np.array([r["token"] for r in often.toLocalIterator()], np.int64).view(np.uint64))
-        touched = small(heads.select("doc_id", F.explode("head").alias("token")).join(F.broadcast(often), "token").select("doc_id").distinct())
-        again = shared_checkpoint(sets_for(documents, touched).mapInArrow(_heads_with(table), "doc_id long, n long, head array<long>"))
-        heads = heads.join(touched, "doc_id", "left_anti").unionByName(again)
-
-    # tokens that heads of different classes share
-    postings = (
-        heads.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), F.col("root").isNotNull().alias("linked"), F.explode("head").alias("token"))
-    )
-    shared = postings.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
-    shared = small(shared)
-    postings = shared_checkpoint(postings.join(shared, "token", "left_semi"))
-    # groups: blocks of a class, and blocks of singles
-    members = postings.select("doc_id", "n", "comp", "linked").distinct()
-    class_sizes = members.where("linked").groupBy("comp").agg(F.count("*").alias("size"))
-    blocks = F.when(F.col("linked"), F.ceil(F.col("size") / LINKED)).otherwise(F.lit(1))
-    singles = max(1, members.where("not linked").count() // SINGLES)
-    block = F.when(F.col("linked"), F.xxhash64("comp", F.pmod(F.xxhash64("doc_id"), blocks))).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(singles)))
-    members = shared_checkpoint(members.join(class_sizes, "comp", "left").select("doc_id", "n", "comp", "linked", block.alias("grp")))
+    # one shuffle of all offered tokens leaves those that several classes show
+    sized = F.shiftleft("n", 32).bitwiseOR(F.col("place").cast("long")).alias("size")
+    heads = reps.select("doc_id", "n", "head").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    postings = heads.select("doc_id", "n", F.col("root").alias("comp"), F.posexplode("head").alias("place", "token")).select("token", "comp", "doc_id", sized)
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = postings.repartition(parts, "token").sortWithinPartitions("token", F.coalesce("comp", "doc_id"))
+    met = shared_checkpoint(dealt.mapInArrow(_shared_postings(often), POSTING))
+    late = small(met.where("often").select("token").distinct())
+    met = met.drop("often").distinct().join(late.withColumn("often_", F.lit(True)), "token", "left").withColumn("often", F.col("often_").isNotNull())
+    # tokens that stand often go last: a token's place becomes that among the others
+    before = Window.partitionBy("doc_id", "n").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = met.withColumn("rank", F.col("place") - F.sum(F.col("often").cast("int")).over(before))
+    need = needed(F.col("n"))
+    show = F.col("n") - need + F.least(F.lit(SHARED), need)
+    offer = F.least(F.col("n"), show + F.greatest(F.lit(8), F.floor(show / 4)))
+    lost = met.groupBy("doc_id", "n").agg(F.sum(F.col("often").cast("int")).alias("late"))
+    deep = small(lost.where((offer - F.col("late") < show) & (F.col("late") > 0)).select("doc_id", "n"))
+    postings = ranked.where(~F.col("often") & (F.col("rank") < show)).select("token", "comp", "doc_id", "n").join(deep, ["doc_id", "n"], "left_anti")
+    if not deep.isEmpty():
+        # these sets hold little but tokens that stand often; their heads are worked out from all their tokens
+        all_tokens = sets_for(documents, deep.select("doc_id"))
+        late_of = all_tokens.select("doc_id", "n", F.explode("tokens").alias("token")).join(late, "token", "left_semi").groupBy("doc_id", "n").agg(F.collect_list("token").alias("last"))
+        own_heads = shared_checkpoint(all_tokens.join(late_of, ["doc_id", "n"]).mapInArrow(_deep_heads, "doc_id long, n long, token long"))
+        fresh = small(own_heads.select("token").distinct())
+        others = heads.join(deep, ["doc_id", "n"], "left_anti").select("doc_id", "n", F.col("root").alias("comp"), F.posexplode("head").alias("place", "token")).join(fresh, "token", "left_semi")
+        lates = met.where("often").select("doc_id", "n", F.col("place").alias("at")).join(small(others.select("doc_id", "n").distinct()), ["doc_id", "n"], "left_semi")
+        gone = lates.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list("at")).alias("lates"))
+        placed_others = others.join(late.withColumn("is_late", F.lit(True)), "token", "left").where("is_late IS NULL").join(gone, ["doc_id", "n"], "left")
+        rank = F.col("place") - F.coalesce(F.size(F.filter("lates", lambda x: x < F.col("place"))), F.lit(0))
+        mine = own_heads.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", F.coalesce("root", "doc_id").alias("comp"), "doc_id", "n")
+        more = placed_others.where(rank < show).select("token", F.coalesce("comp", "doc_id").alias("comp"), "doc_id", "n")
+        postings = postings.unionByName(mine).unionByName(more).distinct()
+        shared = postings.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
+        postings = postings.join(shared, "token", "left_semi")
+    postings = shared_checkpoint(postings.withColumn("linked", F.col("doc_id") != F.col("comp")))
+    # groups: blocks of a class of near copies, and blocks of other documents that show the same smallest token
+    members = postings.groupBy("doc_id", "n", "comp", "linked").agg(F.min("token").alias("low"))
+    members = members.withColumn("key", F.when(F.col("linked"), F.col("comp")).otherwise(F.col("low")))
+    sizes = members.groupBy("linked", "key").agg(F.count("*").alias("size"))
+    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / F.when(F.col("linked"), LINKED).otherwise(OTHERS)))
+    members = members.join(sizes, ["linked", "key"]).select("doc_id", "n", "comp", F.xxhash64("linked", "key", block).alias("grp"))
+    members = shared_checkpoint(members)
     side = F.broadcast(members.select("doc_id", "n", "grp")) if members.count() <= BROADCAST_ROWS else members.select("doc_id", "n", "grp")
     placed = postings.join(side, ["doc_id", "n"])
     group_side = placed.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c"), F.max("comp").alias("d"))
@@ -277,9 +382,12 @@ def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     other = (F.col("c") != F.col("comp")) | (F.col("d") != F.col("comp"))
     asked = (
         placed.select("token", "doc_id", "n", "comp").join(group_side, "token").where(near & other)
-        .groupBy("doc_id", "n", "grp").agg(F.count("*").alias("common"))
-        .where(F.col("common") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))).select("doc_id", "n", "grp")
+        .groupBy("doc_id", "n", "grp").agg(F.count("*").alias("common"), F.min("low").alias("low"), F.max("high").alias("high"))
     )
+    # of two sets that link, the one whose head ends first misses few of its head's tokens in the other
+    least, most = F.greatest("low", F.ceil(F.col("n") * PERCENT / 100)), F.least("high", F.floor(F.col("n") * 100 / PERCENT))
+    enough = F.least(common_at_least(F.col("n"), least), common_at_least(F.col("n"), most)) - (least < most).cast("int")
+    asked = asked.where(F.col("common") >= enough).select("doc_id", "n", "grp")
     asked = shared_checkpoint(asked)
     first = first.unionByName(own)
     if asked.isEmpty():
@@ -292,14 +400,16 @@ def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = asked.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     left = inside.join(parts, "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     right = asked.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
-    left = left.drop("parts").join(sets, ["doc_id", "n"])
+    short = sets.select("doc_id", "n", "short")
+    left = left.drop("parts").join(short, ["doc_id", "n"])
     left = left.select(*[F.col(c).alias(c) for c in left.columns])  # new column ids, so that the two sides are told apart
-    right = right.drop("parts").join(members.select("doc_id", "n", "comp"), ["doc_id", "n"]).join(sets, ["doc_id", "n"])
-    second = left.groupBy("grp", "part").cogroup(right.groupBy("grp", "part")).applyInPandas(_open_groups, "a long, b long")
+    right = right.drop("parts").join(members.select("doc_id", "n", "comp"), ["doc_id", "n"]).join(short, ["doc_id", "n"])
+    maybe = left.groupBy("grp", "part").cogroup(right.groupBy("grp", "part")).applyInPandas(_open_groups, "a long, b long").distinct()
+    second = verified(shared_checkpoint(maybe), sets)
     return rows, first.unionByName(second)
 
 
-def jaccard_classes(documents: DataFrame) -> DataFrame:
+def jaccard_classes(documents: DataFrame, often: int = OFTEN) -> DataFrame:
     """n_shingles and component_id of every row: the smallest doc_id that chains of linking documents reach.
 
     A-Z are lowered and words are `[^\\x20\\x09-\\x0D]+`. A set is the distinct WORDS-word shingles, as 64-bit
@@ -307,15 +417,15 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     nothing. Sets link when 100 * intersection >= PERCENT * union.
 
     Equal sets are one representative. Near copies meet the first document of a band's bucket and are
-    checked against it; the classes so found are groups, cut into blocks, beside groups of other
-    documents. Sets that link share SHARED of their first tokens in one common order; that brings each
+    checked against it. The classes so found, cut into blocks, are groups; other documents that show the
+    same smallest token are. Sets that link share SHARED of their first tokens in one common order; that brings each
     query to the few groups that may hold a partner, the group's token union bounds the overlap, and
     groups that qualify are opened. No pair that links is lost, and no group has to fit a task whole.
 
     Rows of one doc_id count as linked. Rows with a null doc_id get a null component. An empty table
     gives no rows; other columns are ignored. Returns doc_id, n_shingles, component_id.
     """
-    rows, edges = links(documents)
+    rows, edges = links(documents, often)
     comps = components(edges)
     return rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id")
@@ -329,9 +439,9 @@ def without_near_duplicates(documents: DataFrame) -> DataFrame:
     """
     classes = shared_checkpoint(jaccard_classes(documents).where("n_shingles > 0 AND doc_id IS NOT NULL"))
     gone = small(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("id_")).distinct())
-    kept = documents.join(gone, F.col("doc_id").cast("long") == F.col("id_"), "left_anti")
+    kept = documents.join(gone, documents["doc_id"].cast("long") == gone["id_"], "left_anti")
     again = small(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("id_")).agg(F.count("*").alias("n_")).where("n_ > 1").select("id_"))
     if again.isEmpty():
         return kept
-    match = F.col("doc_id").cast("long") == F.col("id_")
+    match = documents["doc_id"].cast("long") == again["id_"]
     return kept.join(again, match, "left_anti").unionByName(kept.join(again, match, "left_semi").dropDuplicates(["doc_id"]))
