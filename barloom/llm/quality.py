@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -185,15 +184,14 @@ def score(documents: DataFrame, model: AttentionModel) -> DataFrame:
 
 
 def accepted(documents: DataFrame, model: AttentionModel, least: float) -> DataFrame:
-    """The rows whose score is `least` or more, with all their columns; only the text reaches Python.
+    """The rows whose score is `least` or more, with all their columns, as Arrow batches in parts.
 
     Rows are judged one by one, so rows that repeat, null ids and clashing names of other columns matter not.
     """
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], ["text"])
-        out = [model.score(*passages(part.column("text")))[0] for part in slices(batch, "text", 1 << 20)]
-        return pd.Series(np.concatenate(out) if out else np.empty(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                yield part.filter(pa.array(model.score(*passages(part.column("text")))[0] >= least))
 
-    return documents.where(scored(F.col("text").cast("string")) >= least)
+    return documents.mapInArrow(run, documents.schema)
