@@ -72,3 +72,25 @@ def jaccard_classes(documents: list[tuple[int, str | None]]) -> dict[int, tuple[
                 a, b = sorted((find(d), find(e)))
                 root[b] = a
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def leaks(documents: list[tuple[int, str]], items: list[tuple[int, str | None]]) -> set[tuple[int, int]]:
+    """Pairs with a stretch, on one diagonal, where enough words agree (5 in a row somewhere on it)."""
+    words = lambda t: [w for w in re.split(r"[^\w]+|_+", t.lower()) if w]
+    found = set()
+    for item, text in items:
+        own = words(text or "")
+        for doc, held in documents:
+            theirs = words(held)
+            for shift in range(-len(own) + 1, len(theirs)):
+                hits = [0 <= shift + j < len(theirs) and theirs[shift + j] == w for j, w in enumerate(own)]
+                best = run = same = matched = 0
+                for hit in hits:
+                    if run <= 0:
+                        run = same = 0
+                    run, same = run + (1 if hit else -3), same + hit
+                    if run > best:
+                        best, matched = run, same
+                if own and matched >= min(12, -(-len(own) * 8 // 10)):
+                    found.add((doc, item))
+    return found
