@@ -21,7 +21,7 @@ SHARED = 3
 #: Bands of two smallest hashes that bring near copies to a first leader.
 BANDS = 5
 #: Documents of a block of a class, and of a block of others, on average at most.
-LINKED, OTHERS = 500, 16
+LINKED, OTHERS = 500, 128
 #: Queries that a task opens one group for, on average.
 QUERIES = 1000
 #: Tokens that more classes than this show are put last in the order of tokens.
@@ -357,14 +357,14 @@ def links(documents: DataFrame, often: int = OFTEN) -> tuple[DataFrame, DataFram
         late_of = all_tokens.select("doc_id", "n", F.explode("tokens").alias("token")).join(late, "token", "left_semi").groupBy("doc_id", "n").agg(F.collect_list("token").alias("last"))
         own_heads = shared_checkpoint(all_tokens.join(late_of, ["doc_id", "n"]).mapInArrow(_deep_heads, "doc_id long, n long, token long"))
         fresh = small(own_heads.select("token").distinct())
-        others = heads.join(deep, ["doc_id", "n"], "left_anti").select("doc_id", "n", F.col("root").alias("comp"), F.posexplode("head").alias("place", "token")).join(fresh, "token", "left_semi")
-        lates = met.where("often").select("doc_id", "n", F.col("place").alias("at")).join(small(others.select("doc_id", "n").distinct()), ["doc_id", "n"], "left_semi")
-        gone = lates.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list("at")).alias("lates"))
-        placed_others = others.join(late.withColumn("is_late", F.lit(True)), "token", "left").where("is_late IS NULL").join(gone, ["doc_id", "n"], "left")
-        rank = F.col("place") - F.coalesce(F.size(F.filter("lates", lambda x: x < F.col("place"))), F.lit(0))
+        others = heads.join(deep, ["doc_id", "n"], "left_anti").select("doc_id", "n", F.coalesce("root", "doc_id").alias("comp"), F.posexplode("head").alias("place", "token"))
+        others = others.join(fresh, "token", "left_semi").join(late, "token", "left_anti")
+        # what others show of these tokens takes its place among all that they show
+        more = met.select("token", "comp", "doc_id", "n", "place", "often").unionByName(others.withColumn("often", F.lit(False)))
+        more = more.withColumn("rank", F.col("place") - F.sum(F.col("often").cast("int")).over(before))
+        more = more.where(~F.col("often") & (F.col("rank") < show)).join(deep, ["doc_id", "n"], "left_anti").select("token", "comp", "doc_id", "n")
         mine = own_heads.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", F.coalesce("root", "doc_id").alias("comp"), "doc_id", "n")
-        more = placed_others.where(rank < show).select("token", F.coalesce("comp", "doc_id").alias("comp"), "doc_id", "n")
-        postings = postings.unionByName(mine).unionByName(more).distinct()
+        postings = mine.unionByName(more).distinct()
         shared = postings.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
         postings = postings.join(shared, "token", "left_semi")
     postings = shared_checkpoint(postings.withColumn("linked", F.col("doc_id") != F.col("comp")))
@@ -395,17 +395,18 @@ def links(documents: DataFrame, often: int = OFTEN) -> tuple[DataFrame, DataFram
     opened = asked.select("grp").distinct()
     inside = members.select("doc_id", "n", "comp", "grp").join(opened, "grp", "left_semi")
     ids = small(inside.select("doc_id").union(asked.select("doc_id")).distinct())
-    sets = shared_checkpoint(sets_for(documents, ids))
+    short = shared_checkpoint(sets_for(documents, ids).select("doc_id", "n", "short"))
     # a group's queries go in parts, each beside all members of the group, so that both sides stay bounded
     parts = asked.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     left = inside.join(parts, "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     right = asked.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
-    short = sets.select("doc_id", "n", "short")
     left = left.drop("parts").join(short, ["doc_id", "n"])
     left = left.select(*[F.col(c).alias(c) for c in left.columns])  # new column ids, so that the two sides are told apart
     right = right.drop("parts").join(members.select("doc_id", "n", "comp"), ["doc_id", "n"]).join(short, ["doc_id", "n"])
     maybe = left.groupBy("grp", "part").cogroup(right.groupBy("grp", "part")).applyInPandas(_open_groups, "a long, b long").distinct()
-    second = verified(shared_checkpoint(maybe), sets)
+    maybe = shared_checkpoint(maybe)
+    ids = small(maybe.select(F.col("a").alias("doc_id")).union(maybe.select("b")).distinct())
+    second = verified(maybe, sets_for(documents, ids))
     return rows, first.unionByName(second)
 
 
