@@ -373,15 +373,19 @@ def links(documents: DataFrame, often: int = OFTEN) -> tuple[DataFrame, DataFram
     members = members.withColumn("key", F.when(F.col("linked"), F.col("comp")).otherwise(F.col("low")))
     sizes = members.groupBy("linked", "key").agg(F.count("*").alias("size"))
     block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / F.when(F.col("linked"), LINKED).otherwise(OTHERS)))
-    members = members.join(sizes, ["linked", "key"]).select("doc_id", "n", "comp", F.xxhash64("linked", "key", block).alias("grp"))
+    # of two classes the smaller one asks, so that a large class meets a token's other classes as blocks, not as documents
+    weight = F.least(F.when(F.col("linked"), F.col("size")).otherwise(1), F.lit((1 << 22) - 1))
+    order = F.shiftleft(weight.cast("long"), 40).bitwiseOR(F.col("comp").bitwiseAND(F.lit((1 << 40) - 1)))
+    members = members.join(sizes, ["linked", "key"]).select("doc_id", "n", "comp", F.xxhash64("linked", "key", block).alias("grp"), order.alias("order"))
     members = shared_checkpoint(members)
-    side = F.broadcast(members.select("doc_id", "n", "grp")) if members.count() <= BROADCAST_ROWS else members.select("doc_id", "n", "grp")
+    side = members.select("doc_id", "n", "grp", "order")
+    side = F.broadcast(side) if members.count() <= BROADCAST_ROWS else side
     placed = postings.join(side, ["doc_id", "n"])
-    group_side = placed.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c"), F.max("comp").alias("d"))
+    group_side = placed.groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c"), F.max("comp").alias("d"), F.max("order").alias("top"))
     near = (F.col("high") * 100 >= F.col("n") * PERCENT) & (F.col("low") * PERCENT <= F.col("n") * 100)
     other = (F.col("c") != F.col("comp")) | (F.col("d") != F.col("comp"))
     asked = (
-        placed.select("token", "doc_id", "n", "comp").join(group_side, "token").where(near & other)
+        placed.select("token", "doc_id", "n", "comp", "order").join(group_side, "token").where(near & other & (F.col("top") >= F.col("order")))
         .groupBy("doc_id", "n", "grp").agg(F.count("*").alias("common"), F.min("low").alias("low"), F.max("high").alias("high"))
     )
     # of two sets that link, the one whose head ends first misses few of its head's tokens in the other
