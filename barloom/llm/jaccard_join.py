@@ -368,9 +368,12 @@ def links(documents: DataFrame, often: int = OFTEN) -> tuple[DataFrame, DataFram
         shared = postings.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
         postings = postings.join(shared, "token", "left_semi")
     postings = shared_checkpoint(postings.withColumn("linked", F.col("doc_id") != F.col("comp")))
-    # groups: blocks of a class of near copies, and blocks of other documents that show the same smallest token
-    members = postings.groupBy("doc_id", "n", "comp", "linked").agg(F.min("token").alias("low"))
-    members = members.withColumn("key", F.when(F.col("linked"), F.col("comp")).otherwise(F.col("low")))
+    # groups: blocks of a class of near copies, and blocks of other documents by the token that most of these show:
+    # documents that show the same tokens then fall into few groups, and a token meets few groups
+    seen = postings.where(~F.col("linked")).groupBy("token").agg(F.count("*").alias("seen"))
+    often_first = F.shiftleft(F.least(F.coalesce("seen", F.lit(0)), F.lit((1 << 20) - 1)), 43).bitwiseOR(F.col("token").bitwiseAND(F.lit((1 << 43) - 1)))
+    members = postings.join(seen, "token", "left").groupBy("doc_id", "n", "comp", "linked").agg(F.max(often_first).alias("most"))
+    members = members.withColumn("key", F.when(F.col("linked"), F.col("comp")).otherwise(F.col("most")))
     sizes = members.groupBy("linked", "key").agg(F.count("*").alias("size"))
     block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / F.when(F.col("linked"), LINKED).otherwise(OTHERS)))
     # of two classes the smaller one asks, so that a large class meets a token's other classes as blocks, not as documents
@@ -423,8 +426,9 @@ def jaccard_classes(documents: DataFrame, often: int = OFTEN) -> DataFrame:
 
     Equal sets are one representative. Near copies meet the first document of a band's bucket and are
     checked against it. The classes so found, cut into blocks, are groups; other documents that show the
-    same smallest token are. Sets that link share SHARED of their first tokens in one common order; that brings each
-    query to the few groups that may hold a partner, the group's token union bounds the overlap, and
+    same token, of theirs the one shown most, are. Sets that link share SHARED of their first tokens in one
+    common order; that brings each query to the few groups that may hold a partner, the group's token union
+    bounds the overlap, and
     groups that qualify are opened. No pair that links is lost, and no group has to fit a task whole.
 
     Rows of one doc_id count as linked. Rows with a null doc_id get a null component. An empty table
