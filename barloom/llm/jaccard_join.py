@@ -428,8 +428,7 @@ def jaccard_classes(documents: DataFrame, often: int = OFTEN) -> DataFrame:
     checked against it. The classes so found, cut into blocks, are groups; other documents that show the
     same token, of theirs the one shown most, are. Sets that link share SHARED of their first tokens in one
     common order; that brings each query to the few groups that may hold a partner, the group's token union
-    bounds the overlap, and
-    groups that qualify are opened. No pair that links is lost, and no group has to fit a task whole.
+    bounds the overlap, and groups that qualify are opened. No pair that links is lost, and no group has to fit a task whole.
 
     Rows of one doc_id count as linked. Rows with a null doc_id get a null component. An empty table
     gives no rows; other columns are ignored. Returns doc_id, n_shingles, component_id.
