@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
 import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -96,9 +97,15 @@ class WordIds:
         return ids, offsets
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One tokenizer for all tasks of a Python worker, so that none is read while another is still held."""
+    return WordIds(path)
+
+
 def pieces_of(path: str, size: int, end_id: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, offsets = words.encode(part.column("text"))
