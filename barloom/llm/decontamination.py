@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import shared_checkpoint
 
-#: Fixed masks over word positions: 1 must agree, 0 is ignored. Both weigh 5, so a lone substitution leaves hits on either side.
-MASKS = ("1101011", "10111001")
-#: A verified overlap: in its best stretch this many words agree, or this share of the item's words if it is shorter.
+#: Fixed masks over word positions: 1 must agree, 0 is ignored. Each weighs 5. Wherever 12 of 15 words agree one of the three
+#: fits, so no overlap of 12 words is missed, nor an item of 15 words or more of which four in five agree.
+MASKS = ("1101011", "10111001", "11111")
+#: A verified overlap: this many words agree in its best stretch, or this share of the item's words there or over the whole item.
 LEAST_WORDS, LEAST_SHARE = 12, 0.8
 #: What a word that differs costs against one that agrees; a stretch thus agrees in 3 of 4 words at least.
 MISMATCH = 3
 #: Most seeds (two integers each) that are broadcast at once; more items are searched in further blocks.
 BLOCK_SEEDS = 1_000_000
+#: Words of a text that are searched at once, beside those around them that an item laid there may cover.
+WINDOW_WORDS = 512
 #: Most leaking ids that are broadcast to a filter; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -26,26 +29,36 @@ def words(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
-def seeds(hashes: Column) -> Column:
-    """For each position the hash of each mask laid there, in turn: 2 * position + mask is an entry's place.
+def windows(documents: DataFrame, most: int) -> DataFrame:
+    """Texts in windows, so that no row is wide: doc_id, `words` (hashes), `start` (place of the first of them), `low`, `high`.
 
-    At the end of a text a mask hangs over; such a hash is of fewer words and is verified like any other.
+    Positions from `low` to `high` are a window's own; of the words around, `most` on either side come along.
     """
+    size = max(WINDOW_WORDS, 2 * most)
+    cut = lambda k: F.slice("w", F.greatest(k * size - most, F.lit(0)) + 1, F.lit(size + 2 * most))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / size).cast("int")), cut)
+    rows = documents.select(F.col("doc_id").cast("long"), words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n"), parts.alias("parts"))
+    rows = rows.select("doc_id", "n", F.posexplode_outer("parts").alias("k", "part"))
+    rows = rows.select("doc_id", "n", "k", F.transform("part", lambda w: F.xxhash64(w)).alias("words"), F.greatest(F.col("k") * size - most, F.lit(0)).alias("start"))
+    low, high = F.col("k") * size - F.col("start"), F.least(F.col("n"), (F.col("k") + 1) * size) - 1 - F.col("start")
+    return rows.select("doc_id", "words", "start", low.alias("low"), high.alias("high"))
 
-    def at(x: Column, i: Column) -> Column:
-        laid = []
-        for k, mask in enumerate(MASKS):
-            own = [F.get(hashes, i + o) for o, c in enumerate(mask) if c == "1" and o]
-            laid.append(F.xxhash64(F.lit(k), x, *own))
-        return F.array(*laid)
 
-    return F.flatten(F.transform(hashes, at))
+def with_seeds(rows: DataFrame, hashes: str, low: Column, high: Column) -> DataFrame:
+    """The rows once for each position from `low` to `high` (`at`) and mask, with the `seed`: the hash of the words that the mask picks there.
+
+    At the end of a text a mask hangs over; such a hash is of fewer words and is verified like any other.
+    Only compiled functions stand here, so Spark compiles them with the join behind and copies words for
+    hits alone; outer explodes keep it from evaluating the hashes twice, for a filter of empty arrays.
+    """
+    laid = [F.xxhash64(F.lit(k), *[F.get(hashes, F.col("at") + o) for o, c in enumerate(mask) if c == "1"]) for k, mask in enumerate(MASKS)]
+    return rows.select("*", F.explode_outer(F.sequence(low, high)).alias("at")).select("*", F.explode_outer(F.array(*laid)).alias("seed"))
 
 
 def overlap(item: Column, hashes: Column, shift: Column) -> Column:
-    """The best stretch of the item laid on the document at `shift`: score, words that agree, its end in the item, words."""
+    """The best stretch of the item laid on the document at `shift`: score, words that agree, its words; and `total`, all words of the item that agree."""
     zero = F.lit(0)
-    start = F.struct(zero.alias("run"), zero.alias("same"), zero.alias("size"), zero.alias("score"), zero.alias("matched"), zero.alias("length"))
+    start = F.struct(zero.alias("run"), zero.alias("same"), zero.alias("size"), zero.alias("score"), zero.alias("matched"), zero.alias("length"), zero.alias("total"))
 
     def step(a: Column, hit: Column) -> Column:
         fresh = a["run"] <= 0
@@ -56,6 +69,7 @@ def overlap(item: Column, hashes: Column, shift: Column) -> Column:
         return F.struct(
             run.alias("run"), same.alias("same"), size.alias("size"), F.when(better, run).otherwise(a["score"]).alias("score"),
             F.when(better, same).otherwise(a["matched"]).alias("matched"), F.when(better, size).otherwise(a["length"]).alias("length"),
+            (a["total"] + F.when(hit, 1).otherwise(0)).alias("total"),
         )
 
     hits = F.transform(item, lambda x, j: F.coalesce(F.get(hashes, shift + j) == x, F.lit(False)))
@@ -70,27 +84,34 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     they arise, beside the document's own words: nothing but verified pairs is shuffled. Items go in
     blocks of at most BLOCK_SEEDS seeds, each broadcast, so a benchmark of any size works.
 
+    A pair leaks if LEAST_WORDS words, or LEAST_SHARE of the item's, agree in a stretch where a differing
+    word costs MISMATCH, or if LEAST_SHARE of the item's words agree over the whole item, wherever the
+    others stand.
+
     Null and empty texts on either side match nothing. Rows of one id are taken together; null ids are an
     id of their own. Empty tables give no rows; other columns are ignored. Returns doc_id, item_id,
-    matched, length (words of the best stretch), item_words, position (of the item's first word).
+    matched, length (words of the best stretch, or of the whole item where only that leaks), item_words,
+    position (of the item's first word).
     """
     item_words = F.filter(words(F.col("text")), lambda w: w != "")
     items = benchmark.select(F.col("item_id").cast("long"), F.transform(item_words, lambda w: F.xxhash64(w)).alias("item")).where(F.size("item") > 0).distinct()
-    total = items.agg(F.sum(F.size("item")).alias("n")).first()["n"] or 0
-    blocks = -(-total * len(MASKS) // BLOCK_SEEDS) or 1
-    rows = documents.select(F.col("doc_id").cast("long"), F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    held = items.agg(F.sum(F.size("item")).alias("n"), F.max(F.size("item")).alias("most")).first()
+    blocks = -(-(held["n"] or 0) * len(MASKS) // BLOCK_SEEDS) or 1
+    rows = windows(documents, max(held["most"] or 0, *map(len, MASKS)))
     found = []
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == b)
-        laid = own.select("item_id", "item", F.posexplode(seeds(F.col("item"))).alias("at", "seed"))
         # at most about BLOCK_SEEDS rows, counted above; a seed that an item has at several places meets each of them
-        table = laid.select("seed", "item_id", "at", "item")
-        hits = rows.select("doc_id", "words", F.posexplode(seeds(F.col("words"))).alias("place", "seed")).join(F.broadcast(table), "seed")
-        hits = hits.where(F.col("place") % len(MASKS) == F.col("at") % len(MASKS))
-        shift = F.floor(F.col("place") / len(MASKS)).cast("int") - F.floor(F.col("at") / len(MASKS)).cast("int")
-        judged = hits.select("doc_id", "item_id", F.size("item").alias("item_words"), shift.alias("position"), overlap(F.col("item"), F.col("words"), shift).alias("o"))
-        least = F.least(F.lit(LEAST_WORDS), F.ceil(F.col("item_words") * LEAST_SHARE))
-        found.append(judged.where(F.col("o.matched") >= least).select("doc_id", "item_id", "item_words", "position", "o.matched", "o.length"))
+        table = with_seeds(own, "item", F.lit(0), F.size("item") - 1).select("seed", "item_id", F.col("at").alias("from"), "item")
+        hits = with_seeds(rows, "words", F.col("low"), F.col("high")).join(F.broadcast(table), "seed")
+        shift = F.col("at") - F.col("from")
+        # a generated column, as a filter of it stays above the join and does not work it out twice
+        laid = F.explode_outer(F.array(overlap(F.col("item"), F.col("words"), shift))).alias("o")
+        judged = hits.select("doc_id", "item_id", F.size("item").alias("item_words"), (F.col("start") + shift).alias("position"), laid)
+        share = F.ceil(F.col("item_words") * LEAST_SHARE)
+        stretch, whole = F.col("o.matched") >= F.least(F.lit(LEAST_WORDS), share), F.col("o.total") >= share
+        matched, length = (F.when(stretch, F.col(f"o.{a}")).otherwise(F.col(b)).alias(a) for a, b in (("matched", "o.total"), ("length", "item_words")))
+        found.append(judged.where(stretch | whole).select("doc_id", "item_id", "item_words", "position", matched, length))
     best = F.max(F.struct("matched", F.negative("length").alias("length"), F.negative("position").alias("position"), "item_words")).alias("b")
     return (
         reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(best)

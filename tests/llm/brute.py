@@ -94,3 +94,18 @@ def leaks(documents: list[tuple[int, str]], items: list[tuple[int, str | None]])
                 if own and matched >= min(12, -(-len(own) * 8 // 10)):
                     found.add((doc, item))
     return found
+
+
+def leaks_by_share(documents: list[tuple[int, str]], items: list[tuple[int, str]]) -> set[tuple[int, int]]:
+    """Pairs where, on one diagonal, at least four in five of all the item's words agree: a plain count."""
+    words = lambda t: [w for w in re.split(r"[^\w]+|_+", t.lower()) if w]
+    found = set()
+    for item, text in items:
+        own = words(text)
+        for doc, held in documents:
+            theirs = words(held)
+            for shift in range(-len(own) + 1, len(theirs)):
+                same = sum(0 <= shift + j < len(theirs) and theirs[shift + j] == w for j, w in enumerate(own))
+                if own and 5 * same >= 4 * len(own):
+                    found.add((doc, item))
+    return found

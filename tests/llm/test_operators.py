@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -250,6 +251,20 @@ def test_substitutions_are_tolerated_and_odd_rows_pass(spark, odd, empty):
     assert decontamination.leaks(empty, bench).count() == decontamination.leaks(odd, bench.where("false")).count() == 0
 
 
+def test_four_words_in_five_leak_wherever_the_others_stand(spark):
+    rng = random.Random(5)
+    items, texts = [], []
+    for n in (15, 16, 18, 23, 40):
+        item = [f"w{n}x{j}" for j in range(n)]
+        items.append((n, " ".join(item)))
+        ways = list(itertools.combinations(range(n), n // 5)) if n == 15 else [rng.sample(range(n), k) for k in (n // 5, n // 5 + 1) for _ in range(40)]
+        texts += ["lead in " + " ".join("zz" if j in way else w for j, w in enumerate(item)) + " and on" for way in ways]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    rows = list(enumerate(texts))
+    assert got == brute.leaks_by_share(rows, items) | brute.leaks(rows, items)
+    assert len(got) >= 455 + 4 * 40
+
+
 # ---- 6: token counts
 
 
