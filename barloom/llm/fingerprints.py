@@ -67,11 +67,42 @@ def syncmers(codes: np.ndarray, lengths: np.ndarray, k: int = K, s: int = S) ->
     return found[0], found[1], found[2]
 
 
+def pieces(own: np.ndarray, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+    """Position and hash of every s-mer of one text, and of the text itself at position 0."""
+    hashes = np.frombuffer(hashlib.blake2b(own.astype("<u4").tobytes(), digest_size=8).digest(), "<u8").astype(np.uint64)
+    m = max(0, len(own) - s + 1)
+    inner = np.zeros(m, np.uint64)
+    for j in range(s if m else 0):
+        inner = inner * np.uint64(0x9E3779B97F4A7C15) + own[j : j + m].astype(np.uint64)
+    return np.concatenate([[0], np.arange(m)]).astype(np.int64), np.concatenate([hashes, mix(inner)])
+
+
+def anchors_of(codes: np.ndarray, lengths: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, position and hash of the anchors of texts that stand in a row; only an empty text has none.
+
+    From 2k - s - 1 code points on every text holds a closed syncmer. A shorter one may hold none or a
+    single one, so its anchors are its s-mers and itself: equal for equal texts only, and an edit keeps some.
+    """
+    found = syncmers(codes, lengths, k, s)
+    least = 2 * k - s - 1
+    short = np.flatnonzero((lengths > 0) & (lengths < least))
+    if not len(short):
+        return found
+    long = lengths[found[0]] >= least
+    parts = [tuple(x[long] for x in found)]
+    for i, end in zip(short, np.cumsum(lengths)[short], strict=True):
+        at, hashes = pieces(codes[end - lengths[i] : end], s)
+        parts.append((np.full(len(at), i), at, hashes))
+    text, at, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(text, kind="stable")
+    return text[order], at[order], hashes[order]
+
+
 def sketches(texts: list[str]) -> list[np.ndarray]:
-    """For each text the KEPT smallest distinct hashes (top HASH_BITS bits) of its syncmers, ascending."""
+    """For each text the KEPT smallest distinct hashes (top HASH_BITS bits) of its anchors, ascending."""
     lengths = np.array([len(t) for t in texts], np.int64)
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    text, _, hashes = syncmers(codes, lengths)
+    text, _, hashes = anchors_of(codes, lengths)
     bounds = np.searchsorted(text, np.arange(len(texts) + 1))
     hashes = hashes >> np.uint64(64 - HASH_BITS)
     out = []
@@ -101,14 +132,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def anchors(documents: DataFrame, k: int = K, s: int = S) -> DataFrame:
-    """doc_id, position and hash of every closed syncmer of every whole text, for positional matching."""
+    """doc_id, position and hash of every anchor of every whole text, for positional matching."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column("text")[i].as_py() or ""
                 codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-                _, at, h = syncmers(codes, np.array([len(text)], np.int64), k, s)
+                _, at, h = anchors_of(codes, np.array([len(text)], np.int64), k, s)
                 ids = batch.column("doc_id").slice(i, 1).take(pa.array(np.zeros(len(at), np.int64)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(at), pa.array(h.view(np.int64))], ["doc_id", "position", "hash"])
 
@@ -117,7 +148,7 @@ def anchors(documents: DataFrame, k: int = K, s: int = S) -> DataFrame:
 
 
 def fingerprint(documents: DataFrame) -> DataFrame:
-    """doc_id and fingerprint of every whole text: the hex digits of its smallest syncmer hashes."""
+    """doc_id and fingerprint of every whole text: the hex digits of its smallest anchor hashes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

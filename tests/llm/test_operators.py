@@ -85,6 +85,20 @@ def test_likeness_tells_edited_from_other_texts(spark, small):
     assert np.mean([r["near_edited"] for r in rows]) > 0.35 and np.mean([r["near_next"] for r in rows]) < 0.1
 
 
+def test_short_texts_are_alike_only_if_equal():
+    rng = random.Random(3)
+    for n in range(1, 31):
+        texts = list({"".join(rng.choice("etaoin shr") for _ in range(n)) for _ in range(60)})
+        texts += [] if n > 26 else sorted({t[:-1] + "Z" for t in texts[:20]})
+        own = fingerprints.sketches(texts)
+        assert all(map(len, own)) and len({fingerprints.to_text(x) for x in own}) == len(texts)
+        assert [x.tolist() for x in own] == [fingerprints.sketches([t])[0].tolist() for t in texts]
+        assert fingerprints.likeness(*fingerprints.sketches([texts[0]] * 2)) == 1
+        if 12 <= n <= 26:
+            assert all(0 < fingerprints.likeness(*fingerprints.sketches([t, fingerprints.edited(t, "Z" * n)])) < 1 for t in texts)
+    assert [len(x) for x in fingerprints.sketches(["", "a"])] == [0, 1]
+
+
 def test_anchors(spark, odd):
     assert fingerprints.anchors(odd.where("doc_id = 3 AND text = 'one'")).count() == 2
 
