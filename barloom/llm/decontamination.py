@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from barloom.llm.common import shared_checkpoint
 
 #: Fixed masks over word positions: 1 must agree, 0 is ignored. Each weighs 5. Wherever 12 of 15 words agree one of the three
-#: fits, so no overlap of 12 words is missed, nor an item of 15 words or more of which four in five agree.
+#: fits, so no overlap of 12 words is missed, nor an item of which four words in five agree; SHORT_MASKS see to the shortest.
 MASKS = ("1101011", "10111001", "11111")
+#: Further masks for items of so many words, where changes that leave four words in five can elude the others (items of 8, 9
+#: and 11 to 14 words never do). They are laid only if the benchmark has such items.
+SHORT_MASKS = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("111",), 5: ("111", "1101"), 6: ("111",), 7: ("111",), 10: ("111",)}
 #: A verified overlap: this many words agree in its best stretch, or this share of the item's words there or over the whole item.
 LEAST_WORDS, LEAST_SHARE = 12, 0.8
 #: What a word that differs costs against one that agrees; a stretch thus agrees in 3 of 4 words at least.
@@ -44,14 +47,15 @@ def windows(documents: DataFrame, most: int) -> DataFrame:
     return rows.select("doc_id", "words", "start", low.alias("low"), high.alias("high"))
 
 
-def with_seeds(rows: DataFrame, hashes: str, low: Column, high: Column) -> DataFrame:
+def with_seeds(rows: DataFrame, hashes: str, low: Column, high: Column, masks: dict[str, Column]) -> DataFrame:
     """The rows once for each position from `low` to `high` (`at`) and mask, with the `seed`: the hash of the words that the mask picks there.
 
-    At the end of a text a mask hangs over; such a hash is of fewer words and is verified like any other.
-    Only compiled functions stand here, so Spark compiles them with the join behind and copies words for
+    `masks` has for each mask the rows that it is laid on; elsewhere, and where it would hang over the end
+    of a text, the seed is null and meets nothing. Only compiled functions stand here, so Spark compiles them with the join behind and copies words for
     hits alone; outer explodes keep it from evaluating the hashes twice, for a filter of empty arrays.
     """
-    laid = [F.xxhash64(F.lit(k), *[F.get(hashes, F.col("at") + o) for o, c in enumerate(mask) if c == "1"]) for k, mask in enumerate(MASKS)]
+    hashed = lambda k, mask: F.xxhash64(F.lit(k), *[F.get(hashes, F.col("at") + o) for o, c in enumerate(mask) if c == "1"])
+    laid = [F.when(there & (F.col("at") + len(mask) <= F.size(hashes)), hashed(k, mask)) for k, (mask, there) in enumerate(masks.items())]
     return rows.select("*", F.explode_outer(F.sequence(low, high)).alias("at")).select("*", F.explode_outer(F.array(*laid)).alias("seed"))
 
 
@@ -95,15 +99,18 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     item_words = F.filter(words(F.col("text")), lambda w: w != "")
     items = benchmark.select(F.col("item_id").cast("long"), F.transform(item_words, lambda w: F.xxhash64(w)).alias("item")).where(F.size("item") > 0).distinct()
-    held = items.agg(F.sum(F.size("item")).alias("n"), F.max(F.size("item")).alias("most")).first()
-    blocks = -(-(held["n"] or 0) * len(MASKS) // BLOCK_SEEDS) or 1
-    rows = windows(documents, max(held["most"] or 0, *map(len, MASKS)))
+    short = F.collect_set(F.when(F.size("item").isin(*SHORT_MASKS), F.size("item")))
+    held = items.agg(F.sum(F.size("item")).alias("n"), F.max(F.size("item")).alias("most"), short.alias("short")).first()
+    masks = [*MASKS, *sorted({m for n in held["short"] for m in SHORT_MASKS[n]})]
+    on_items = {m: F.lit(True) if m in MASKS else F.size("item").isin([n for n, own in SHORT_MASKS.items() if m in own]) for m in masks}
+    blocks = -(-(held["n"] or 0) * len(masks) // BLOCK_SEEDS) or 1
+    rows = windows(documents, max(held["most"] or 0, *map(len, masks)))
     found = []
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == b)
         # at most about BLOCK_SEEDS rows, counted above; a seed that an item has at several places meets each of them
-        table = with_seeds(own, "item", F.lit(0), F.size("item") - 1).select("seed", "item_id", F.col("at").alias("from"), "item")
-        hits = with_seeds(rows, "words", F.col("low"), F.col("high")).join(F.broadcast(table), "seed")
+        table = with_seeds(own, "item", F.lit(0), F.size("item") - 1, on_items).select("seed", "item_id", F.col("at").alias("from"), "item")
+        hits = with_seeds(rows, "words", F.col("low"), F.col("high"), dict.fromkeys(masks, F.lit(True))).join(F.broadcast(table), "seed")
         shift = F.col("at") - F.col("from")
         # a generated column, as a filter of it stays above the join and does not work it out twice
         laid = F.explode_outer(F.array(overlap(F.col("item"), F.col("words"), shift))).alias("o")

@@ -279,6 +279,19 @@ def test_four_words_in_five_leak_wherever_the_others_stand(spark):
     assert len(got) >= 455 + 4 * 40
 
 
+def test_short_items_leak_anywhere_in_a_text(spark):
+    items, texts = [], ["w9x0 w9x1 other words"]
+    for n in range(1, 15):
+        item = [f"w{n}x{j}" for j in range(n)]
+        items.append((n, " ".join(item)))
+        texts += ["lead in " + " ".join("zz" if j in way else w for j, w in enumerate(item)) + " and on" for k in (0, n // 5, n // 5 + 1) for way in itertools.combinations(range(n), k)]
+    texts = sorted(set(texts))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    rows = list(enumerate(texts))
+    assert got == brute.leaks_by_share(rows, items) | brute.leaks(rows, items)
+    assert {i for _, i in got} == set(range(1, 15))
+
+
 # ---- 6: token counts
 
 
