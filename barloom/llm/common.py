@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes of text that a task turns into numpy arrays at once; a single longer text stands alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Most rows of a few numbers each that are broadcast, always after a count.
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,17 +22,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that all executors share.
+#: Rows and bytes of an Arrow batch. Texts are long, and Spark's own bounds let a batch of them fill tens of MB in each process that touches it.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) one under the
-    warehouse is set.
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches; a bound that the session has set lower stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(str(spark.conf.get(key)).rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or where that is unset (tests) one under the warehouse."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return where or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
+
+
+class Scratch:
+    """Tables of one run, written as Parquet in the shared folder: they cut the lineage, outlive lost executors and are read by column.
+
+    `keep` writes a table at once and returns its reader; `drop` deletes tables that nothing still to be
+    computed reads. What is kept at the end is what the lazy result reads. If the run fails, all go.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(where or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
-    return df.checkpoint(eager=True)
+
+    def __init__(self, spark: SparkSession) -> None:
+        small_batches(spark)
+        self.spark, self.root = spark, f"{shared_folder(spark)}/barloom-{uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind: type | None, *_: object) -> None:
+        if kind:
+            self._delete(self.root)
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def small(self, name: str, df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+        """A kept table of a few numbers a row, marked for broadcast only if its count allows it; else it is joined by a shuffle."""
+        df = self.keep(name, df)
+        return F.broadcast(df) if df.count() <= most else df
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(f"{self.root}/{name}")
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +96,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def runs_of(texts: list[str], most: int = 1 << 20) -> Iterator[slice]:
@@ -95,6 +141,22 @@ def training_ids(documents: DataFrame, labels: DataFrame, label: str, per_class:
     return parts[0].unionByName(parts[1]).select("doc_id", "label")
 
 
+def training_rows(documents: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int) -> DataFrame:
+    """doc_id, label, text and a hashed `order` of the training ids, one row each, so that the driver's part is bounded in rows and bytes.
+
+    Of rows that repeat an id the text with the smallest hash counts. A text of more than `chars` code
+    points gives 20 evenly spread pieces of it that hold `chars` together; both bounds are the caller's
+    documented parameters and concern the fit alone. Null texts are empty.
+    """
+    chosen = training_ids(documents, labels, label, per_class)
+    # at most 2 * per_class rows of two integers: bounded, so broadcast
+    rows = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    size = F.length("text")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.substring(F.col("text"), (k * F.floor(size / 20) + 1).cast("int"), F.lit(chars // 20)))
+    rows = rows.withColumn("text", F.when(size > chars, F.array_join(pieces, " ")).otherwise(F.col("text")))
+    return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.xxhash64("doc_id", F.lit(3)).alias("order"))
+
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import shared_checkpoint
+from barloom.llm.common import Scratch
 
 #: Fixed masks over word positions: 1 must agree, 0 is ignored. Each weighs 5. Wherever 12 of 15 words agree one of the three
 #: fits, so no overlap of 12 words is missed, nor an item of which four words in five agree; SHORT_MASKS see to the shortest.
@@ -56,7 +56,17 @@ def with_seeds(rows: DataFrame, hashes: str, low: Column, high: Column, masks: d
     """
     hashed = lambda k, mask: F.xxhash64(F.lit(k), *[F.get(hashes, F.col("at") + o) for o, c in enumerate(mask) if c == "1"])
     laid = [F.when(there & (F.col("at") + len(mask) <= F.size(hashes)), hashed(k, mask)) for k, (mask, there) in enumerate(masks.items())]
-    return rows.select("*", F.explode_outer(F.sequence(low, high)).alias("at")).select("*", F.explode_outer(F.array(*laid)).alias("seed"))
+    return rows.select("*", F.explode_outer(F.sequence(low, high)).alias("at")).select("*", F.posexplode_outer(F.array(*laid)).alias("mask", "seed"))
+
+
+def first_of_run(masks: list[str]) -> Column:
+    """Whether a hit is the first of a run: the same mask does not agree one word before on the same diagonal, in the same window.
+
+    A run is verified once, so a long copy of a long item costs its length and not its square.
+    """
+    before = lambda o: F.get("item", F.col("from") - 1 + o) == F.get("words", F.col("at") - 1 + o)
+    same = [(F.col("mask") == k) & reduce(Column.__and__, [before(o) for o, c in enumerate(mask) if c == "1"]) for k, mask in enumerate(masks)]
+    return (F.col("from") == 0) | (F.col("at") == F.col("low")) | ~F.coalesce(reduce(Column.__or__, same), F.lit(False))
 
 
 def overlap(item: Column, hashes: Column, shift: Column) -> Column:
@@ -109,8 +119,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == b)
         # at most about BLOCK_SEEDS rows, counted above; a seed that an item has at several places meets each of them
-        table = with_seeds(own, "item", F.lit(0), F.size("item") - 1, on_items).select("seed", "item_id", F.col("at").alias("from"), "item")
-        hits = with_seeds(rows, "words", F.col("low"), F.col("high"), dict.fromkeys(masks, F.lit(True))).join(F.broadcast(table), "seed")
+        table = with_seeds(own, "item", F.lit(0), F.size("item") - 1, on_items).select("mask", "seed", "item_id", F.col("at").alias("from"), "item")
+        hits = with_seeds(rows, "words", F.col("low"), F.col("high"), dict.fromkeys(masks, F.lit(True))).join(F.broadcast(table), ["mask", "seed"])
+        hits = hits.where(first_of_run(masks))
         shift = F.col("at") - F.col("from")
         # a generated column, as a filter of it stays above the join and does not work it out twice
         laid = F.explode_outer(F.array(overlap(F.col("item"), F.col("words"), shift))).alias("o")
@@ -127,7 +138,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    ids = shared_checkpoint(leaks(documents, benchmark).select(F.col("doc_id").alias("leaking_")).distinct())
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return documents.join(side, documents["doc_id"].cast("long").eqNullSafe(side["leaking_"]), "left_anti")
+    """The rows that hold no benchmark item, with all their columns.
+
+    A row goes by its own text: of rows that share a null or repeated doc_id only those go whose text leaks.
+    Null and empty texts stay; an empty table or benchmark loses nothing.
+    """
+    with Scratch(documents.sparkSession) as t:
+        mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(23))
+        keyed = documents.select(mark.alias("doc_id"), "text")
+        # a text is its hash here; equal texts leak alike
+        marks = t.small("marks", leaks(keyed, benchmark).select(F.col("doc_id").alias("leaking_")).distinct(), BROADCAST_IDS)
+    return documents.join(marks, F.xxhash64(F.coalesce(documents["text"].cast("string"), F.lit("")), F.lit(23)) == marks["leaking_"], "left_anti")

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import shared_checkpoint
+from barloom.llm.common import Scratch
 
 #: Base patterns. Possessive steps and the look behind keep Java's matcher linear on long runs; matches are those of the
 #: plain patterns, as a run's later starts meet the same end as its first, or follow the last match (\G).
@@ -28,11 +28,13 @@ CANDIDATES = {
 ADDED = tuple(CANDIDATES)
 #: Texts without this cannot match; a cheap test that spares most texts the search.
 NEEDED = {"email": "@[A-Za-z0-9-]+[.]", "ip": r"[0-9][.][0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"[+][0-9]", "number": "[0-9][ -]?[0-9]", "secret": "[0-9]"}
-#: The gazetteer: words that announce personal or secret data.
-GAZETTEER = "(?i)(?:token|secret|password|passwd|api[_ -]?key|key|credential|auth|account|iban|ssn|social|passport|phone|tel|call|card|contact|mail|id)"
+#: The gazetteer: whole words that announce personal or secret data.
+GAZETTEER = "(?i)(?<![a-z])(?:token|secret|password|passwd|pwd|api[_ -]?key|key|credential|auth|bearer|account|iban|ssn|social security|passport|licen[cs]e|phone|mobile|fax|tel|call|card|contact|e?mail|id)s?(?![a-z])"
 CONTEXT_CHARS = 24
-LABELERS = ("shape", "gazetteer", "context", "length", "mixture")
-CLUES = ("secret", "digits_heavy", "quoted", "assigned", "announced", "long", "grouped", "upper")
+#: They look at different things: the layout of the characters, the words before, the signs before, the length, and for numbers
+#: the check digit of a card or for secrets how letters and digits mix.
+LABELERS = ("shape", "gazetteer", "context", "length", "inner")
+CLUES = ("secret", "digits_heavy", "quoted", "assigned", "announced", "long", "grouped", "upper", "no_card")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -40,20 +42,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def prefix_sums(values: Column, block: int = 256) -> Column:
-    """Running sums of an array of longs, in blocks, so that long arrays stay cheap."""
-    grow = lambda seen, x: F.concat(seen, F.array(F.element_at(seen, -1) + x))
+def running(values: Column, zero: Column, op: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """Running folds of an array by an associative step whose neutral value is `zero`, in blocks, so that long arrays stay cheap."""
+    grow = lambda seen, x: F.concat(seen, F.array(op(F.element_at(seen, -1), x)))
     none = F.lit([]).cast("array<bigint>")
-    zero = F.array(F.lit(0).cast("bigint"))
 
     def blocks(v: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda b: F.slice(v, b * block + 1, block))
 
-    def sums(parts: Column) -> Column:
-        firsts = F.aggregate(F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda a, x: a + x)), zero, grow)
+    def folds(parts: Column) -> Column:
+        firsts = F.aggregate(F.transform(parts, lambda p: F.aggregate(p, zero, op)), F.array(zero), grow)
         return let(firsts, lambda f: F.flatten(F.transform(parts, lambda p, i: F.slice(F.aggregate(p, F.array(F.get(f, i)), grow), 2, block))))
 
-    return F.when(F.size(values) == 0, none).otherwise(let(values, lambda v: let(blocks(v), sums)))
+    return F.when(F.size(values) == 0, none).otherwise(let(values, lambda v: let(blocks(v), folds)))
+
+
+def prefix_sums(values: Column, block: int = 256) -> Column:
+    """Running sums of an array of longs."""
+    return running(values, F.lit(0).cast("bigint"), lambda a, x: a + x, block)
+
+
+def prefix_tops(values: Column, least: int = 0) -> Column:
+    """Running maxima of an array of longs, `least` at least."""
+    return running(values, F.lit(least).cast("bigint"), lambda a, x: F.greatest(a, x))
 
 
 def matches(text: Column, pattern: str, needed: str) -> Column:
@@ -116,11 +127,12 @@ def candidates(text: Column, kind: str) -> Column:
             heavy = digits * 2 > size
             mixed = (digits * 10 >= size) & (digits * 10 <= size * 9)
             vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
-            shape = vote(hexed & (size >= 20), ~hexed & ~m.rlike("[0-9].*[A-Za-z].*[0-9]")) if kind == "secret" else vote(grouped | (plain & digits.between(9, 16)), digits > 19)
-            length = vote(size.between(20, 128), size < 16) if kind == "secret" else vote(digits.between(9, 16), digits > 19)
-            mixture = vote(mixed, ~mixed) if kind == "secret" else vote(grouped, ~grouped & ~plain)
-            votes = (shape, vote(announced, F.lit(False)), vote(quoted | assigned, b.rlike("[A-Za-z,.]$")), length, mixture)
-            clues = (F.lit(kind == "secret"), heavy, quoted, assigned, announced, size >= 20, grouped, m.rlike("[A-Z]"))
+            broken = F.lit(kind == "number") & plain & digits.between(13, 19)  # a bare card number whose check digit held would be a base span
+            shape = vote(hexed & (size >= 20), ~hexed & ~m.rlike("[0-9].*[A-Za-z].*[0-9]")) if kind == "secret" else vote(grouped, ~grouped & ~plain)
+            length = vote(size.between(20, 128), size < 16) if kind == "secret" else vote(digits.between(9, 12), digits > 19)
+            inner = vote(mixed, ~mixed) if kind == "secret" else vote(F.lit(False), broken)
+            votes = (shape, vote(announced, F.lit(False)), vote(quoted | assigned, b.rlike("[A-Za-z,.]$")), length, inner)
+            clues = (F.lit(kind == "secret"), heavy, quoted, assigned, announced, size >= 20, grouped, m.rlike("[A-Z]"), broken)
             return F.struct(
                 s["start"].alias("start"), s["end"].alias("end"),
                 F.array(*[v.cast("int") for v in votes]).alias("votes"), F.array(*[c.cast("int") for c in clues]).alias("clues"),
@@ -194,7 +206,7 @@ class SpanModel:
 def fit(found: DataFrame) -> SpanModel:
     """Fit on all candidates: their vote and clue patterns are counted by Spark, and the driver sees the patterns only.
 
-    There are at most 3 ** 5 votes and 2 ** 8 clues, whatever the input.
+    There are at most 3 ** 5 votes and 2 ** 9 clues, whatever the input.
     """
     each = found.select(F.explode(F.concat(*[F.col(f"more_{k}") for k in ADDED])).alias("s")).select("s.votes", "s.clues")
     counted = [(tuple(r["votes"]), tuple(r["clues"]), r["n"]) for r in each.groupBy("votes", "clues").agg(F.count("*").alias("n")).orderBy("votes", "clues").collect()]
@@ -221,11 +233,24 @@ def find(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def added(model: SpanModel, kind: str) -> Column:
-    """The accepted candidates of a kind that no base span overlaps."""
-    taken = F.concat(*[F.col(f"base_{k}") for k in BASE])
-    free = lambda s: ~F.exists(taken, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    kept = F.filter(F.col(f"more_{kind}"), lambda s: model.accepts(s["clues"]) & free(s))
-    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    """The accepted candidates of a kind that no base span overlaps.
+
+    Base spans and candidates stand in one order; the furthest end of the base spans before a candidate and
+    the nearest start of those behind it tell whether it is free, so many spans cost their number, not its square.
+    """
+    none = F.lit([]).cast("array<struct<start:bigint,end:bigint>>")
+    far = 1 << 60
+    entry = lambda s, cand, ok: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(cand).alias("cand"), ok.alias("ok"))
+    taken = F.transform(F.concat(*[F.col(f"base_{k}") for k in BASE]), lambda b: entry(b, 0, F.lit(False)))
+    own = F.transform(F.col(f"more_{kind}"), lambda s: entry(s, 1, model.accepts(s["clues"])))
+
+    def free(rows: Column) -> Column:
+        before = prefix_tops(F.transform(rows, lambda x: F.when(x["cand"] == 0, x["end"]).otherwise(0)))
+        behind = F.reverse(prefix_tops(F.transform(F.reverse(rows), lambda x: F.when(x["cand"] == 0, -x["start"]).otherwise(-far)), -far))
+        kept = lambda a, z: F.filter(rows, lambda x, i: (x["cand"] == 1) & x["ok"] & (F.get(a, i) <= x["start"]) & (-F.get(z, i) >= x["end"]))
+        return let(before, lambda a: let(behind, lambda z: F.transform(kept(a, z), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+
+    return F.when(F.size(F.col(f"more_{kind}")) == 0, none).otherwise(let(F.array_sort(F.concat(taken, own)), free))
 
 
 def detect(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -240,7 +265,8 @@ def detect(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     empty table gives no rows. Other columns are ignored but for `keep`, whose names must not clash with
     those returned: doc_id and one array column for each kind in BASE and ADDED.
     """
-    found = shared_checkpoint(find(documents, keep))
+    with Scratch(documents.sparkSession) as t:
+        found = t.keep("found", find(documents, keep))
     model = fit(found)
     return found.select("doc_id", *keep, *[F.col(f"base_{k}").alias(k) for k in BASE], *[added(model, k).alias(k) for k in ADDED])
 
@@ -255,16 +281,20 @@ def written(kinds: tuple[str, ...]) -> Column:
 
 
 def digests(found: DataFrame) -> DataFrame:
+    """Counts of the spans of each kind, and their places as text, from what `detect` returns, row by row."""
     return found.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(written(BASE), 256).alias("base_sha256"), written(BASE + ADDED).alias("spans"),
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in ADDED],
     )
 
 
 def redact(documents: DataFrame) -> DataFrame:
     """The documents with every span of their texts replaced by its kind in capitals, in brackets; n_chars follows.
 
-    Of spans that overlap, the one that begins first stands for all it overlaps. Null texts stay null.
+    Of spans that overlap, the one that begins first stands for all it overlaps. Null texts stay null and
+    empty ones empty. Rows that repeat are redacted each; null ids stay; an empty table gives no rows; all
+    columns are kept. The work is linear in a text's length and in its number of spans.
     """
     names = tuple(c for c in documents.columns if c != "doc_id")
     packed = documents.select("doc_id", "text", F.struct(*names).alias("row_")) if names else documents
@@ -273,20 +303,29 @@ def redact(documents: DataFrame) -> DataFrame:
     def tags(kind: str) -> Column:
         return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("tag")))
 
-    tagged = [tags(k) for k in BASE + ADDED]
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit([]).cast("array<string>").alias("parts"))
+    spans = F.array_sort(F.concat(*[tags(k) for k in BASE + ADDED]))
     text = F.col("row_")["text"]
 
-    def step(seen: Column, s: Column) -> Column:
-        cut = F.concat(F.substring(text, (seen["at"] + 1).cast("int"), (s["start"] - seen["at"]).cast("int")), s["tag"])
-        fresh = s["start"] >= seen["at"]
-        return F.struct(F.greatest(seen["at"], s["end"]).alias("at"), F.when(fresh, F.concat(seen["parts"], F.array(cut))).otherwise(seen["parts"]).alias("parts"))
+    def rebuilt(chunks: Column, size: Column, s: Column, reach: Column) -> Column:
+        """The text between the furthest end so far and each span that begins no earlier, and that span's tag."""
+        zero = F.lit(0).cast("bigint")
+
+        def piece(start: Column, end: Column) -> Column:
+            first = F.floor(start / size)
+            held = F.slice(chunks, (first + 1).cast("int"), (F.floor((end - 1) / size) - first + 1).cast("int"))
+            return F.when(end <= start, "").otherwise(F.substring(F.array_join(held, ""), (start - first * size + 1).cast("int"), (end - start).cast("int")))
+
+        before = lambda i: F.when(i == 0, zero).otherwise(F.get(reach, i - 1))
+        parts = F.transform(s, lambda x, i: F.when(x["start"] >= before(i), F.concat(piece(before(i), x["start"]), x["tag"])).otherwise(""))
+        return F.concat(F.array_join(parts, ""), piece(F.element_at(reach, -1), F.length(text).cast("bigint")))
 
-    def finish(seen: Column) -> Column:
-        return F.concat(F.array_join(seen["parts"], ""), F.substring(text, (seen["at"] + 1).cast("int"), F.length(text)))
+    def changed(s: Column) -> Column:
+        size = F.greatest(F.lit(2048), F.floor(F.length(text) / 256)).cast("bigint")
+        chunks = lambda c: F.transform(F.sequence(F.lit(0).cast("bigint"), F.floor((F.length(text) - 1) / c)), lambda k: F.substring(text, (k * c + 1).cast("int"), c.cast("int")))
+        reach = prefix_tops(F.transform(s, lambda x: x["end"]))
+        return let(size, lambda c: let(chunks(c), lambda parts: let(reach, lambda r: rebuilt(parts, c, s, r))))
 
-    changed = F.aggregate(F.array_sort(F.concat(*tagged)), start, step, finish)
-    new = F.when(text.isNull(), F.lit(None).cast("string")).when(F.size(F.concat(*tagged)) == 0, text).otherwise(changed)
+    new = F.when(text.isNull(), F.lit(None).cast("string")).otherwise(let(spans, lambda s: F.when(F.size(s) == 0, text).otherwise(changed(s))))
     out = found.select("doc_id", "row_", new.alias("text_"))
     columns = []
     for c in documents.columns:

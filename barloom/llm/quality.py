@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import mix, slices, training_ids, utf8, words_of
+from barloom.llm.common import mix, slices, small_batches, training_rows, utf8, words_of
 
 #: Most labelled documents of each class from which the model is fitted.
 TRAIN_PER_CLASS = 1500
+#: Code points of a training document that the fit sees; longer ones give evenly spread pieces.
+TRAIN_CHARS = 60_000
 PASSAGE_WORDS = 64
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE = 24, 12, 25, 64, 0.01
 
@@ -142,21 +144,20 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, number = passages(part.column("text"))
             ends = np.cumsum(number)
             rows = [x[b - n : b].astype("<f4").tobytes() for b, n in zip(ends, number, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("order"), part.column("label"), pa.array(rows, pa.binary())], ["order", "label", "x"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> AttentionModel:
     """Fit on at most `per_class` labelled documents of each class that are not held out.
 
-    Their passages are encoded on the executors; the driver gets numbers only. With no rows of a class
-    the model stays undecided (0.5).
+    Their passages are encoded on the executors; the driver gets numbers only, of TRAIN_CHARS code points a
+    document. With no rows of a class the model stays undecided (0.5).
     """
-    chosen = training_ids(documents, labels, "quality", per_class)
-    # at most 2 * per_class rows of two integers: bounded, so broadcast
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    got = rows.mapInArrow(_featurise, "doc_id long, label int, x binary").orderBy(F.xxhash64("doc_id", F.lit(3)), F.xxhash64("x")).toLocalIterator()
+    small_batches(documents.sparkSession)
+    rows = training_rows(documents, labels, "quality", per_class, TRAIN_CHARS)
+    got = rows.select("order", "label", "text").mapInArrow(_featurise, "order long, label int, x binary").toLocalIterator()
     bags, y = [], []
-    for row in got:
+    for row in sorted(got, key=lambda row: row["order"]):
         bags.append(np.frombuffer(row["x"], "<f4").reshape(-1, FEATURES).astype(np.float64))
         y.append(row["label"])
     model = AttentionModel()
@@ -175,10 +176,11 @@ def score(documents: DataFrame, model: AttentionModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text"):
                 p, most = model.score(*passages(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p), pa.array(most)], ["doc_id", "score", "attention"])
 
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, SCORED)
 
@@ -191,7 +193,8 @@ def accepted(documents: DataFrame, model: AttentionModel, least: float) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text"):
                 yield part.filter(pa.array(model.score(*passages(part.column("text")))[0] >= least))
 
+    small_batches(documents.sparkSession)
     return documents.mapInArrow(run, documents.schema)

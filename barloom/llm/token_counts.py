@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import slices
+from barloom.llm.common import slices, small_batches
 
 #: What a unigram tokenizer subtracts from its lowest score for a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
@@ -114,5 +114,6 @@ def count_tokens(documents: DataFrame, vocabulary: str) -> DataFrame:
     the tokenizer parts them. Null and empty texts have 0 tokens. Rows that repeat are counted each; a
     null doc_id is kept; an empty table gives no rows; other columns are ignored. Returns doc_id, n_tokens.
     """
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(counts_of(vocabulary), "doc_id long, n_tokens long")

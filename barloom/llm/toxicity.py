@@ -11,10 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import runs_of, training_ids
+from barloom.llm.common import runs_of, small_batches, training_rows
 
 #: Most labelled documents of each class from which the model is fitted.
 TRAIN_PER_CLASS = 1500
+#: Code points of a training document that the fit sees; longer ones give evenly spread pieces.
+TRAIN_CHARS = 60_000
 #: Weights nearer to 0 are dropped from the fitted model.
 LEAST_WEIGHT = 0.02
 #: Code points of text whose chains a task walks side by side.
@@ -204,16 +206,14 @@ class ToxicSpans:
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> ToxicSpans:
     """Fit on at most `per_class` labelled documents of each class that are not held out.
 
-    Their texts reach the driver one by one and leave it as words; with fewer than one document of a
-    class the model knows nothing and gives every text the same score.
+    Their texts, of TRAIN_CHARS code points at most, reach the driver one by one and leave it as words; with
+    fewer than one document of a class the model knows nothing and gives every text the same score.
     """
-    chosen = training_ids(documents, labels, "toxic", per_class)
-    # at most 2 * per_class rows of two integers: bounded, so broadcast
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)))
+    rows = training_rows(documents, labels, "toxic", per_class, TRAIN_CHARS)
     words, marks = [], []
-    for row in rows.toLocalIterator():
-        words.append(tokens((row["text"] or "").lower()))
-        marks.append(row["label"])
+    for _, label, own in sorted((row["order"], row["label"], tokens(row["text"].lower())) for row in rows.toLocalIterator()):
+        words.append(own)
+        marks.append(label)
     if len(set(marks)) < 2:
         return ToxicSpans({}, np.zeros((2, 2)), np.zeros(4))
     # the chain learns from one half, the document's score from the other, so that it meets unseen texts
@@ -242,6 +242,19 @@ def joined_spans(text: str, hits: set[int]) -> list[list[int]]:
     return parts
 
 
+def gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches joined until they hold about BATCH_CHARS, so that many chains step side by side; null texts are empty."""
+    held, size = [], 0
+    for frame in frames:
+        held.append(frame.assign(text=frame["text"].fillna("")))
+        size += int(held[-1]["text"].str.len().sum())
+        if size >= BATCH_CHARS:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 SCORED = "doc_id long, score double, n_spans int, spans string"
 
 
@@ -252,13 +265,13 @@ def score(documents: DataFrame, model: ToxicSpans) -> DataFrame:
     Rows that repeat are scored each; a null doc_id is kept; an empty table gives no rows; other columns
     are ignored. The model holds the features of the bounded training windows, so each task carries it.
     """
+    small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = sent.value
         known = Scores(own.weights)
-        for frame in frames:
-            frame["text"] = frame["text"].fillna("")
+        for frame in gathered(frames):
             for where in runs_of(frame["text"].tolist(), BATCH_CHARS):
                 part = frame.iloc[where]
                 texts = part["text"].tolist()
