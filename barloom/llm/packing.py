@@ -8,19 +8,20 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import slices
+from barloom.llm.common import slices, small_batches
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Rows that one packing task gets on average: enough that its last open sequences hardly count, and few enough for any executor.
-GROUP_ROWS = 4096
+#: Documents, and bytes of text, that one packing task gets on average: enough that its last open sequences hardly count, and few enough for any executor.
+GROUP_ROWS, GROUP_BYTES = 4096, 16 << 20
 #: Words whose ids a task keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
+#: Texts on which a tokenizer's whole encoding must equal that of its words, else it is refused.
+PROBES = ("Plain words, and one.Two!", "CAPITALS Mixed 12 3.5 don't (x) a-b", "naïve café ß Ωmega 🎉 東京", "tabs\tand\nlines  twice ", "")
 #: Lower-case words that are one word for the tokenizer however they stand: its normaliser leaves them as they are.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
@@ -45,6 +46,10 @@ class WordIds:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.clear()
+        whole = [e.ids for e in self.tokenizer.encode_batch(list(PROBES), add_special_tokens=False)]
+        ids, offsets = self.encode(pa.array(PROBES))
+        if [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] != whole:
+            raise ValueError(f"{path} does not tokenize word by word as this encoder needs")
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
@@ -59,7 +64,8 @@ class WordIds:
         ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
         ids = np.concatenate(ids) if ids else np.empty(0, np.uint32)
         ends = np.flatnonzero(self.ends[ids]) + 1
-        assert len(ends) == len(plain)
+        if len(ends) != len(plain):
+            raise ValueError("the tokenizer does not end each word with an end-of-word token")
         each = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
         lengths = np.concatenate([np.diff(ends, prepend=0), np.array([len(e) for e in each], np.int64)]).astype(np.int64)
         self.index.update(zip(plain + other, range(len(self.offsets) - 1, len(self.offsets) - 1 + len(words)), strict=True))
@@ -135,6 +141,7 @@ def pieces_of(path: str, size: int, end_id: int, with_ids: bool) -> Callable[[It
 
 def cut_documents(documents: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Token pieces of every whole text (null: empty), each at most `size` long; `end_id` ends a document."""
+    small_batches(documents.sparkSession)
     kind = PIECE + (", ids array<int>" if with_ids else "")
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces_of(tokenizer, size, end_id, with_ids), kind)
 
@@ -177,11 +184,16 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return where, offset
 
 
-def pack_group(size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        where, offset = sum_of_squares(rows["length"].to_numpy(), size)
-        return rows.assign(sequence_id=(rows["grp"].to_numpy().astype(np.int64) << 32) + where, offset=offset).drop(columns="grp")
+def pack_group(size: int) -> Callable[[pa.Table], pa.Table]:
+    """Places for the rows of one group, longest first; the ids stay where they are in the group's Arrow buffers."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        doc, piece, crc, length, grp = (pc.fill_null(rows.column(c), 0).to_numpy() for c in ("doc_id", "piece", "ids_crc32", "length", "grp"))
+        order = np.lexsort((crc, piece, doc, -length))
+        where, offset = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        where[order], offset[order] = sum_of_squares(length[order], size)
+        places = pa.array((grp.astype(np.int64) << 32) + where), pa.array(offset)
+        return rows.drop_columns("grp").append_column("sequence_id", places[0]).append_column("offset", places[1])
 
     return run
 
@@ -189,17 +201,19 @@ def pack_group(size: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def pack_documents(documents: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Pack all documents into sequences of at most `size` tokens, by the sum-of-squares rule.
 
-    Only documents longer than `size` are cut. Pieces are dealt by a hash of document and piece into
-    groups of about GROUP_ROWS, and each group is packed by itself, longest first; so the work spreads
-    over the cluster and no task sees more than its group. Sequences that stay open at a group's end are
-    a few in a thousand.
+    Only documents longer than `size` are cut. Pieces are dealt row by row, whatever their ids, into groups
+    of about GROUP_ROWS documents and GROUP_BYTES of text, and each group is packed by itself, longest
+    first; so the work spreads over the cluster, null or repeated ids as well, and no task sees more than
+    its group. Sequences that stay open at a group's end are a few in a thousand.
 
     Null and empty texts have their end token alone. Rows that repeat are packed each. A null doc_id is
     kept. An empty table gives no rows. Other columns are ignored. Returns doc_id, piece, start, length,
     ids_crc32, sequence_id, offset and, `with_ids`, ids.
     """
     pieces = cut_documents(documents, tokenizer, size, end_id, with_ids)
-    groups = -(-documents.count() // GROUP_ROWS) or 1
-    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    size_of = documents.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col("text").cast("string"))).alias("bytes")).first()
+    groups = max(1, -(-size_of["n"] // GROUP_ROWS), -(-(size_of["bytes"] or 0) // GROUP_BYTES))
+    # the number of a row in its task, which a repeated task gives again
+    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     kind = PIECE + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
-    return pieces.groupBy("grp").applyInPandas(pack_group(size), kind)
+    return pieces.groupBy("grp").applyInArrow(pack_group(size), kind)
