@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,15 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import mix, runs_of
+from barloom.llm.common import mix, runs_of, small_batches
 
 #: k-mers of code points, and their inner substrings.
 K, S = 16, 4
 #: Anchors that a fingerprint keeps: those with the smallest hashes.
 KEPT = 64
-HASH_BITS = 40
-#: Hash ranges of doc_id whose counts the driver sees, and rows for each sorted run.
-BINS, RUN_ROWS = 1 << 14, 4000
+#: Bits of an anchor's hash, and of its position (modulo their power of two), that a fingerprint keeps.
+HASH_BITS, PLACE_BITS = 40, 24
+#: Rows for each sorted run, and most runs.
+RUN_ROWS, RUNS = 4000, 20_000
 
 
 def syncmers(codes: np.ndarray, lengths: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,40 +101,72 @@ def anchors_of(codes: np.ndarray, lengths: np.ndarray, k: int = K, s: int = S) -
 
 
 def sketches(texts: list[str]) -> list[np.ndarray]:
-    """For each text the KEPT smallest distinct hashes (top HASH_BITS bits) of its anchors, ascending."""
+    """For each text the KEPT anchors with the smallest distinct hashes (top HASH_BITS bits), each with its first position, ascending."""
     lengths = np.array([len(t) for t in texts], np.int64)
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    text, _, hashes = anchors_of(codes, lengths)
+    text, at, hashes = anchors_of(codes, lengths)
     bounds = np.searchsorted(text, np.arange(len(texts) + 1))
-    hashes = hashes >> np.uint64(64 - HASH_BITS)
+    place = np.uint64(PLACE_BITS)
+    packed = (hashes >> np.uint64(64 - HASH_BITS) << place) | (at.astype(np.uint64) & np.uint64((1 << PLACE_BITS) - 1))
+
+    def smallest(h: np.ndarray) -> np.ndarray:
+        h = np.sort(h)
+        return h[np.concatenate([[True], h[1:] >> place != h[:-1] >> place])][:KEPT] if len(h) else h
+
     out = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        h = hashes[a:b]
+        h = packed[a:b]
+        part = h
         if len(h) > 4 * KEPT:  # repeats may fill a first cut, so a wider one is tried before all are sorted
-            part = np.unique(np.partition(h, 3 * KEPT)[: 3 * KEPT])
-            out.append(part[:KEPT] if len(part) >= KEPT else np.unique(h)[:KEPT])
-        else:
-            out.append(np.unique(h)[:KEPT])
+            limit = np.partition(h, 3 * KEPT)[3 * KEPT] >> place
+            part = smallest(h[h >> place < limit])
+            part = part if len(part) >= KEPT else h
+        out.append(smallest(part))
     return out
 
 
 def to_text(sketch: np.ndarray) -> str:
-    return "".join([f"{x:010x}" for x in sketch.tolist()])
+    """Hex digits of each anchor's hash and position."""
+    return "".join([f"{x:016x}" for x in sketch.tolist()])
+
+
+def in_order(places: list[int]) -> int:
+    """The most of the places that stand in order, none before an earlier one."""
+    ends: list[int] = []
+    for x in places:
+        k = bisect_right(ends, x)
+        ends[k : k + 1] = [x]
+    return len(ends)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard similarity of two anchor sets: the part of the smallest hashes of both that each holds.
+    """Estimated Jaccard similarity of two anchor sets by positional matching.
 
-    Two empty fingerprints are alike (1), one empty and one not are unlike (0).
+    Of the smallest hashes of both sets together, those that both hold are matched, and as many of these
+    count as stand in the same order in both texts; so anchors that two texts share in another order tell
+    little. Two empty fingerprints are alike (1), one empty and one not are unlike (0).
     """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union = np.union1d(a, b)[:KEPT]
-    return float(np.isin(union, a, assume_unique=True).__and__(np.isin(union, b, assume_unique=True)).mean())
+    place = np.uint64(PLACE_BITS)
+    x, y = a >> place, b >> place
+    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    total = min(KEPT, len(x) + len(y) - len(both))
+    if not len(both):
+        return 0.0
+    if len(x) + len(y) - len(both) > KEPT:
+        inside = both <= np.partition(np.union1d(x, y), KEPT - 1)[KEPT - 1]
+        i, j = i[inside], j[inside]
+    mask = np.uint64((1 << PLACE_BITS) - 1)
+    p, q = (a[i] & mask).astype(np.int64), (b[j] & mask).astype(np.int64)
+    return in_order(q[np.lexsort((q, p))].tolist()) / total
 
 
 def anchors(documents: DataFrame, k: int = K, s: int = S) -> DataFrame:
-    """doc_id, position and hash of every anchor of every whole text, for positional matching."""
+    """doc_id, position and hash of every anchor of every whole text, for positional matching.
+
+    Null and empty texts have none. Rows that repeat and null ids are kept; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +182,11 @@ def anchors(documents: DataFrame, k: int = K, s: int = S) -> DataFrame:
 
 
 def fingerprint(documents: DataFrame) -> DataFrame:
-    """doc_id and fingerprint of every whole text: the hex digits of its smallest anchor hashes."""
+    """doc_id and fingerprint of every whole text: the hex digits of its anchors with the smallest hashes, and of their positions.
+
+    Null and empty texts have the empty fingerprint, and only they. Rows that repeat and null ids are kept;
+    an empty table gives no rows; other columns are ignored.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -205,40 +243,55 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = held[-1:], len(held[-1][1])
 
 
+def run_bounds(ids: DataFrame, parts: int) -> np.ndarray:
+    """Ascending ids that end runs of about equal size; an id that fills several of them stands alone in its own."""
+    if parts < 2:
+        return np.empty(0, np.int64)
+    shares = [k / parts for k in range(1, parts)]
+    got = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * parts)).alias("q")).first()["q"] or []
+    ends, times = np.unique(np.array(got, np.int64), return_counts=True)
+    hot = ends[(times > 1) & (ends > np.iinfo(np.int64).min)]
+    return np.union1d(ends, hot - 1)
+
+
 def fingerprint_edits(documents: DataFrame) -> DataFrame:
     """Fingerprint every text and its edited text, whose last third comes from the next document.
 
     Next: the next lower doc_id; after the lowest (nulls are lowest) the highest; rows of one doc_id
-    follow by text. The driver sees counts and highest ids of BINS equal ranges of doc_id and joins them
-    into runs of about RUN_ROWS rows; each run gets the first row of the next run as a guest, so each text
-    is shuffled once and a task streams its sorted runs. Null texts are empty. An empty table gives no
-    rows; other columns are ignored. Returns the columns of EDITED.
+    follow by a hash of their text. The driver sees quantiles of doc_id and the counts and highest ids of
+    the runs between them, RUNS at most; an id or the nulls with more rows than a run are cut into runs by
+    that hash. Each run gets the first row of the next run as a guest, so each text is shuffled once and a
+    task streams its sorted runs. Null texts are empty. An empty table gives no rows; other columns are
+    ignored. Returns the columns of EDITED.
     """
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    span = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
-    width = max(1, -(-((span["high"] or 0) - (span["low"] or 0) + 1) // BINS))
-    # bins are numbered in the order of the walk; nulls come last
-    place = F.coalesce(F.floor((F.lit(span["high"] or 0) - F.col("doc_id")) / width), F.lit(BINS + 1)).cast("int")
-    rows = rows.withColumn("bin", place)
-    bins = rows.groupBy("bin").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).orderBy("bin").collect()
-    plan, run, held, tops = [], 0, 0, []
-    for b in bins:
-        if held >= RUN_ROWS:
-            run, held = run + 1, 0
-        if not held:
-            tops.append((b["bin"], b["top"]))
-        held += b["n"]
-        plan.append([b["bin"], run])
-    first = {b: (r, top) for r, (b, top) in enumerate(tops)}
-    kind = "bin int, run int, top long, host int"
-    table = [(b, r, first[b][1] if b in first else None, (first[b][0] - 1) % len(tops) if b in first else None) for b, r in plan]
-    plan_rows = documents.sparkSession.createDataFrame(table, kind)
-    # at most BINS + 1 rows of four numbers: bounded, so broadcast
-    rows = rows.join(F.broadcast(plan_rows), "bin")
+    total = documents.count()
+    ends = run_bounds(rows.select("doc_id"), min(RUNS, -(-total // RUN_ROWS)))
+    # runs are numbered in the order of the walk, from the highest id; nulls come last
+    number = F.pandas_udf(lambda ids: pd.Series(len(ends) - np.searchsorted(ends, ids.to_numpy()), dtype="int32"), "int")
+    place = F.when(F.col("doc_id").isNull(), F.lit(len(ends) + 1)).otherwise(number(F.coalesce("doc_id", F.lit(0).cast("long"))))
+    rows = rows.withColumn("range", place).withColumn("salt", F.shiftrightunsigned(F.xxhash64("text", F.lit(29)), 1))
+    ranges = rows.groupBy("range").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("alone")).orderBy("range").collect()
+    plan, run = [], 0
+    for r in ranges:
+        parts = -(-r["n"] // RUN_ROWS) if r["alone"] and r["n"] > 2 * RUN_ROWS else 1
+        plan.append((r["range"], run, parts))
+        run += parts
+    spark = documents.sparkSession
+    # at most 2 * RUNS + 2 ranges of three numbers: bounded, so broadcast
+    rows = rows.join(F.broadcast(spark.createDataFrame(plan, "range int, first int, parts int")), "range")
+    rows = rows.withColumn("run", (F.col("first") + F.when(F.col("parts") > 1, F.floor(F.shiftright("salt", 47) * F.col("parts") / 65536)).otherwise(0)).cast("int"))
+    if run > len(ranges):
+        tops = rows.groupBy("run").agg(F.max("doc_id").alias("top"), F.min(F.when(F.col("parts") > 1, F.col("salt"))).alias("least")).orderBy("run").collect()
+    else:
+        tops = [{"run": k, "top": r["top"], "least": None} for k, r in enumerate(ranges)]
+    hosts = [(t["run"], t["top"], t["least"], tops[k - 1]["run"]) for k, t in enumerate(tops)]
+    rows = rows.join(F.broadcast(spark.createDataFrame(hosts, "run int, top long, least long, host int")), "run")
     own = F.struct(F.col("run"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("host").alias("run"), F.lit(True).alias("guest"))
-    both = F.when(F.col("host").isNotNull() & F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, guest)).otherwise(F.array(own))
-    dealt = rows.select("doc_id", "text", F.explode(both).alias("to")).select("doc_id", "text", "to.run", "to.guest")
-    parts = max(1, min(len(tops), 20_000))
-    ordered = dealt.repartitionById(parts, F.pmod("run", F.lit(parts))).sortWithinPartitions("run", "guest", F.desc_nulls_last("doc_id"), "text")
-    return ordered.mapInArrow(_walk, EDITED)
+    leads = F.col("doc_id").eqNullSafe(F.col("top")) & F.coalesce(F.col("salt") == F.col("least"), F.lit(True))
+    dealt = rows.select("doc_id", "text", "salt", F.explode(F.when(leads, F.array(own, guest)).otherwise(F.array(own))).alias("to")).select("doc_id", "text", "salt", "to.run", "to.guest")
+    parts = max(1, min(len(tops), RUNS))
+    ordered = dealt.repartitionById(parts, F.pmod("run", F.lit(parts))).sortWithinPartitions("run", "guest", F.desc_nulls_last("doc_id"), "salt", "text")
+    return ordered.select("run", "guest", "doc_id", "text").mapInArrow(_walk, EDITED)
