@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from barloom.llm.common import Scratch
+
 #: Atomic groups: ranges of the hash of the text. Their number is fixed, so the driver's part of the search never grows.
 GROUPS = 1 << 16
 #: A group of more rows is numbered in several parts; the driver's table then has at most 2 * GROUPS rows.
@@ -36,27 +38,45 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
 
 
 def cut(sizes: list[int], shards: int) -> list[int]:
-    """A shard for each of the ordered atomic sizes, the largest shard as small as it can be.
+    """A shard for each of the ordered atomic sizes: contiguous, and the largest shard as small as it can be.
 
-    A size above the mean of what is left to share gets a shard of its own (it alone would set the
-    capacity and leave other shards empty); the minimax search then runs over the others in their order.
+    A size above the mean of what the other shards share would leave shards beside it empty, so the order
+    is parted there: the size is a shard, and the stretches before and after it get the shards left, each
+    time the stretch with the largest shard. Where that would exceed the smallest capacity of the whole
+    order, or there are too few shards for the stretches, the order is cut as one.
     """
-    alone: set[int] = set()
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    left, total = shards, sum(sizes)
-    for i in order:
+    capacity = smallest_capacity(sizes, shards)
+    left, total, alone = shards, sum(sizes), set()
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
         if left <= 1 or sizes[i] * left <= total:
             break
         alone.add(i)
         left, total = left - 1, total - sizes[i]
-    rest = [i for i in range(len(sizes)) if i not in alone]
-    out = [0] * len(sizes)
-    for shard, i in enumerate(sorted(alone)):
-        out[i] = left + shard
-    kept = [sizes[i] for i in rest]
-    for i, shard in zip(rest, near_equal_cuts(kept, left, smallest_capacity(kept, left)), strict=True):
-        out[i] = shard
-    return out
+    stretches, start = [], 0
+    for i in [*sorted(alone), len(sizes)]:
+        if i > start:
+            stretches.append((start, i))
+        start = i + 1
+    if alone and len(stretches) <= left:
+        parts = [sizes[a:b] for a, b in stretches]
+        given = [1] * len(parts)
+        need = [smallest_capacity(p, 1) for p in parts]
+        for _ in range(left - len(parts) if parts else 0):
+            k = max(range(len(parts)), key=need.__getitem__)
+            given[k] += 1
+            need[k] = smallest_capacity(parts[k], given[k])
+        if max(need, default=0) <= capacity:
+            out, shard, where = [0] * len(sizes), 0, {a: k for k, (a, _) in enumerate(stretches)}
+            for i in range(len(sizes)):
+                if i in alone:
+                    out[i], shard = shard, shard + 1
+                elif i in where:
+                    k = where[i]
+                    own = near_equal_cuts(parts[k], given[k], need[k])
+                    out[i : i + len(own)] = [shard + x for x in own]
+                    shard += given[k]
+            return out
+    return near_equal_cuts(sizes, shards, capacity)
 
 
 def near_equal_cuts(sizes: list[int], shards: int, capacity: int) -> list[int]:
@@ -95,12 +115,15 @@ def shard_documents(documents: DataFrame, shards: int = 40, overhead: int = 16)
     no rows. Other columns are ignored. Returns doc_id, size, text_crc32, law, shard, slot, grown_shard.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select(
-        "doc_id",
-        (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(text), 64 - (GROUPS.bit_length() - 1)).cast("int").alias("grp"),
-    )
+    with Scratch(documents.sparkSession) as t:
+        # the narrow rows are written once: texts are read once, and each row's number in its task parts hot groups whatever the ids
+        rows = t.keep("rows", documents.select(
+            "doc_id",
+            (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.shiftrightunsigned(F.xxhash64(text), 64 - (GROUPS.bit_length() - 1)).cast("int").alias("grp"),
+            F.monotonically_increasing_id().alias("row_"),
+        ))
     groups = rows.groupBy("grp").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy("grp").collect()
     total = sum(g["n"] for g in groups)
     most = max(PART_ROWS, total // GROUPS)
@@ -110,14 +133,14 @@ def shard_documents(documents: DataFrame, shards: int = 40, overhead: int = 16)
     plan = spark.createDataFrame([(g["grp"], -(-g["n"] // most), s) for g, s in zip(groups, shard, strict=True)], kind)
     # at most GROUPS rows of three integers: bounded, so broadcast
     rows = rows.join(F.broadcast(plan), "grp").withColumn(
-        "part", F.when(F.col("parts") == 1, 0).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("parts")).cast("int"))
+        "part", F.when(F.col("parts") == 1, 0).otherwise(F.pmod(F.xxhash64("row_"), F.col("parts")).cast("int"))
     )
     # at most GROUPS + total / most rows, which is at most 2 * GROUPS
     counts = rows.groupBy("shard", "grp", "part").agg(F.count("*").alias("n"))
     first = counts.select(
         "grp", "part", (F.sum("n").over(W.partitionBy("shard").orderBy("grp", "part")) - F.col("n")).alias("first")
     )
-    place = F.row_number().over(W.partitionBy("grp", "part").orderBy("doc_id", "size", "text_crc32"))
+    place = F.row_number().over(W.partitionBy("grp", "part").orderBy("doc_id", "size", "text_crc32", "row_"))
     return (
         rows.withColumn("place", place - 1)
         .join(F.broadcast(first), ["grp", "part"])
