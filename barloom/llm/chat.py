@@ -62,9 +62,11 @@ def code_points(data: np.ndarray) -> np.ndarray:
 
 def format_rows(rows: pa.Table) -> pa.RecordBatch:
     """Whole conversations, ordered, to one formatted string and loss mask each."""
-    conv = pd.Series(rows.column("conv_id").to_pandas(types_mapper=None)).to_numpy(dtype="float64", na_value=np.nan) if rows.column("conv_id").null_count else rows.column("conv_id").to_numpy()
+    ids = rows.column("conv_id").combine_chunks()
+    missing = pc.is_null(ids).to_numpy(zero_copy_only=False)
+    conv = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
     n = len(conv)
-    same = (conv[1:] == conv[:-1]) | (np.isnan(conv[1:]) & np.isnan(conv[:-1])) if conv.dtype.kind == "f" else conv[1:] == conv[:-1]
+    same = (conv[1:] == conv[:-1]) & (missing[1:] == missing[:-1])
     first = np.concatenate([[True], ~same])
     last = np.concatenate([~same, [True]])
     every = np.ones(n, bool)
@@ -84,7 +86,7 @@ def format_rows(rows: pa.Table) -> pa.RecordBatch:
     start, end = count[ends[:, 3]] - base, count[ends[:, 4]] - base
     lists = np.concatenate([[0], np.cumsum(np.bincount(which[learn], minlength=len(where_last)))]).astype(np.int32)
     mask = [pa.ListArray.from_arrays(pa.array(lists), pa.array(x[learn])) for x in (start, end)]
-    ids = rows.column("conv_id").combine_chunks().take(pa.array(where_last))
+    ids = ids.take(pa.array(where_last))
     turns = np.diff(np.concatenate([[-1], where_last]))
     return pa.RecordBatch.from_arrays([ids, pa.array(turns), formatted.cast(pa.string()), *mask], ["conv_id", "n_turns", "formatted", "loss_start", "loss_end"])
 
