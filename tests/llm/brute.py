@@ -109,3 +109,42 @@ def leaks_by_share(documents: list[tuple[int, str]], items: list[tuple[int, str]
                 if own and 5 * same >= 4 * len(own):
                     found.add((doc, item))
     return found
+
+
+def syncmer_sketch(text: str, settings) -> list[int]:
+    """The fingerprint of one text from the definition: k-mers whose least inner hash stands at an edge, by one hash function for each inner string."""
+    k, s = settings.K, settings.S
+    mask = (1 << 64) - 1
+
+    def mixed(x: int) -> int:
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
+            x ^= x >> shift
+            x = x * factor & mask
+        return x ^ (x >> 32)
+
+    def inner(i: int) -> int:
+        h = 0
+        for c in text[i : i + s]:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c)) & mask
+        return mixed(h)
+
+    found: dict[int, int] = {}
+    for i in range(len(text) - k + 1):
+        own = [inner(j) for j in range(i, i + k - s + 1)]
+        if min(own) in (own[0], own[-1]):
+            h = 0
+            for j in range(0, k, s):
+                h = (h * 0xD6E8FEB86659FD93 + own[j]) & mask
+            found.setdefault(mixed(h) >> (64 - settings.HASH_BITS), i)
+    return [(h << settings.PLACE_BITS) | i for h, i in sorted(found.items())[: settings.KEPT]]
+
+
+def positional_likeness(a: list[int], b: list[int], kept: int, bits: int) -> float:
+    """Shared anchors among the smallest of both, as many as stand in one order, over those."""
+    x, y = ({v >> bits: v & ((1 << bits) - 1) for v in s} for s in (a, b))
+    union = sorted(set(x) | set(y))[:kept]
+    places = [q for _, q in sorted((x[h], y[h]) for h in union if h in x and h in y)]
+    best: list[int] = []
+    for i, q in enumerate(places):
+        best.append(1 + max([best[j] for j in range(i) if places[j] <= q], default=0))
+    return max(best, default=0) / len(union)

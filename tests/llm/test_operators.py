@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from barloom.llm import chat, decontamination, fingerprints, jaccard_join, packing, pii, quality, queries, sharding, token_counts, toxicity
+from barloom.llm.common import Scratch
 from tests.llm import brute
 
 FOLDER = "/root/testdata/sf0.001"
@@ -436,7 +437,138 @@ def test_classes_on_odd_rows(spark, odd, empty):
     assert jaccard_join.jaccard_classes(empty).count() == jaccard_join.without_near_duplicates(empty).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("last", [1 << 20, 0])
+def test_components_of_chains_and_stars(spark, last):
     edges = [(i, i + 1) for i in range(10, 40)] + [(100, j) for j in range(101, 140)] + [(7, 7)]
-    roots = {r["node"]: r["root"] for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with Scratch(spark) as t:
+        found = jaccard_join.components(spark.createDataFrame(edges, "a long, b long").repartition(3), t, "c", last)
+        roots = {r["node"]: r["root"] for r in found.collect()}
+    assert len(roots) == 31 + 40
     assert all(roots[i] == 10 for i in range(10, 41)) and all(roots[i] == 100 for i in range(100, 140))
+
+
+def test_a_leader_of_many_copies_is_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:30] + [f"x{k}"] + words[30:]) for k in range(120)] + [" ".join(reversed(words))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(docs(spark, texts)).collect()}
+    assert got == brute.jaccard_classes(list(enumerate(texts)))
+
+
+def test_rows_of_a_shared_id_go_by_their_own_text(spark):
+    item = " ".join(f"word{i}" for i in range(30))
+    rows = spark.createDataFrame([(None, f"before {item} after"), (None, "a clean text"), (3, item), (3, "another clean text"), (4, None)], "doc_id long, text string")
+    kept = decontamination.without_leaks(rows, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(str(r["text"]) for r in kept.collect()) == ["None", "a clean text", "another clean text"]
+
+
+# ---- hot, null, sparse and extreme ids
+
+
+def spread(df):
+    """Rows of each task that gives any."""
+    return sorted(len(x) for x in df.rdd.mapPartitions(lambda rows: [list(rows)]).collect() if x)
+
+
+def test_fingerprint_runs_split_sparse_and_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RUN_ROWS", 50)
+    ids = [*range(300), 1 << 50, -(1 << 63), (1 << 63) - 1] + [77] * 300 + [None] * 300
+    rows = spark.createDataFrame([(d, f"text number {k} of these") for k, d in enumerate(ids)], "doc_id long, text string")
+    out = fingerprints.fingerprint_edits(rows)
+    sizes = spread(out)
+    assert sum(sizes) == len(ids) and max(sizes) <= 150
+    # every row is followed by the next one once: the edits borrow each text's head from exactly one other row
+    assert out.where("doc_id IS NULL").count() == 300 and out.where("doc_id = 77").count() == 301
+
+
+def test_positions_decide_likeness():
+    rng = random.Random(5)
+    blocks = ["".join(rng.choice("abcdefghij ") for _ in range(400)) for _ in range(6)]
+    same, inserted, turned = "".join(blocks), blocks[0] + "new words " + "".join(blocks[1:]), "".join(reversed(blocks))
+    a, b, c = fingerprints.sketches([same, inserted, turned])
+    assert fingerprints.likeness(a, a) == 1 and fingerprints.likeness(a, b) > 0.8 > 0.5 > fingerprints.likeness(a, c)
+
+
+def test_fingerprints_and_likeness_from_their_definition():
+    """Anchors found window by window in plain Python; likeness by sets and all orders."""
+    rng = random.Random(6)
+    for n in (40, 90, 300):
+        text = "".join(rng.choice("abcdef gh") for _ in range(n))
+        other = text[: n // 2] + "".join(rng.choice("abcdef gh") for _ in range(n // 2))
+        sketches = fingerprints.sketches([text, other])
+        plain = [brute.syncmer_sketch(t, fingerprints) for t in (text, other)]
+        assert [s.tolist() for s in sketches] == plain
+        assert fingerprints.likeness(*sketches) == pytest.approx(brute.positional_likeness(*plain, fingerprints.KEPT, fingerprints.PLACE_BITS))
+
+
+def test_chat_keeps_large_and_null_ids_apart(spark):
+    ids = [None, 1 << 53, (1 << 53) + 1, None]
+    rows = spark.createDataFrame([(d, k, "user", f"t{k}") for k, d in enumerate(ids)], "conv_id long, turn int, role string, text string")
+    got = {r["conv_id"]: r["n_turns"] for r in chat.format_conversations(rows).collect()}
+    assert got == {None: 2, 1 << 53: 1, (1 << 53) + 1: 1}
+
+
+def test_pieces_of_one_id_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 40)
+    rows = spark.createDataFrame([(None, "a few words")] * 400, "doc_id long, text string").repartition(4)
+    out = packing.pack_documents(rows, BPE)
+    assert out.select(F.shiftright("sequence_id", 32).alias("g")).distinct().count() >= 8 and out.count() == 400
+
+
+def test_tokenizers_of_other_kinds_are_refused():
+    with pytest.raises(ValueError):
+        packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("hot", [0, 3, 9])
+def test_cuts_are_contiguous_and_minimax(hot):
+    rng = random.Random(hot)
+    sizes = [rng.randint(1, 30) for _ in range(400)]
+    for k in range(hot):
+        sizes[rng.randrange(400)] = 900 + k
+    shards = sharding.cut(sizes, 40)
+    assert shards == sorted(shards) and set(shards) <= set(range(40))
+    totals = [sum(s for s, x in zip(sizes, shards, strict=True) if x == k) for k in range(40)]
+    assert max(totals) == sharding.smallest_capacity(sizes, 40) or max(totals) <= max(sizes)
+    assert min(totals) > 0
+
+
+def test_long_copies_are_verified_once_a_run(spark):
+    words = [f"w{i}" for i in range(3000)]
+    item = " ".join(words)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    hits = decontamination.leaks(docs(spark, [item, "x " * 700 + item, " ".join(w if k % 9 else "other" for k, w in enumerate(words))]), bench)
+    got = {r["doc_id"]: (r["matched"], r["position"]) for r in hits.collect()}
+    assert got[0] == (3000, 0) and got[1] == (3000, 700) and got[2][0] == 3000 - 334 and got[2][1] == 0
+
+
+def test_redaction_is_that_of_plain_python(spark):
+    rng = random.Random(8)
+    kinds = ["a.b@c.dd", "1.2.3.4", "4111 1111 1111 1111", "+1 (017) 555-7713", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "word", "ß🎉", "id 123-45-6789", "9870157079875996"]
+    texts = [" ".join(rng.choice(kinds) for _ in range(n)) for n in (0, 1, 3, 10, 60, 400, 3000)] + [None]
+    rows = docs(spark, texts)
+    spans = {r["doc_id"]: r["spans"] for r in pii.digests(pii.detect(rows)).collect()}
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redact(rows).collect()}
+    for d, text in enumerate(texts):
+        if text is None:
+            assert got[d] == (None, None)
+            continue
+        out, at = [], 0
+        for start, end, kind in sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in spans[d].split(",") if x)):
+            if start >= at:
+                out.append(text[at:start] + f"[{kind.upper()}]")
+            at = max(at, end)
+        want = "".join(out) + text[at:]
+        assert got[d] == (want, len(want))
+
+
+def test_added_spans_are_told_from_decoys(spark):
+    """Precision and recall of added spans on made cases: announced secrets and grouped numbers against bare runs of digits."""
+    rng = random.Random(9)
+    hexed = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    real = [f'here token = "{hexed()}" ends' for _ in range(60)] + [f"my ssn {rng.randint(100, 999)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)} is" for _ in range(30)]
+    decoys = [f"said, {d} and" for d in (rng.randint(10**15, 10**16 - 1) for _ in range(60))] + [f"the part {rng.choice('abc')}{rng.randint(10**11, 10**12)} lies" for _ in range(10)]
+    rows = pii.digests(pii.detect(docs(spark, real + decoys))).collect()
+    found = {r["doc_id"] for r in rows if r["n_number"] + r["n_secret"]}
+    hits = len([d for d in found if d < len(real)])
+    assert hits >= 0.9 * len(real) and hits >= 0.9 * len(found)
