@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import (
-    change, clip, ewm, filled, frame, lag, ratio, rolling, rolling2, row_no, safe_divide, stages, zscore,
+    change, clip, filled, frame, lag, prefix, ratio, rolling, rolling2, rolling_correlation, row_no, safe_divide, smoothed, stages, zscore, zscore_or_null,
 )
 
 INDICATORS: dict[str, Callable[..., DataFrame]] = {}
@@ -154,11 +154,15 @@ def simple_rsi(bars: DataFrame, lookback: int = 14) -> DataFrame:
 
 @indicator
 def williams_r(bars: DataFrame, period: int = 14, standardize_window: int = 60) -> DataFrame:
-    """Williams %R around its centre, damped by the trend, standardised."""
+    """Williams %R around its centre, damped by up to half where the trend is strong, standardised."""
     top, bottom = rolling(F.max, "high", period), rolling(F.min, "low", period)
     raw = safe_divide(F.col("top") - F.col("close"), F.col("top") - F.col("bottom"), 0.5) * -100 + 50
-    trend = F.tanh(ratio(F.col("close") - lag("close", period - 1), lag("close", period - 1)) * 10)
-    return stages(bars, {"top": top, "bottom": bottom}, {"x": raw * (1 - F.abs(trend))}, {"value": clip(zscore("x", standardize_window), -3, 3)})
+    first = lag("close", period - 1)
+    trend = F.when(F.count("close").over(frame(period)) >= period, F.when(first == 0, 0.0).otherwise(ratio(F.col("close") - first, first)))
+    return stages(
+        bars, {"top": top, "bottom": bottom, "trend": F.tanh(trend * 20)}, {"x": raw * (1 - F.abs("trend") * 0.5)},
+        {"value": clip(zscore("x", standardize_window, period), -3, 3)},
+    )
 
 
 @indicator
@@ -169,53 +173,64 @@ def orb_relvol(bars: DataFrame, period: int = 14) -> DataFrame:
 
 @indicator
 def donchian_channel(bars: DataFrame, period: int = 20, standardize_window: int = 60) -> DataFrame:
-    """Place in the channel, its drift and width, standardised and smoothed."""
+    """Place in the channel (0.4), breakout (0.3), distance from its middle (0.2) and width (0.1), standardised and smoothed."""
     top, bottom = rolling(F.max, "high", period), rolling(F.min, "low", period)
-    width = F.col("top") - F.col("bottom")
-    place = safe_divide(F.col("close") - F.col("bottom"), width, 0.5) * 2 - 1
-    drift = F.tanh(safe_divide(F.col("mid") - lag("mid", period), F.col("mid")) * 10)
-    blend = F.col("place") * 0.5 + F.col("drift") * 0.3 + F.tanh(F.col("wide") * 5) * F.col("place") * 0.2
-    return stages(
-        bars, {"top": top, "bottom": bottom}, {"mid": (F.col("top") + F.col("bottom")) / 2},
-        {"place": place, "drift": drift, "wide": safe_divide(width, "mid")}, {"x": blend}, {"z": zscore("x", standardize_window)},
-        {"e": ewm("z", 0.1)}, {"value": clip(F.col("e"), -3, 3)},
+    beyond = F.greatest(F.col("close") - F.col("top"), F.lit(0.0)) + F.least(F.col("close") - F.col("bottom"), F.lit(0.0))
+    beyond = F.when(F.col("top").isNotNull() & F.col("bottom").isNotNull(), beyond)
+    place = (safe_divide(F.col("close") - F.col("bottom"), "width", 0.5) - 0.5) * 2
+    trend = safe_divide(F.col("close") - (F.col("top") + F.col("bottom")) / 2, "width")
+    blend = place * 0.4 + safe_divide(beyond, "width") * 0.3 + trend * 0.2 + F.tanh(2 - safe_divide("width", "usual", 1.0)) * 0.1
+    rows = stages(
+        bars, {"top": top, "bottom": bottom}, {"width": F.col("top") - F.col("bottom")}, {"usual": rolling(F.avg, "width", 2 * period, period)},
+        {"x": blend}, {"z_": zscore("x", standardize_window, period)}, keep=("z_",),
     )
+    return smoothed(rows, {"e_": ("z_", 0.1)}).withColumn("value", clip(F.col("e_"), -3, 3)).drop("z_", "e_")
 
 
 @indicator
 def slowkdj(bars: DataFrame, k_period: int = 14, k_smooth: int = 3, d_smooth: int = 3, standardize_window: int = 60) -> DataFrame:
-    """Slow stochastic J, as a reversal signal damped by momentum, standardised."""
-    rsv = safe_divide(F.col("close") - rolling(F.min, "low", k_period), rolling(F.max, "high", k_period) - rolling(F.min, "low", k_period), 0.5) * 100
+    """Mean distance of slow K, D and J from overbought, scaled by momentum, standardised."""
+    low, high = rolling(F.min, "low", k_period), rolling(F.max, "high", k_period)
+    signal = ((100 - F.col("k")) + (100 - F.col("d")) + (100 - (F.col("k") * 3 - F.col("d") * 2))) / 3 - 50
     return stages(
-        bars, {"r": rsv}, {"k": rolling(F.avg, "r", k_smooth, 1)}, {"d": rolling(F.avg, "k", d_smooth, 1)},
-        {"x": -(F.col("k") * 3 - F.col("d") * 2 - 50) / 50 * 0.7 + F.tanh((F.col("k") - F.col("d")) / 10) * 0.3},
-        {"value": clip(zscore("x", standardize_window), -3, 3)},
+        bars, {"r": safe_divide(F.col("close") - low, high - low, 0.5) * 100}, {"k": rolling(F.avg, "r", k_smooth)}, {"d": rolling(F.avg, "k", d_smooth)},
+        {"x": signal * (1 + F.tanh(change("close", k_period) * 10) * 0.3)}, {"value": clip(zscore("x", standardize_window, k_period), -3, 3)},
     )
 
 
 @indicator
 def rsi_divergence(bars: DataFrame, rsi_period: int = 14, divergence_period: int = 20, standardize_window: int = 60) -> DataFrame:
-    """Opposite slopes of price and strength, with a part for extreme strength, standardised."""
-    base = rsi(bars, rsi_period).withColumnRenamed("value", "strength").withColumn("t", row_no())
-    slopes = {"a": rolling2(F.regr_slope, "p", "t", divergence_period), "b": rolling2(F.regr_slope, F.col("strength") / 100, "t", divergence_period)}
-    out = stages(
-        base, {"p": ratio("close", lag("close", divergence_period))}, slopes,
-        {"x": -F.col("a") * F.col("b") * 1e4 * 0.6 + (50 - F.col("strength")) / 50 * 0.4}, {"value": clip(zscore("x", standardize_window), -3, 3)},
+    """Opposite slopes of price and strength (0.6) and strength beyond 30 and 70 (0.4), times the root of relative volatility, standardised."""
+    d, k = F.col("close") - lag("close"), F.col("strength")
+    gains, losses = F.greatest(F.col("d"), F.lit(0.0)), F.greatest(-F.col("d"), F.lit(0.0))
+    slopes = {
+        "a": rolling2(F.regr_slope, "close", "t", divergence_period), "b": rolling2(F.regr_slope, "strength", "t", divergence_period),
+        "usual": rolling(F.avg, "s", standardize_window),
+    }
+    extreme = F.when(k > 70, -(k - 70) / 30).when(k < 30, (30 - k) / 30).otherwise(0.0)
+    return stages(
+        bars, {"d": F.coalesce(d, F.lit(0.0)), "r": change(), "t": row_no()},
+        {"g": rolling(F.avg, gains, rsi_period), "l": rolling(F.avg, losses, rsi_period), "s": rolling(F.stddev_samp, "r", rsi_period)},
+        {"strength": 100 - 100 / (1 + safe_divide("g", "l", 1.0))}, slopes,
+        {"x": (-F.col("a") * F.col("b") * 0.6 + extreme * 0.4) * F.sqrt(safe_divide("s", "usual", 1.0))},
+        {"value": clip(zscore("x", standardize_window, rsi_period), -3, 3)},
     )
-    return out.select(*bars.columns, "value")
 
 
 @indicator
 def atr(bars: DataFrame, period: int = 14) -> DataFrame:
     """Smoothed true range."""
-    return stages(bars, {"p": lag("close")}, {"tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("p")), F.abs(F.col("low") - F.col("p")))}, {"value": ewm("tr", 1 / period)})
+    span = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("p")), F.abs(F.col("low") - F.col("p")))
+    rows = stages(bars, {"p": lag("close")}, {"tr_": span}, keep=("tr_",))
+    return smoothed(rows, {"value": ("tr_", 1 / period)}).drop("tr_")
 
 
 @indicator
 def close_atr_proxy(bars: DataFrame, lookback: int = 14) -> DataFrame:
     """Smoothed absolute change of the close, null until `lookback` changes are there."""
-    d = F.abs(F.col("close") - lag("close"))
-    return stages(bars, {"d": d}, {"e": ewm("d", 1 / lookback), "n": F.count("d").over(frame(1_000_000_000))}, {"value": F.when(F.col("n") >= lookback, F.col("e"))})
+    rows = stages(bars, {"d_": F.abs(F.col("close") - lag("close"))}, {"n_": F.count("d_").over(prefix())}, keep=("d_", "n_"))
+    rows = smoothed(rows, {"e_": ("d_", 1 / lookback)})
+    return rows.withColumn("value", F.when(F.col("n_") >= lookback, F.col("e_"))).drop("d_", "n_", "e_")
 
 
 # ---- volatility
@@ -233,8 +248,9 @@ def realized_volatility(bars: DataFrame, lookback: int = 20) -> DataFrame:
 
 @indicator
 def vr_downside_semivariance_premium(bars: DataFrame, period: int = 20) -> DataFrame:
-    """Inverse of the losses' root mean square."""
-    return stages(bars, {"r": change()}, {"d": F.when(F.col("r").isNotNull(), F.least(F.col("r"), F.lit(0.0)))}, {"s": rolling(F.avg, F.col("d") * F.col("d"), period)}, {"value": F.tanh(ratio(F.lit(1.0), F.sqrt("s")))})
+    """Inverse of the losses' root mean square; a bar without a return counts as no loss."""
+    s = F.col("s")
+    return stages(bars, {"r": change()}, {"d": F.when(F.col("r") < 0, F.col("r")).otherwise(0.0)}, {"s": rolling(F.avg, F.col("d") * F.col("d"), period)}, {"value": F.tanh(ratio(F.lit(1.0), F.sqrt(F.when(s > 1e-12, s))))})
 
 
 @indicator
@@ -246,15 +262,19 @@ def vr_vol_quantile_rank(bars: DataFrame, short_period: int = 10, long_lookback:
 
 @indicator
 def vr_vol_mean_reversion_speed(bars: DataFrame, period: int = 20, lag_by: int = 5) -> DataFrame:
-    return stages(bars, {"r": change()}, {"s": rolling(F.stddev_samp, "r", period)}, {"p": lag("s", lag_by)}, {"value": clip(-rolling2(F.corr, "s", "p", period), -1, 1)})
+    return stages(bars, {"r": change()}, {"s": rolling(F.stddev_samp, "r", period)}, {"p": lag("s", lag_by)}, {"value": clip(-rolling_correlation("s", "p", period), -1, 1)})
 
 
 @indicator
 def vr_up_down_vol_asymmetry(bars: DataFrame, period: int = 20) -> DataFrame:
+    """Log ratio of the root mean squares of gains and of losses, each over its own bars."""
     square = F.col("r") * F.col("r")
-    up, down = F.when(F.col("r").isNotNull(), F.when(F.col("r") > 0, square).otherwise(0.0)), F.when(F.col("r").isNotNull(), F.when(F.col("r") < 0, square).otherwise(0.0))
-    steps = {"a": F.sqrt(rolling(F.avg, "u", period)), "b": F.sqrt(rolling(F.avg, "d", period))}
-    return stages(bars, {"r": change()}, {"u": up, "d": down}, steps, {"value": F.tanh(F.log(positive(F.col("a"))) - F.log(positive(F.col("b"))))})
+    steps = {}
+    for name, cond in (("a", F.col("r") > 0), ("b", F.col("r") < 0)):
+        total, n = rolling(F.sum, F.when(cond, square).otherwise(0.0), period), rolling(F.sum, F.when(cond, 1.0).otherwise(0.0), period)
+        steps[name] = F.sqrt(ratio(total, n))
+    a, b = F.col("a"), F.col("b")
+    return stages(bars, {"r": change()}, steps, {"value": F.when((a > 1e-10) & (b > 1e-10), F.tanh(F.log(positive(a)) - F.log(positive(b))))})
 
 
 @indicator
@@ -264,12 +284,12 @@ def vr_var_tail_risk_inverse(bars: DataFrame, period: int = 60, quantile: float
 
 @indicator
 def vr_vol_clustering_autocorr(bars: DataFrame, period: int = 20, lag_by: int = 1) -> DataFrame:
-    return stages(bars, {"r": F.abs(change())}, {"p": lag("r", lag_by)}, {"value": clip(-rolling2(F.corr, "r", "p", period), -1, 1)})
+    return stages(bars, {"r": F.abs(change())}, {"p": lag("r", lag_by)}, {"value": clip(-rolling_correlation("r", "p", period), -1, 1)})
 
 
 @indicator
 def vr_hurst_regime_persistence(bars: DataFrame, period: int = 100) -> DataFrame:
-    """Rescaled range of the log close's window, as an exponent, minus one half."""
+    """Rescaled range of the log close's window, as an exponent, minus one half, within one half of 0."""
     walk = F.aggregate(
         "a", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("top"), F.lit(0.0).alias("low"), F.lit(0).alias("n")),
         lambda z, x: F.struct(
@@ -280,8 +300,9 @@ def vr_hurst_regime_persistence(bars: DataFrame, period: int = 100) -> DataFrame
         ),
         lambda z: z["top"] - z["low"],
     )
-    steps = {"m": rolling(F.avg, "y", period), "s": rolling(F.stddev_pop, "y", period), "a": F.collect_list("y").over(frame(period))}
-    return stages(bars, {"y": F.log(positive(F.col("close")))}, steps, {"value": F.when(F.col("m").isNotNull(), F.log(positive(ratio(walk, "s"))) / math.log(period) - 0.5)})
+    steps = {"m": rolling(F.avg, "y", period), "s": rolling(F.stddev_samp, "y", period), "a": F.collect_list("y").over(frame(period))}
+    spread = F.when(F.col("s") > 1e-12, F.col("s"))
+    return stages(bars, {"y": F.log(positive(F.col("close")))}, steps, {"value": F.when(F.col("m").isNotNull(), clip(F.log(positive(ratio(walk, spread))) / math.log(period) - 0.5, -0.5, 0.5))})
 
 
 @indicator
@@ -299,24 +320,28 @@ def vr2_vol_term_structure_tanh(bars: DataFrame, short_period: int = 10, long_pe
 
 @indicator
 def vr2_calmar_risk_adjusted(bars: DataFrame, period: int = 60) -> DataFrame:
-    """Change over the window over its largest drawdown."""
+    """Change over the window over its largest drawdown; null where the window begins at no positive price or never falls."""
     worst = F.aggregate(
         "a", F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("dd")),
-        lambda z, x: F.struct(F.greatest(z["top"], x).alias("top"), F.greatest(z["dd"], 1 - x / F.greatest(z["top"], x)).alias("dd")), lambda z: z["dd"],
+        lambda z, x: F.struct(F.greatest(z["top"], x).alias("top"), F.greatest(z["dd"], 1 - F.coalesce(ratio(x, F.greatest(z["top"], x)), F.lit(1.0))).alias("dd")), lambda z: z["dd"],
     )
-    return stages(bars, {"a": F.collect_list("close").over(frame(period))}, {"value": F.when(F.size("a") == period, F.tanh(ratio(F.col("close") / F.element_at("a", 1) - 1, worst)))})
+    first = F.get("a", F.lit(0))
+    gain = F.when((F.size("a") == period) & (first > 0), ratio("close", first) - 1)
+    return stages(bars, {"a": F.collect_list("close").over(frame(period))}, {"dd": worst}, {"value": F.tanh(ratio(gain, F.when(F.col("dd") > 1e-8, F.col("dd"))))})
 
 
 @indicator
 def vr2_atr_close_zscore(bars: DataFrame, atr_period: int = 14, zscore_window: int = 60) -> DataFrame:
     base = atr(bars, atr_period).withColumnRenamed("value", "range")
-    return stages(base, {"x": ratio("range", "close")}, {"value": -F.tanh(zscore("x", zscore_window))}).drop("range")
+    return stages(base, {"x": ratio("range", positive(F.col("close")))}, {"value": -F.tanh(zscore("x", zscore_window, atr_period))}).drop("range")
 
 
 @indicator
 def vr2_return_skew_risk_premium(bars: DataFrame, period: int = 40) -> DataFrame:
+    """Skewness of log returns by the sample deviation, negated and saturated."""
     factor = ((period - 1) / period) ** 1.5
-    return stages(bars, {"r": change()}, {"value": -F.tanh(rolling(F.skewness, "r", period) * factor)})
+    steps = {"k": rolling(F.skewness, "r", period), "s": rolling(F.stddev_samp, "r", period)}
+    return stages(bars, {"r": F.log(positive(ratio(positive(F.col("close")), lag("close"))))}, steps, {"value": F.when(F.col("s") > 1e-10, -F.tanh(F.col("k") * factor))})
 
 
 # ---- mean reversion
@@ -330,13 +355,17 @@ def mr_quantile_deviation(bars: DataFrame, period: int = 60, q: float = 0.5) ->
 
 @indicator
 def mr_return_autocorr(bars: DataFrame, period: int = 20, lag_by: int = 5) -> DataFrame:
-    return stages(bars, {"r": change()}, {"p": lag("r", lag_by)}, {"value": -rolling2(F.corr, "r", "p", period, period // 2)})
+    """Correlation of log returns with those `lag_by` bars before, negated."""
+    whole = row_no() >= period + lag_by
+    return stages(bars, {"r": F.log(positive(ratio("close", lag("close"))))}, {"p": lag("r", lag_by)}, {"value": F.when(whole, -rolling_correlation("r", "p", period, period // 2))})
 
 
 @indicator
 def mr_tail_extreme(bars: DataFrame, period: int = 60, k: float = 2.0) -> DataFrame:
-    z = ratio(F.col("close") - rolling(F.avg, "close", period), rolling(F.stddev_pop, "close", period))
-    return stages(bars, {"z": z}, {"value": -F.when(F.abs("z") > k, F.signum("z") * (F.abs("z") - k)).otherwise(F.col("z") * 0.3)})
+    """A log return's distance from its mean in deviations, negated: what exceeds k of them, else a third part."""
+    m, s = rolling(F.avg, "r", period, period // 2), rolling(F.stddev_pop, "r", period, period // 2)
+    z = F.when(row_no() > period, ratio(F.col("r") - m, F.when(s >= 1e-10, s)))
+    return stages(bars, {"r": F.log(positive(ratio("close", lag("close"))))}, {"z": z}, {"value": -F.when(F.abs("z") > k, F.signum("z") * (F.abs("z") - k)).otherwise(F.col("z") * 0.3)})
 
 
 @indicator
@@ -369,7 +398,7 @@ def tm_momentum_jerk(bars: DataFrame, period: int = 10) -> DataFrame:
 @indicator
 def tm_trend_persistence_weighted(bars: DataFrame, period: int = 20, lookback: int = 60) -> DataFrame:
     up = F.when(F.col("r").isNotNull(), (F.col("r") > 0).cast("double"))
-    return stages(bars, {"r": change()}, {"u": up}, {"x": (rolling(F.avg, "u", period) * 2 - 1) * change("close", period)}, {"value": clip(zscore("x", lookback), -3, 3)})
+    return stages(bars, {"r": change()}, {"u": up}, {"x": (rolling(F.avg, "u", period) * 2 - 1) * change("close", period)}, {"value": clip(zscore_or_null("x", lookback, period), -3, 3)})
 
 
 @indicator
@@ -391,15 +420,20 @@ def tm_up_down_volume_asymmetry_momentum(bars: DataFrame, period: int = 20) -> D
 
 @indicator
 def tm_momentum_dispersion_reversal(bars: DataFrame, period: int = 20, lookback: int = 60) -> DataFrame:
-    steps = {"x": F.tanh(ratio(F.lit(1.0), rolling(F.stddev_samp, "r", period))) * rolling(F.avg, "r", period)}
-    return stages(bars, {"r": F.log(positive(ratio("close", lag("close"))))}, steps, {"value": clip(zscore("x", lookback), -3, 3)})
+    v = F.col("v")
+    steps = {"x": F.tanh(ratio(F.lit(1.0), F.sqrt(F.when(v > 1e-12, v)))) * F.col("m")}
+    return stages(
+        bars, {"r": F.log(positive(ratio("close", lag("close"))))}, {"v": rolling(F.var_samp, "r", period), "m": rolling(F.avg, "r", period)}, steps,
+        {"value": clip(zscore_or_null("x", lookback, period), -3, 3)},
+    )
 
 
 @indicator
 def tm2_ema_slope_acceleration(bars: DataFrame, fast: int = 10, slow: int = 30, slope_period: int = 5) -> DataFrame:
-    steps = {"a": ewm("close", 2 / (fast + 1)), "b": ewm("close", 2 / (slow + 1))}
-    slope = lambda x: ratio(x, lag(x, slope_period)) - 1
-    return stages(bars, steps, {"value": F.tanh(slope("a") - slope("b"))})
+    """Slope of the fast exponential mean less that of the slow one, saturated."""
+    rows = smoothed(bars, {"a_": ("close", 2 / (fast + 1)), "b_": ("close", 2 / (slow + 1))})
+    slope = lambda x: (F.col(x) - lag(x, slope_period)) / slope_period
+    return stages(rows, {"value": F.tanh(slope("a_") - slope("b_"))}).drop("a_", "b_")
 
 
 @indicator
@@ -411,15 +445,17 @@ def tm2_trend_information_ratio(bars: DataFrame, period: int = 25) -> DataFrame:
 
 @indicator
 def tm2_higher_moment_trend_health(bars: DataFrame, period: int = 30, lookback: int = 120) -> DataFrame:
-    steps = {"x": (rolling(F.skewness, "r", period) - rolling(F.kurtosis, "r", period) * 0.5) * rolling(F.avg, "r", period)}
-    return stages(bars, {"r": F.log(positive(ratio("close", lag("close"))))}, steps, {"value": clip(zscore("x", lookback), -3, 3)})
+    """Skewness less half the excess kurtosis, times the mean return; the moments are 0 where returns do not vary."""
+    still = rolling(F.stddev_pop, "r", period) <= 1e-10
+    shape = F.when(still, 0.0).otherwise(rolling(F.skewness, "r", period) - rolling(F.kurtosis, "r", period) * 0.5)
+    return stages(bars, {"r": F.log(positive(ratio("close", lag("close"))))}, {"x": shape * rolling(F.avg, "r", period)}, {"value": clip(zscore_or_null("x", lookback, period), -3, 3)})
 
 
 @indicator
 def tm2_breakout_persistence_momentum(bars: DataFrame, period: int = 20, slope_period: int = 20) -> DataFrame:
-    top = rolling(F.max, "close", period)
-    flag = F.when(F.col("top").isNotNull(), (F.col("close") >= F.col("top")).cast("double"))
-    return stages(bars, {"t": row_no(), "y": F.log(positive(F.col("close"))), "top": top}, {"f": flag}, {"value": rolling(F.avg, "f", period) * rolling2(F.regr_slope, "y", "t", slope_period)})
+    """Share of bars at their window's high, times the slope of the log close; a bar without a whole window is no breakout."""
+    flag = F.coalesce((F.col("close") >= F.col("top")).cast("double"), F.lit(0.0))
+    return stages(bars, {"t": row_no(), "y": F.log(positive(F.col("close"))), "top": rolling(F.max, "close", period)}, {"f": flag}, {"value": rolling(F.avg, "f", period) * rolling2(F.regr_slope, "y", "t", slope_period)})
 
 
 # ---- volume
@@ -427,7 +463,7 @@ def tm2_breakout_persistence_momentum(bars: DataFrame, period: int = 20, slope_p
 
 @indicator
 def vl_volume_price_corr_reversal(bars: DataFrame, period: int = 20) -> DataFrame:
-    return stages(bars, {"r": change(), "q": change("volume")}, {"value": -F.tanh(rolling2(F.corr, "r", "q", period))})
+    return stages(bars, {"r": change(), "q": change("volume")}, {"value": -F.tanh(rolling_correlation("r", "q", period))})
 
 
 @indicator
@@ -444,8 +480,9 @@ def vl_volume_concentration_herfindahl(bars: DataFrame, period: int = 20) -> Dat
 
 @indicator
 def vl_up_day_volume_share(bars: DataFrame, period: int = 20) -> DataFrame:
-    up = F.when(F.col("r").isNotNull(), F.when(F.col("r") > 0, F.col("volume")).otherwise(0.0))
-    return stages(bars, {"r": change()}, {"u": up, "w": F.when(F.col("r").isNotNull(), F.col("volume"))}, {"value": ratio(rolling(F.sum, "u", period), rolling(F.sum, "w", period)) - 0.5})
+    """Share of the volume that fell on rising bars, less one half; the first bar rises not."""
+    up = F.when(F.col("close") > lag("close"), F.col("volume")).when(F.col("volume").isNotNull(), 0.0)
+    return stages(bars, {"u": up}, {"value": ratio(rolling(F.sum, "u", period), rolling(F.sum, "volume", period)) - 0.5})
 
 
 @indicator
@@ -459,6 +496,8 @@ def vl_volume_acceleration(bars: DataFrame, period: int = 10) -> DataFrame:
 
 
 @indicator
-def vl_price_volume_divergence(bars: DataFrame, period: int = 20, standardize_window: int = 60) -> DataFrame:
-    steps = {"a": rolling2(F.regr_slope, "close", "t", period), "b": rolling2(F.regr_slope, "volume", "t", period)}
-    return stages(bars, {"t": row_no()}, steps, {"value": -(zscore("a", standardize_window) - zscore("b", standardize_window))})
+def vl_price_volume_divergence(bars: DataFrame, period: int = 20) -> DataFrame:
+    """Standardised slope of the log volume less that of the log price."""
+    steps = {"a": rolling2(F.regr_slope, "y", "t", period), "b": rolling2(F.regr_slope, "v", "t", period)}
+    logs = {"t": row_no(), "y": F.log(positive(F.col("close"))), "v": F.log(positive(F.col("volume")))}
+    return stages(bars, logs, steps, {"value": -(zscore_or_null("a", period * 3, period, 0.0) - zscore_or_null("b", period * 3, period, 0.0))})

@@ -6,10 +6,12 @@ that build on one window share its sort. Frames count rows, and `least` guards t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def series() -> WindowSpec:
@@ -108,24 +110,70 @@ def zscore(x: Column | str, n: int, least: int | None = None, floor: float = 1e-
     return (col(x) - mean) / F.when(std > floor, std).otherwise(F.lit(floor))
 
 
-def ewm(x: Column | str, alpha: float) -> Column:
-    """Exponential mean (recursive form), seeded at the first value; nulls at the start are left out.
+def zscore_or_null(x: Column | str, n: int, least: int, tiny: float = 1e-8) -> Column:
+    """(x - mean) / std over the last n rows; null where the std is not above `tiny`."""
+    std = rolling(F.stddev_samp, x, n, least)
+    return ratio(col(x) - rolling(F.avg, x, n, least), F.when(std > tiny, std))
 
-    The fold runs over the symbol's collected prefix, in the JVM; its cost grows with the square of a
-    symbol's rows, so long series go through `ewm_grouped`.
+
+def correlation(y: Column | str, x: Column | str) -> Column:
+    """Pearson correlation of the whole pairs of a group; null, not an error, where a side is constant."""
+    both = col(y).isNotNull() & col(x).isNotNull()
+    a, b = F.when(both, col(y)), F.when(both, col(x))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def rolling_correlation(y: Column | str, x: Column | str, n: int, least: int | None = None, tiny: float = 1e-10) -> Column:
+    """Correlation of the whole pairs of the last n rows; null where a side's deviation is not above `tiny`."""
+    both = col(y).isNotNull() & col(x).isNotNull()
+    a, b = F.when(both, col(y)), F.when(both, col(x))
+    s, t = F.stddev_pop(a).over(frame(n)), F.stddev_pop(b).over(frame(n))
+    value = F.try_divide(F.covar_pop(a, b).over(frame(n)), s * t)
+    return F.when((F.count(a).over(frame(n)) >= (n if least is None else least)) & (s > tiny) & (t > tiny), value)
+
+
+def smoothed(df: DataFrame, columns: dict[str, tuple[str, float]]) -> DataFrame:
+    """The rows with exponential means added: new column -> (column, alpha), in the recursive form seeded at the first value.
+
+    One pass over each symbol's sorted rows with the state carried from batch to batch, so the cost is the
+    number of rows and a task holds one batch. At a null the mean stays, and weighs less at the next value.
     """
-    seen = F.collect_list(col(x)).over(prefix())
-    start = F.lit(None).cast("double")
-    return F.aggregate(seen, start, lambda a, v: F.when(a.isNull(), v).otherwise(a * (1 - alpha) + v * alpha))
+    names = list(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, state = None, {}
+        for batch in batches:
+            symbols = batch.column("symbol").to_pylist()
+            series_ = {out: batch.column(x).to_pylist() for out, (x, _) in columns.items()}
+            made: dict[str, list[float | None]] = {out: [] for out in names}
+            for i, own in enumerate(symbols):
+                if own != symbol:
+                    symbol, state = own, {out: (None, 1.0) for out in names}
+                for out, (_, alpha) in columns.items():
+                    mean, weight = state[out]
+                    x = series_[out][i]
+                    if x is not None and mean is None:
+                        mean = x
+                    elif mean is not None:
+                        weight *= 1 - alpha
+                        if x is not None:
+                            mean, weight = (weight * mean + alpha * x) / (weight + alpha), 1.0
+                    state[out] = (mean, weight)
+                    made[out].append(mean)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(made[out], pa.float64()) for out in names]], [*batch.schema.names, *names])
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(out, T.DoubleType()) for out in names]])
+    return df.repartition("symbol").sortWithinPartitions("symbol", "eob").mapInArrow(run, schema)
 
 
 def average_rank(x: Column | str, by: tuple[str, ...] = ("eob",), descending: bool = False) -> Column:
     """Rank with ties at their mean, among rows of a group whose x is not null."""
     own = col(x)
-    group = Window.partitionBy(*by, own.isNull())
-    ranked = F.rank().over(group.orderBy(own.desc() if descending else own.asc()))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, own))
-    return F.when(own.isNotNull(), ranked + (ties - 1) / 2)
+    group = Window.partitionBy(*by)
+    # nulls come last and take no part; ties share the mean of the first rank from either end
+    ranked = F.rank().over(group.orderBy(own.desc_nulls_last() if descending else own.asc_nulls_last()))
+    reverse = F.rank().over(group.orderBy(own.asc_nulls_last() if descending else own.desc_nulls_last()))
+    return F.when(own.isNotNull(), (ranked + F.count(own).over(group) + 1 - reverse) / 2)
 
 
 def percent_rank(x: Column | str, by: tuple[str, ...] = ("eob",)) -> Column:

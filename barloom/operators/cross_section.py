@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import average_rank, by_date, col, first_rank, lead, percent_rank, population_z, ratio
+from barloom.functions.windows import average_rank, by_date, col, correlation, first_rank, lead, percent_rank, population_z, ratio
 
 
 def clip_mad(df: DataFrame, x: str, n: float, by: tuple[str, ...] = ("eob",), out: str = "value") -> DataFrame:
@@ -44,7 +44,7 @@ def rank_ic(df: DataFrame, factor: str, target: str, least: int = 5, by: tuple[s
     """Spearman correlation of factor and target in each group with `least` whole pairs or more."""
     pairs = df.where(F.col(factor).isNotNull() & F.col(target).isNotNull())
     ranked = pairs.select(*by, average_rank(factor, by).alias("a_"), average_rank(target, by).alias("b_"))
-    out = ranked.groupBy(*by).agg(F.corr("a_", "b_").alias("ic"), F.count("*").alias("n"))
+    out = ranked.groupBy(*by).agg(correlation("a_", "b_").alias("ic"), F.count("*").alias("n"))
     return out.where(F.col("n") >= least)
 
 
@@ -124,7 +124,7 @@ def rank_autocorrelation(df: DataFrame, x: str, periods: list[int]) -> DataFrame
     series = Window.partitionBy("symbol").orderBy("eob")
     cells = F.array(*[F.struct(F.lit(p).alias("period"), F.col("r").alias("r"), F.lag("r", p).over(series).alias("q")) for p in periods])
     long = ranked.withColumn("c", cells).select("eob", F.explode("c").alias("c")).select("eob", "c.*").where("q IS NOT NULL")
-    return long.groupBy("period", "eob").agg(F.corr("r", "q").alias("k")).groupBy("period").agg(F.avg("k").alias("autocorrelation"), F.count("k").alias("n"))
+    return long.groupBy("period", "eob").agg(correlation("r", "q").alias("k")).groupBy("period").agg(F.avg("k").alias("autocorrelation"), F.count("k").alias("n"))
 
 
 def top_jaccard(df: DataFrame, a: str, b: str, n: int) -> DataFrame:

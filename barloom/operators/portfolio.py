@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,7 +108,7 @@ def volatility_target(df: DataFrame, target: float = 0.1, lookback: int = 60, le
 
 def gap_down(df: DataFrame, gap: float = 0.02, drop: float = 0.03) -> DataFrame:
     p = F.col("p_")
-    hit = ((p - F.col("open")) / p > gap) | ((p - F.col("close")) / p > drop)
+    hit = (ratio(p - F.col("open"), p) > gap) | (ratio(p - F.col("close"), p) > drop)
     return df.withColumn("p_", lag("close")).withColumn("exit", F.coalesce(hit, F.lit(False)).cast("double")).drop("p_")
 
 
@@ -135,33 +137,60 @@ def hysteresis(df: DataFrame, trigger: float = 2.0, recover: float = 1.5, short:
     return df.withColumn("s_", state).withColumn("exit", F.coalesce(F.last("s_", ignorenulls=True).over(prefix()), F.lit(0.0))).drop("s_", "ratio_")
 
 
-# ---- sequential rules: one symbol (or one portfolio) is one group of plain rows
+# ---- sequential rules: state machines over sorted rows
+
+
+def walked(rows: DataFrame, machine: Callable[[], Callable[..., float]], columns: tuple[str, ...], out: str = "weight") -> DataFrame:
+    """symbol, eob and the state that a machine of its own gives at each row of a symbol, in order of time.
+
+    A task streams its sorted symbols and holds one batch; the state is carried from batch to batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, step = None, None
+        for batch in batches:
+            states = []
+            for own, *values in zip(*(batch.column(c).to_pylist() for c in ("symbol", *columns)), strict=True):
+                if step is None or own != symbol:
+                    symbol, step = own, machine()
+                states.append(step(*values))
+            yield pa.RecordBatch.from_arrays([batch.column("symbol"), batch.column("eob"), pa.array(states, pa.float64())], ["symbol", "eob", out])
+
+    ordered = rows.select("symbol", "eob", *columns).repartition("symbol").sortWithinPartitions("symbol", "eob")
+    return ordered.mapInArrow(run, f"symbol string, eob {dict(rows.dtypes)['eob']}, {out} double")
 
 
 def reversion_stop(df: DataFrame, ma: int = 10, span: int = 14, multiplier: float = 2.0) -> DataFrame:
-    """Position of a reversion rule: long below the mean, out at a stop that only rises.
+    """Position of a reversion rule: long below the mean, out at a stop under the high-water mark of close and high that only rises.
 
-    Mean and range are windows; only the state machine runs in pandas, one symbol a group.
+    Flat while mean or range are missing. Mean and range are windows; only the state machine runs in
+    Python, over each symbol's sorted rows with its state carried from batch to batch.
     """
     from barloom.functions.indicators import atr
 
     rows = atr(df, span).withColumnRenamed("value", "range_").withColumn("mean_", rolling(F.avg, "close", ma))
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("eob")
-        held, stop, out = 0.0, -np.inf, []
-        for close, mean, span_ in zip(part["close"], part["mean_"], part["range_"], strict=True):
-            if held and close <= stop:
-                held, stop = 0.0, -np.inf
-            elif not held and mean == mean and close < mean and span_ == span_:
-                held, stop = 1.0, close - multiplier * span_
-            if held and span_ == span_:
-                stop = max(stop, close - multiplier * span_)
-            out.append(held)
-        return pd.DataFrame({"symbol": part["symbol"], "eob": part["eob"], "weight": out})
-
-    kind = f"symbol string, eob {dict(df.dtypes)['eob']}, weight double"
-    return rows.select("symbol", "eob", "close", "mean_", "range_").groupBy("symbol").applyInPandas(walk, kind)
+    def machine() -> Callable[..., float]:
+        held, mark, stop = 0.0, 0.0, 0.0
+
+        def step(close: float, high: float, mean: float | None, width: float | None) -> float:
+            nonlocal held, mark, stop
+            if mean is None or width is None:
+                return 0.0
+            if not held:
+                if close < mean:
+                    held, mark = 1.0, max(close, high)
+                    stop = mark - multiplier * width
+            else:
+                mark = max(mark, close, high)
+                stop = max(stop, mark - multiplier * width)
+                if close <= stop:
+                    held = 0.0
+            return held
+
+        return step
+
+    return walked(rows, machine, ("close", "high", "mean_", "range_"))
 
 
 def constrained(df: DataFrame, blocked: str, strategy: str = "strategy_id") -> DataFrame:

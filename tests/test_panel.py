@@ -48,7 +48,7 @@ def test_average_rank_is_that_of_pandas(spark):
 
 def test_ewm_is_that_of_pandas(spark):
     closes = [10.0, 11.0, 9.0, 12.0, 8.0]
-    got = [r["e"] for r in series(spark, closes).withColumn("e", w.ewm("close", 0.3)).orderBy("eob").collect()]
+    got = [r["e"] for r in w.smoothed(series(spark, closes), {"e": ("close", 0.3)}).orderBy("eob").collect()]
     assert np.allclose(got, pd.Series(closes).ewm(alpha=0.3, adjust=False).mean())
 
 
