@@ -149,3 +149,97 @@ def component_snapshot(df: DataFrame, components: list[str], least: int) -> Data
     there = F.filter(F.array(*[F.col(f"p_{c}") for c in components]), lambda v: v.isNotNull())
     mean = F.aggregate("v_", F.lit(0.0), lambda s, v: s + v) / F.size("v_")
     return df.withColumn("v_", there).withColumn("score", F.when(F.size("v_") >= least, mean)).withColumn("coverage", F.size("v_").cast("long")).drop("v_", *[f"p_{c}" for c in components])
+
+
+# ---- summaries
+
+
+def brinson_summary(df: DataFrame) -> DataFrame:
+    """Mean and largest weights and summed effects of each category over all dates."""
+    weights = df.groupBy("eob", "category").agg(F.sum("weight").alias("wp"), F.sum("benchmark").alias("wb"))
+    both = brinson(df).join(weights, ["eob", "category"])
+    return both.groupBy("category").agg(
+        F.avg("wp").alias("avg_portfolio"), F.avg("wb").alias("avg_benchmark"), F.max("wp").alias("max_portfolio"), F.sum("allocation").alias("allocation"),
+        F.sum("selection").alias("selection"), F.sum("interaction").alias("interaction"), F.sum(F.col("allocation") + F.col("selection") + F.col("interaction")).alias("total"), F.count_distinct("eob").alias("days"),
+    )
+
+
+def reconciled(pnl: DataFrame, daily: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """Each date's profit summed over symbols beside the portfolio's (`from_portfolio`), and whether they agree."""
+    rows = pnl.groupBy("eob").agg(F.sum("gross").alias("from_symbols")).join(daily, "eob")
+    return rows.withColumn("agrees", F.abs(F.coalesce("from_symbols", F.lit(0.0)) - F.coalesce("from_portfolio", F.lit(0.0))) <= tolerance)
+
+
+def action_summary(df: DataFrame) -> DataFrame:
+    """Number, turnover, mean return to the next bar and profit of each kind of action."""
+    moved = F.abs(F.col("weight") - F.col("before"))
+    return actions(df).groupBy("action").agg(
+        F.count("*").alias("actions"), F.sum(moved).alias("turnover"), F.avg(moved).alias("mean_turnover"), F.avg("ret").alias("mean_return"), F.sum(F.col("weight") * F.col("ret")).alias("pnl")
+    )
+
+
+def bucket_summary(buckets: DataFrame) -> DataFrame:
+    """Means of the ranking buckets' returns, and how much and how often the top one is ahead of the others."""
+    daily = buckets.groupBy("eob").agg(*[F.max(F.when(F.col("bucket") == b, F.col("mean_return"))).alias(b) for b in ("top", "next", "rest", "universe")])
+    ahead = lambda b: F.avg(F.when(F.col("top").isNotNull() & F.col(b).isNotNull(), (F.col("top") > F.col(b)).cast("double")))
+    others = ("next", "rest", "universe")
+    return daily.agg(
+        F.count("top").alias("dates"), *[F.avg(b).alias(f"{b}_mean") for b in ("top", *others)],
+        *[F.avg(F.col("top") - F.col(b)).alias(f"over_{b}") for b in others], *[ahead(b).alias(f"wins_{b}") for b in others],
+    )
+
+
+def variant_metrics(rows: DataFrame) -> DataFrame:
+    """Performance, turnover and cost of each variant; rows of variant, eob, gross, ret, turnover, cost."""
+    before = Window.partitionBy("variant").orderBy("eob").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("e_", F.product(1 + F.col("ret")).over(before)).withColumn("dd_", 1 - F.col("e_") / F.max("e_").over(before))
+    out = rows.groupBy("variant").agg(
+        (F.max_by("e_", "eob") - 1).alias("total_return"), F.max("dd_").alias("max_drawdown"), (F.stddev_samp("ret") * 252**0.5).alias("v_"), F.count("*").alias("days"),
+        F.sum("turnover").alias("turnover"), F.sum("cost").alias("cost"), (F.product(1 + F.col("gross")) - 1).alias("gross"),
+    )
+    out = out.withColumn("ann_return", F.pow(1 + F.col("total_return"), F.lit(252.0) / F.col("days")) - 1)
+    return out.withColumn("sharpe", F.try_divide("ann_return", "v_"))
+
+
+def _against(rows: DataFrame, base: str) -> DataFrame:
+    """Each variant's figures beside those of the base variant (suffix _b); without it there are no rows."""
+    all_ = variant_metrics(rows)
+    own = all_.where(F.col("variant") == base)
+    return all_.withColumn("one_", F.lit(1)).join(own.select(F.lit(1).alias("one_"), *[F.col(c).alias(f"{c}_b") for c in own.columns]), "one_")  # the base is one row
+
+
+def counterfactuals(rows: DataFrame, base: str) -> DataFrame:
+    """What the base variant has over each: return, drawdown, Sharpe ratio, turnover and cost."""
+    d = lambda c: F.col(f"{c}_b") - F.col(c)
+    return _against(rows, base).select(
+        "variant", "ann_return", d("ann_return").alias("delta_return"), d("max_drawdown").alias("delta_drawdown"), d("sharpe").alias("delta_sharpe"), d("turnover").alias("delta_turnover"), d("cost").alias("delta_cost")
+    )
+
+
+def turnover_costs(rows: DataFrame, base: str) -> DataFrame:
+    """For each variant without a player: what that player's trades cost, what they bring gross, and net."""
+    both = _against(rows, base).where(F.col("variant") != base)
+    saving, missed = F.col("cost") - F.col("cost_b"), F.col("gross") - F.col("gross_b")
+    return both.select(
+        "variant", (F.col("turnover_b") - F.col("turnover")).alias("turnover_edge"), saving.alias("cost_saving"), missed.alias("opportunity_cost"),
+        (F.col("total_return_b") - F.col("total_return")).alias("net_edge"), (saving - missed).alias("net_value"),
+    )
+
+
+def episode_losers(pnl: DataFrame, top: int) -> DataFrame:
+    """The symbols with the smallest profit between the peak and the trough of the deepest drawdown of the summed net profit."""
+    daily = pnl.where("net IS NOT NULL").groupBy("eob").agg(F.sum("net").alias("ret"))
+    whole = Window.orderBy("eob").rowsBetween(Window.unboundedPreceding, 0)  # one row a date
+    e = daily.withColumn("e_", F.product(1 + F.col("ret")).over(whole)).withColumn("dd_", 1 - F.col("e_") / F.max("e_").over(whole))
+    e = e.withColumn("peak", F.max(F.when(F.col("dd_") == 0, F.col("eob"))).over(whole))
+    worst = e.agg(F.min_by(F.struct("peak", F.col("eob").alias("trough")), F.struct(F.negative("dd_"), "eob")).alias("w")).select("w.*")
+    inside = pnl.join(F.broadcast(worst), (F.col("eob") > F.col("peak")) & (F.col("eob") <= F.col("trough")))  # one row
+    return inside.groupBy("symbol").agg(F.sum("net").alias("pnl")).orderBy("pnl", "symbol").limit(top)
+
+
+def interactions(values: DataFrame, players: int) -> DataFrame:
+    """For each pair of players what the two are worth together beyond what each is worth alone; values: mask, value."""
+    at = lambda mask: F.max(F.when(F.col("mask") == mask, F.col("value")))
+    pairs = [(i, j) for i in range(players) for j in range(i + 1, players)]
+    cells = [F.struct(F.lit(i).cast("long").alias("left_player"), F.lit(j).cast("long").alias("right_player"), (at((1 << i) | (1 << j)) - at(1 << i) - at(1 << j) + at(0)).alias("interaction")) for i, j in pairs]
+    return values.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")

@@ -82,16 +82,10 @@ def drawdown_episodes(daily: DataFrame, ret: str = "ret", top: int = 5) -> DataF
 
 
 def breadth(df: DataFrame, period: int = 20) -> DataFrame:
-    """Share of symbols above their mean on each date."""
-    m = rolling(F.avg, "close", period, period // 2)
-    rows = df.withColumn("m_", m).withColumn("up_", F.when(F.col("m_").isNotNull(), (F.col("close") > F.col("m_")).cast("double")))
-    return rows.groupBy("eob").agg(F.coalesce(F.avg("up_"), F.lit(0.5)).alias("breadth"))
-
-
-def breadth_scaled(df: DataFrame, threshold: float = 0.3, scale: float = 0.5, period: int = 20) -> DataFrame:
-    """Weights scaled down on dates of low breadth."""
-    scaled = F.col("weight") * F.coalesce(F.when(F.col("breadth") < threshold, scale), F.lit(1.0))
-    return df.join(breadth(df, period), "eob", "left").withColumn("weight", scaled)
+    """Share of the symbols with a close that stand above their mean on each date; 0.5 where there is none."""
+    rows = df.withColumn("m_", rolling(F.avg, "close", period, max(1, period // 2)))
+    above = F.sum(F.coalesce((F.col("close") > F.col("m_")).cast("long"), F.lit(0)))
+    return rows.groupBy("eob").agg(F.coalesce(F.try_divide(above, F.count("close")), F.lit(0.5)).alias("breadth"))
 
 
 def volatility_target(df: DataFrame, target: float = 0.1, lookback: int = 60, least: int = 20) -> DataFrame:

@@ -175,3 +175,16 @@ def permutation_shapley(spark, players: int, value: Callable[[int], float], perm
 def neutral_score(df: DataFrame, x: str, category: str = "category") -> DataFrame:
     """x less its category's mean on each date."""
     return df.withColumn("value", F.col(x) - F.avg(x).over(by_date().partitionBy("eob", category)))
+
+
+def purged_folds(days: DataFrame, folds: int, purge: int, embargo: int) -> DataFrame:
+    """Days of test and training of each of the consecutive folds of a calendar.
+
+    Training loses `purge` days on either side of a test and `embargo` more behind it. days: one row a date.
+    """
+    whole = Window.partitionBy()  # one row a date
+    places = days.select((F.row_number().over(dates()) - 1).alias("i"), F.count("*").over(whole).alias("n"))
+    places = places.withColumn("fold", F.floor(F.col("i") / F.ceil(F.col("n") / folds)).cast("long"))
+    ends = places.groupBy("fold").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.max("n").alias("n"))
+    lost = F.least(F.col("b") + purge + embargo, F.col("n") - 1) - F.greatest(F.col("a") - purge, F.lit(0)) + 1
+    return ends.select("fold", (F.col("b") - F.col("a") + 1).cast("long").alias("test_days"), (F.col("n") - lost).cast("long").alias("train_days"))

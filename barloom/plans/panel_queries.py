@@ -333,7 +333,7 @@ def inverse_variance(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(pf.inverse_risk(rows, "picked", 20, 10, 2).select("symbol", "eob", "weight"))
 
 
-@query(f"WITH {BRAND_WEEK}, m AS (SELECT *, {roll('avg', 'close', 20, 10)} AS m FROM bars) SELECT eob, round(coalesce(avg(CASE WHEN m IS NOT NULL THEN CASE WHEN close > m THEN 1.0 ELSE 0.0 END END), 0.5), 6) AS breadth FROM m GROUP BY eob")
+@query(f"WITH {BRAND_WEEK}, m AS (SELECT *, {roll('avg', 'close', 20, 10)} AS m FROM bars) SELECT eob, round(coalesce(sum(CASE WHEN close > m THEN 1.0 ELSE 0.0 END) / nullif(count(close), 0), 0.5), 6) AS breadth FROM m GROUP BY eob")
 def market_breadth(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(pf.breadth(panels.brand_bars(spark, folder)))
 
