@@ -572,3 +572,43 @@ def test_added_spans_are_told_from_decoys(spark):
     found = {r["doc_id"] for r in rows if r["n_number"] + r["n_secret"]}
     hits = len([d for d in found if d < len(real)])
     assert hits >= 0.9 * len(real) and hits >= 0.9 * len(found)
+
+
+# ---- the pipeline
+
+
+def test_pipeline_stages_against_plain_python(spark, tmp_path):
+    """Each stage on what its predecessor kept, held against a plain computation on that stage's input."""
+    import corpus_pipeline
+
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    columns, out = rows.columns, {}
+    kept = rows
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, kept, FOLDER).write.parquet(f"{tmp_path}/{name}")
+        out[name] = (kept, spark.read.parquet(f"{tmp_path}/{name}"))
+        kept = out[name][1]
+        assert k == len(corpus_pipeline.STAGES) - 1 or kept.columns == columns
+    before, after = out["quality_classifier"]
+    model = quality.fit(before, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    good = {r["doc_id"] for r in quality.score(before, model).where("score >= 0.5").collect()}
+    assert {d for d, _ in texts_of(after)} == good and 0 < len(good) < before.count()
+    before, after = out["ngram_jaccard_join"]
+    classes = brute.jaccard_classes(texts_of(before))
+    assert {d for d, _ in texts_of(after)} == {d for d, (_, c) in classes.items() if c == d}
+    before, after = out["benchmark_decontamination"]
+    leaking = {r["doc_id"] for r in decontamination.leaks(before, spark.read.parquet(f"{FOLDER}/benchmark.parquet")).collect()}
+    assert {d for d, _ in texts_of(after)} == {d for d, _ in texts_of(before)} - leaking
+    before, after = out["personal_data"]
+    assert before.count() == after.count() and after.where(F.col("text").rlike(r"[a-z]@[a-z]+\.[a-z]")).count() == 0
+    before, after = out["best_fit_packing"]
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(BPE)
+    packed = after.collect()
+    assert sum(r["length"] for r in packed) == sum(len(whole.encode(t, add_special_tokens=False).ids) + 1 for _, t in texts_of(before))
+    filled: dict = {}
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == filled.get(r["sequence_id"], 0)
+        filled[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(filled.values()) <= 2048
