@@ -501,3 +501,29 @@ def vl_price_volume_divergence(bars: DataFrame, period: int = 20) -> DataFrame:
     steps = {"a": rolling2(F.regr_slope, "y", "t", period), "b": rolling2(F.regr_slope, "v", "t", period)}
     logs = {"t": row_no(), "y": F.log(positive(F.col("close"))), "v": F.log(positive(F.col("volume")))}
     return stages(bars, logs, steps, {"value": -(zscore_or_null("a", period * 3, period, 0.0) - zscore_or_null("b", period * 3, period, 0.0))})
+
+
+@indicator
+def mr_fractal_dim(bars: DataFrame, period: int = 30) -> DataFrame:
+    """Higuchi's fractal dimension of the last `period` closes, less 1.5; null outside (0.5, 2.5) and before 2 * period bars.
+
+    The curve's length at step k is a weighted sum of the window's moves over k bars; minus the slope of its
+    logarithm on that of k is the dimension.
+    """
+    w = F.collect_list("close").over(frame(period))
+
+    def length(k: int):
+        weights = [(period - 1) / (k * k * ((period - 1 - i % k) // k)) for i in range(k, period)]
+        moves = F.transform(F.sequence(F.lit(k), F.lit(period - 1)), lambda i: F.abs(F.get("w", i) - F.get("w", i - k)))
+        return F.aggregate(F.zip_with(moves, F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+    steps = range(1, min(5, period // 4) + 1)
+    ready = (F.size("w") == period) & (row_no() >= 2 * period)
+    logs = {f"y{k}": F.when(F.col("ready") & (F.col(f"l{k}") > 0), F.ln(f"l{k}")) for k in steps}
+    total = lambda term: sum((F.when(F.col(f"y{k}").isNotNull(), term(F.col(f"y{k}"), math.log(k))).otherwise(0.0) for k in steps), F.lit(0.0))
+    n, sx, sy, sxx, sxy = (total(t) for t in (lambda y, x: F.lit(1.0), lambda y, x: F.lit(x), lambda y, x: y, lambda y, x: F.lit(x * x), lambda y, x: y * x))
+    dim = -ratio(n * sxy - sx * sy, F.when(n >= 2, n * sxx - sx * sx))
+    return stages(
+        bars, {"w": w}, {"ready": ready}, {f"l{k}": F.when(F.col("ready"), length(k)) for k in steps}, logs, {"dim": dim},
+        {"value": F.when((F.col("dim") > 0.5) & (F.col("dim") < 2.5), F.col("dim") - 1.5)},
+    )

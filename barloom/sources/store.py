@@ -82,3 +82,22 @@ def compacted(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The latest version of each key, as an upsert leaves it."""
     latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version)))
     return rows.withColumn("n_", latest).where("n_ = 1").drop("n_")
+
+
+def list_symbols(spark: SparkSession, root: str, frequency: str) -> DataFrame:
+    """The stored symbols of a frequency, in order."""
+    return read(spark, root, frequency).select("symbol").distinct().orderBy("symbol")
+
+
+_TESTED = ("IC_mean", "IC_IR", "t_stat", "long_short_return")
+
+
+def best_factors(summary: DataFrame, namespace: str, least: float = 0.3) -> DataFrame:
+    """Factors of a namespace whose |IC_IR| is above `least`, the strongest first."""
+    rows = summary.where((F.col("namespace") == namespace) & (F.abs("IC_IR") > least))
+    return rows.select("factor_id", *_TESTED).orderBy(F.abs("IC_IR").desc(), "factor_id")
+
+
+def across_namespaces(summary: DataFrame, factor: str) -> DataFrame:
+    """A factor's results in every namespace that tested it, the strongest first."""
+    return summary.where(F.col("factor_id") == factor).select("namespace", *_TESTED).orderBy(F.abs("IC_IR").desc_nulls_last(), "namespace")

@@ -141,3 +141,28 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_top_n_is_limited_before_the_sort_ends(spark):
     plan = panel_queries.topn_weights(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_symbols_of_unknown_exchanges_stay_or_raise(spark):
+    from pyspark.sql import functions as F
+
+    from barloom.functions.features import to_prefixed, to_suffixed
+
+    rows = [("SHSE.510300",), ("SHFE.RB99",), ("SHFE.99",), ("XX.1",), ("plain",), (None,)]
+    got = spark.createDataFrame(rows, "s string").select(to_suffixed(F.col("s")).alias("a"), to_prefixed(to_suffixed(F.col("s"))).alias("b"), "s").collect()
+    assert [r.a for r in got] == ["510300.SH", "RB_DOMINANT.SHF", "99.SHF", "XX.1", "plain", None]
+    assert all(r.b == r.s for r in got)
+    with pytest.raises(Exception, match="unknown exchange"):
+        spark.createDataFrame(rows, "s string").select(to_suffixed(F.col("s"), strict=True)).collect()
+
+
+def test_fractal_dimension_of_a_straight_line_is_one(spark):
+    from datetime import date, timedelta
+
+    from barloom.functions.indicators import mr_fractal_dim
+
+    rows = [("a", date(2024, 1, 1) + timedelta(i), 10.0 + i) for i in range(70)] + [("b", date(2024, 1, 1), 1.0)] + [("c", date(2024, 1, 1) + timedelta(i), 5.0) for i in range(70)]
+    got = mr_fractal_dim(spark.createDataFrame(rows, "symbol string, eob date, close double")).orderBy("symbol", "eob").collect()
+    assert [r.value is None for r in got if r.symbol == "a"] == [True] * 59 + [False] * 11
+    assert all(abs(r.value + 0.5) < 1e-9 for r in got if r.value is not None)
+    assert all(r.value is None for r in got if r.symbol != "a")
