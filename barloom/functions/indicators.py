@@ -508,7 +508,8 @@ def mr_fractal_dim(bars: DataFrame, period: int = 30) -> DataFrame:
     """Higuchi's fractal dimension of the last `period` closes, less 1.5; null outside (0.5, 2.5) and before 2 * period bars.
 
     The curve's length at step k is a weighted sum of the window's moves over k bars; minus the slope of its
-    logarithm on that of k is the dimension.
+    logarithm on that of k is the dimension. By this scale alternating closes have 1 and a straight line 0,
+    which is outside and so null.
     """
     w = F.collect_list("close").over(frame(period))
 

@@ -156,12 +156,12 @@ def test_symbols_of_unknown_exchanges_stay_or_raise(spark):
         spark.createDataFrame(rows, "s string").select(to_suffixed(F.col("s"), strict=True)).collect()
 
 
-def test_fractal_dimension_of_a_straight_line_is_one(spark):
+def test_fractal_dimension_of_alternating_closes_is_one_and_of_lines_none(spark):
     from datetime import date, timedelta
 
     from barloom.functions.indicators import mr_fractal_dim
 
-    rows = [("a", date(2024, 1, 1) + timedelta(i), 10.0 + i) for i in range(70)] + [("b", date(2024, 1, 1), 1.0)] + [("c", date(2024, 1, 1) + timedelta(i), 5.0) for i in range(70)]
+    rows = [("a", date(2024, 1, 1) + timedelta(i), 10.0 + i % 2) for i in range(70)] + [("b", date(2024, 1, 1) + timedelta(i), 10.0 + i) for i in range(70)] + [("c", date(2024, 1, 1) + timedelta(i), 5.0) for i in range(70)]
     got = mr_fractal_dim(spark.createDataFrame(rows, "symbol string, eob date, close double")).orderBy("symbol", "eob").collect()
     assert [r.value is None for r in got if r.symbol == "a"] == [True] * 59 + [False] * 11
     assert all(abs(r.value + 0.5) < 1e-9 for r in got if r.value is not None)
