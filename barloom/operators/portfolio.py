@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from barloom.functions.windows import by_date, change, dates, dates_prefix, lag, lead, prefix, ratio, rolling, series
 
 YEAR = 252
+#: Weights and moves up to this are none.
+TINY = 1e-12
 
 
 def normalized(x: str) -> Column:
@@ -187,35 +189,56 @@ def reversion_stop(df: DataFrame, ma: int = 10, span: int = 14, multiplier: floa
     return walked(rows, machine, ("close", "high", "mean_", "range_"))
 
 
-def constrained(df: DataFrame, blocked: str, strategy: str = "strategy_id") -> DataFrame:
-    """Day-by-day weights of each strategy where blocked symbols cannot trade and buys share the cash that is left.
+def constrained(df: DataFrame, strategy: str = "strategy_id", suspended: str = "suspended", limit_up: str = "limit_up", limit_down: str = "limit_down") -> DataFrame:
+    """Day-by-day weights of each strategy: a suspended symbol does not trade, one at its upper limit is not bought, one at its lower limit not sold.
 
-    The symbols of a date are tied by the cash, so a strategy is one group; strategies run in parallel.
+    Buys share the cash that is left. Beside `executed` each row has its date's blocked_buy_weight (what the
+    cash could not fill included), blocked_sell_weight and cash_weight. Missing weights are 0, missing flags
+    false; rows are dense. The symbols of a date are tied by the cash, so a strategy's dates go in order
+    through one task, which holds one date and one batch; strategies run in parallel.
     """
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        out, have = [], {}
-        for _, day in part.sort_values(["eob", "symbol"]).groupby("eob", sort=True):
-            now = {}
-            wanted = {}
-            for symbol, weight, stuck in zip(day["symbol"], day["weight"], day[blocked], strict=True):
-                old = have.get(symbol, 0.0)
-                target = old if stuck else weight
-                now[symbol] = min(old, target)
-                wanted[symbol] = max(0.0, target - old)
-            cash = max(0.0, 1.0 - sum(now.values()))
-            need = sum(wanted.values())
-            share = min(1.0, cash / need) if need > 0 else 0.0
-            for symbol in now:
-                now[symbol] += wanted[symbol] * share
-                out.append((day["eob"].iloc[0], symbol, now[symbol]))
-            have = now
-        done = pd.DataFrame(out, columns=["eob", "symbol", "executed"])
-        done.insert(0, strategy, part[strategy].iloc[0])
-        return done
+    def day(rows: pd.DataFrame, have: pd.Series) -> tuple[pd.DataFrame, pd.Series]:
+        symbols = rows["symbol"].to_numpy()
+        old = have.reindex(symbols).fillna(0.0).to_numpy()
+        move = rows["weight"].to_numpy() - old
+        stuck = rows[suspended].to_numpy()
+        no_sell, no_buy = (move < -TINY) & (stuck | rows[limit_down].to_numpy()), (move > TINY) & (stuck | rows[limit_up].to_numpy())
+        sell, buy = np.where(no_sell, 0.0, np.clip(-move, 0, None)), np.where(no_buy, 0.0, np.clip(move, 0, None))
+        left = np.maximum(old - sell, 0.0)
+        cash, need = max(0.0, 1.0 - left.sum()), buy.sum()
+        short = max(0.0, need - cash) if need > cash + TINY else 0.0
+        now = left + (buy * (cash / need) if short else buy)
+        now[np.abs(now) <= TINY] = 0.0
+        done = rows[[strategy, "eob", "symbol"]].assign(
+            executed=now, blocked_buy_weight=move[no_buy].sum() + short, blocked_sell_weight=-move[no_sell].sum(), cash_weight=max(0.0, 1.0 - now.sum())
+        )
+        return done, pd.Series(now, symbols)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, own, have = None, None, pd.Series(dtype=float)
+        for frame in frames:
+            whole = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            starts = (whole[[strategy, "eob"]] != whole[[strategy, "eob"]].shift()).any(axis=1).cumsum()
+            days = [part for _, part in whole.groupby(starts, sort=False)]
+            held, out = days.pop() if days else None, []  # the last date may go on in the next batch
+            for part in days:
+                have = have if part[strategy].iloc[0] == own else pd.Series(dtype=float)
+                own = part[strategy].iloc[0]
+                done, have = day(part, have)
+                out.append(done)
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if held is not None:
+            yield day(held, have if held[strategy].iloc[0] == own else pd.Series(dtype=float))[0]
 
     types = dict(df.dtypes)
-    return df.groupBy(strategy).applyInPandas(walk, f"{strategy} {types[strategy]}, eob {types['eob']}, symbol string, executed double")
+    flags = {c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in (suspended, limit_up, limit_down)}
+    weight = F.when(F.isnan("weight"), 0.0).otherwise(F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0)))
+    rows = df.select(strategy, "eob", "symbol", weight.alias("weight"), *[c.alias(n) for n, c in flags.items()])
+    rows = rows.repartition(strategy).sortWithinPartitions(strategy, "eob", "symbol")
+    out = f"{strategy} {types[strategy]}, eob {types['eob']}, symbol string, executed double, blocked_buy_weight double, blocked_sell_weight double, cash_weight double"
+    return rows.mapInPandas(run, out)
 
 
 def shrunk_optimum(df: DataFrame, lookback: int = 60, least: int = 20, shrink: float = 0.2) -> DataFrame:

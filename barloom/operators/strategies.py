@@ -211,6 +211,110 @@ def trend_weights(df: DataFrame, fast: int = 10, slow: int = 20, trend: int = 40
     return walked(rows, machine, ("close", "fast_", "slow_", "trend_", "rising_", "upper_", "lower_", "range_", "share_"))
 
 
+def volatility_bands(lookback: int, regime: int, low: float, high: float, exposures: tuple[float, float, float]) -> tuple[list[dict[str, Column]], Column]:
+    """Steps and the share that a bar's volatility takes from where it lies among the `regime` volatilities before it."""
+    steps = [{"lr_": F.log(ratio("close", lag("close")))}, {"v_": rolling(F.stddev_samp, "lr_", lookback) * math.sqrt(YEAR)}, {"v0_": lag("v_")}]
+    below, above = (rolling(lambda x, q=q: F.percentile(x, q), "v0_", regime) for q in (low, high))
+    return steps, F.when(F.col("v_") <= below, exposures[0]).when((F.col("v_") > below) & (F.col("v_") <= above), exposures[1]).when(F.col("v_") > above, exposures[2])
+
+
+def vol_recovery_weights(df: DataFrame, family: str = "target_vol", trend: int = 120, breakout: int = 40, fast: int = 20, slow: int = 60, slope: int = 20, lookback: int = 20,
+                         target: float = 0.10, regime: int = 252, quantiles: tuple[float, float] = (1 / 3, 2 / 3), exposures: tuple[float, float, float] = (1.0, 0.6, 0.3),
+                         loss_stop: float = 0.08, recovery: float = 0.03, cooldown: int = 5, reduce_at: float = 0.04, reduced: float = 0.5) -> DataFrame:
+    """In on a breakout in a rising trend, sized by volatility; out at a loss or when the trend ends; in again after a loss once the price recovered.
+
+    `family` sizes by a target (target_vol), by bands of past volatility (vol_band), or by a target that an
+    open loss of `reduce_at` cuts until half of it is won back (hybrid). Flat while an input is missing.
+    """
+    if family not in ("target_vol", "vol_band", "hybrid"):
+        raise ValueError(f"unknown family {family}")
+    means = {"fast_": rolling(F.avg, "close", fast), "slow_": rolling(F.avg, "close", slow), "trend_": rolling(F.avg, "close", trend), "upper_": _prior(F.max, breakout)}
+    if family == "vol_band":
+        steps, exposure = volatility_bands(lookback, regime, *quantiles, exposures)
+    else:
+        step, exposure = target_exposure(target, lookback)
+        steps = [step]
+    for step in steps:
+        df = df.withColumns(step)
+    rows = df.withColumns(means | {"share_": exposure})
+    up = (F.col("close") > F.col("trend_")) & (F.col("trend_") > lag("trend_", slope)) & (F.col("fast_") > F.col("slow_"))
+    rows = rows.withColumn("up_", F.coalesce(up, F.lit(False)))
+
+    def machine() -> Callable[..., float]:
+        at, held, entry, cut, stopped = -1, False, 0.0, False, None
+
+        def walk(price, fast_, slow_, trend_, upper, share, rising) -> float:
+            nonlocal at, held, entry, cut, stopped
+            at += 1
+            if None in (fast_, slow_, trend_, upper, share):
+                return 0.0
+            if held:
+                gain = price / entry - 1
+                if gain <= -loss_stop:
+                    held, stopped = False, (at, price)
+                elif not rising:
+                    held = False
+                elif family == "hybrid":
+                    cut = gain < -reduce_at / 2 if cut else gain <= -reduce_at
+            else:
+                enters = price > upper if stopped is None else at - stopped[0] >= cooldown and price >= stopped[1] * (1 + recovery)
+                if rising and enters:
+                    held, entry, cut, stopped = True, price, False, None
+            return share * (reduced if cut else 1.0) if held else 0.0
+
+        return walk
+
+    return walked(rows, machine, ("close", "fast_", "slow_", "trend_", "upper_", "share_", "up_"))
+
+
+def core_satellite_weights(df: DataFrame, core: float = 1.0, oversold: float = 1.5, defensive: float = 0.0, rsi: int = 14, rsi_below: float = 35.0, mean: int = 20, trend: int = 120,
+                           slope: int = 20, profit: float = 0.07, stop: float = 0.07, longest: int = 10, recovery: float = 0.03, cooldown: int = 5,
+                           low: int = 60, distance: float = 0.13, drop: float = 0.05, longest_defence: int = 10) -> DataFrame:
+    """A core that stays, a satellite at an oversold first crossing under a rising trend, and a defence when the price runs far from its low.
+
+    The defence goes before the satellite. A satellite closed by its stop opens again once a cooldown is over
+    and the price recovered while the pullback lasts. Crossings are windows; the machine sees only flags.
+    """
+    step = {"d_": F.col("close") - lag("close")}
+    gains = {"g_": rolling(F.avg, F.greatest("d_", F.when(F.col("d_").isNotNull(), 0.0)), rsi), "l_": rolling(F.avg, F.greatest(-F.col("d_"), F.when(F.col("d_").isNotNull(), 0.0)), rsi)}
+    levels = {"mean_": rolling(F.avg, "close", mean), "trend_": rolling(F.avg, "close", trend), "low_": rolling(F.min, "close", low)}
+    strength = F.coalesce(100 - 100 / (1 + F.try_divide("g_", "l_")), F.lit(50.0))
+    rows = df.withColumns(step).withColumns(gains | levels)
+    rows = rows.withColumn("pull_", F.coalesce((F.col("close") < F.col("trend_")) & (F.col("trend_") > lag("trend_", slope)), F.lit(False)))
+    rows = rows.withColumns({"o_": (strength <= rsi_below) & F.col("pull_"), "f_": F.coalesce(F.try_divide("close", "low_") - 1 >= distance, F.lit(False))})
+    crossed = lambda x: F.col(x) & ~F.coalesce(lag(x), F.lit(False))
+    rows = rows.withColumns({"oc_": crossed("o_"), "fc_": crossed("f_")})
+
+    def machine() -> Callable[..., float]:
+        at, guard, satellite, stopped = -1, None, None, None  # each: the bar and the price it began with
+
+        def walk(price, mean_, pull, oversold_, far) -> float:
+            nonlocal at, guard, satellite, stopped
+            at += 1
+            if guard and (price <= guard[1] * (1 - drop) or at - guard[0] >= longest_defence):
+                guard = None
+            if satellite:
+                gain = price / satellite[1] - 1
+                lost = gain <= -stop
+                if lost or gain >= profit or at - satellite[0] >= longest or (mean_ is not None and price >= mean_):
+                    satellite, stopped = None, (at, price) if lost else stopped
+            if not guard and far:
+                guard, satellite = (at, price), None
+            elif not guard and not satellite:
+                if stopped:
+                    if not pull:
+                        stopped = None
+                    elif at - stopped[0] >= cooldown and price >= stopped[1] * (1 + recovery):
+                        satellite, stopped = (at, price), None
+                elif oversold_:
+                    satellite = (at, price)
+            return defensive if guard else oversold if satellite else core
+
+        return walk
+
+    return walked(rows, machine, ("close", "mean_", "pull_", "oc_", "fc_"))
+
+
 # ---- several strategies: rows of strategy, eob, ret
 
 

@@ -376,10 +376,19 @@ def fsm_reversion_stop(spark: SparkSession, folder: str) -> DataFrame:
     return pf.reversion_stop(panels.brand_bars(spark, folder))
 
 
+def limited(spark: SparkSession, folder: str) -> DataFrame:
+    """Dense equal weights of the 3, 5 and 10 best of momentum as strategies; a symbol without a bar is suspended, a move of a tenth is its limit."""
+    rows = week(spark, folder).withColumn("place", F.when(F.col("mom").isNotNull(), first_rank("mom"))).withColumn("move", changed("close", 1))
+    dense = mk.densified(rows.select("symbol", "eob", "place", "move", "close"), rows.select("eob").distinct(), rows.select("symbol").distinct())
+    strategies = F.array(*[F.struct(F.lit(f"top{n}").alias("strategy_id"), F.lit(n).alias("n")) for n in (3, 5, 10)])
+    long = dense.withColumn("s", F.explode(strategies)).select("s.*", "symbol", "eob", "place", "move", "close")
+    flags = {"suspended": F.col("close").isNull(), "limit_up": F.col("move") >= 0.1, "limit_down": F.col("move") <= -0.1}
+    return long.withColumns(flags | {"weight": F.when(F.col("place") <= F.col("n"), 1 / F.col("n")).otherwise(0.0)})
+
+
 @query()
 def constrained_execution(spark: SparkSession, folder: str) -> DataFrame:
-    rows = held(spark, folder).select(F.lit("top5").alias("strategy_id"), "eob", "symbol", "weight", F.coalesce(F.col("volume") <= 60, F.lit(True)).alias("blocked"))
-    return pf.constrained(rows, "blocked")
+    return rounded(pf.constrained(limited(spark, folder)))
 
 
 @query()

@@ -71,11 +71,44 @@ def test_five_minutes(spark):
     assert (out[0]["open"], out[0]["high"], out[0]["low"], out[0]["close"], out[0]["volume"]) == (1.0, 6.0, 0.0, 5.0, 150.0)
 
 
-def test_blocked_symbol_keeps_its_weight_and_buys_share_cash(spark):
+def test_suspended_symbol_keeps_its_weight_and_buys_share_cash(spark):
     rows = [("s", date(2024, 1, 1), "A", 0.8, False), ("s", date(2024, 1, 1), "B", 0.2, False), ("s", date(2024, 1, 2), "A", 0.0, True), ("s", date(2024, 1, 2), "B", 1.0, False)]
-    df = spark.createDataFrame(rows, "strategy_id string, eob date, symbol string, weight double, blocked boolean")
-    out = {(r["eob"].day, r["symbol"]): round(r["executed"], 9) for r in pf.constrained(df, "blocked").collect()}
-    assert out == {(1, "A"): 0.8, (1, "B"): 0.2, (2, "A"): 0.8, (2, "B"): 0.2}
+    df = spark.createDataFrame(rows, "strategy_id string, eob date, symbol string, weight double, suspended boolean").withColumns({"limit_up": F.lit(False), "limit_down": F.lit(None)})
+    got = pf.constrained(df).collect()
+    assert {(r["eob"].day, r["symbol"]): round(r["executed"], 9) for r in got} == {(1, "A"): 0.8, (1, "B"): 0.2, (2, "A"): 0.8, (2, "B"): 0.2}
+    assert {(r["eob"].day, round(r["blocked_buy_weight"], 9), round(r["blocked_sell_weight"], 9), round(r["cash_weight"], 9)) for r in got} == {(1, 0.0, 0.0, 0.0), (2, 0.8, 0.8, 0.0)}
+
+
+def test_limits_stop_one_side_only(spark):
+    days = [[("A", 0.5, False, True, False), ("B", 0.5, False, False, False)], [("A", 0.5, False, False, True), ("B", 0.1, False, True, False)], [("A", 0.0, False, False, True), ("B", None, False, False, False)]]
+    rows = [(name, date(2024, 1, i + 1), *row) for name in ("s", "t") for i, day in enumerate(days) for row in day]
+    df = spark.createDataFrame(rows, "strategy_id string, eob date, symbol string, weight double, suspended boolean, limit_up boolean, limit_down boolean")
+    got = {(r["strategy_id"], r["eob"].day, r["symbol"]): (round(r["executed"], 9), round(r["cash_weight"], 9)) for r in pf.constrained(df).collect()}
+    for name in ("s", "t"):
+        assert [got[name, d, x] for d in (1, 2, 3) for x in "AB"] == [(0.0, 0.5), (0.5, 0.5), (0.5, 0.4), (0.1, 0.4), (0.5, 0.5), (0.0, 0.5)]
+
+
+def test_limited_trading_of_many_strategies_agrees_with_plain_python(spark):
+    """Small Arrow batches, so that a date goes over a batch's border; dates by plain Python, one after another."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = panel_queries.limited(spark, FOLDER)
+        got = {(r["strategy_id"], r["eob"], r["symbol"]): r["executed"] for r in pf.constrained(rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plain: dict = {}
+    for r in sorted(rows.select("strategy_id", "eob", "symbol", "weight", "suspended", "limit_up", "limit_down").collect()):
+        plain.setdefault((r[0], r[1]), []).append(r[2:])
+    wanted, have, last = {}, {}, None
+    for (name, day), entries in plain.items():
+        have, last = ({} if name != last else have), name
+        now = {x: min(have.get(x, 0.0), have.get(x, 0.0) if stuck or down else goal) for x, goal, stuck, _, down in entries}
+        buys = {x: 0.0 if stuck or up else max(0.0, goal - have.get(x, 0.0)) for x, goal, stuck, up, _ in entries}
+        share = min(1.0, max(0.0, 1 - sum(now.values())) / sum(buys.values())) if sum(buys.values()) else 0.0
+        have = {x: now[x] + buys[x] * share for x in now}
+        wanted |= {(name, day, x): v for x, v in have.items()}
+    assert set(got) == set(wanted) and all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
 
 
 def test_reversion_rule_enters_below_the_mean(spark):
