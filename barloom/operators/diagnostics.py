@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,3 +220,132 @@ def kpss(df: DataFrame, x: str = "close", trend: bool = True) -> DataFrame:
     out = chosen.join(last, "symbol").withColumn("statistic", F.try_divide("eta", F.col("n") * F.when(F.col("g0") > 1e-18, F.col("b"))))
     at = KPSS_TREND if trend else KPSS_LEVEL
     return out.select("symbol", F.col("n").alias("n_obs"), "lags", "statistic", F.when(F.col("statistic").isNotNull(), interpolated(F.col("statistic"), at, KPSS_P)).alias("p_value"))
+
+
+#: The p value of a unit-root statistic around a constant is the normal distribution of a polynomial in it (low side, high
+#: side, where they meet, and the ends), and the critical values at 1, 5 and 10 % are polynomials in 1 / observations.
+ADF_LOW, ADF_HIGH = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+ADF_MEET, ADF_ENDS = -1.61, (-18.83, 2.74)
+ADF_CRITICAL = ((-3.43035, -6.5393, -16.786, -79.433), (-2.86154, -2.8903, -4.234, -40.04), (-2.56677, -1.5384, -2.809, 0.0))
+
+
+def adf_p_value(statistic: float) -> float:
+    if not ADF_ENDS[0] <= statistic <= ADF_ENDS[1]:
+        return float(statistic > ADF_ENDS[1])
+    terms = ADF_LOW if statistic <= ADF_MEET else ADF_HIGH
+    return 0.5 * math.erfc(-sum(c * statistic**i for i, c in enumerate(terms)) / math.sqrt(2))
+
+
+def most_lags(n: int) -> int:
+    """The lags that n values allow: 12 (n / 100) ** (1/4), and half of the values less two at most."""
+    return min(n // 2 - 2, math.ceil(12 * (n / 100) ** 0.25))
+
+
+class _Moments:
+    """Sums of products of (1, level, lagged changes, change) of one series that comes in pieces; the first rows are kept apart."""
+
+    def __init__(self, n: int):
+        self.n, self.lags = n, most_lags(n)
+        self.products, self.head, self.tail, self.base = 0.0, np.empty(0), np.empty(0), None
+
+    def rows(self, x: np.ndarray, lags: int) -> np.ndarray:
+        """One row for each value with `lags` changes before its own."""
+        d = np.diff(x)
+        if len(d) <= lags:
+            return np.empty((0, lags + 3))
+        turns = np.lib.stride_tricks.sliding_window_view(d, lags + 1)[:, ::-1]  # the own change, then those before
+        return np.column_stack([np.ones(len(turns)), x[lags : len(x) - 1], turns[:, 1:], turns[:, 0]])
+
+    def add(self, x: np.ndarray) -> None:
+        if self.base is None:
+            self.base = float(x[0])
+        x = np.concatenate([self.tail, x - self.base])  # the level's zero does not matter beside a constant
+        if len(self.head) < 2 * self.lags + 2:
+            self.head = np.concatenate([self.head, x[len(self.tail) :]])[: 2 * self.lags + 2]
+        z = self.rows(x, self.lags)
+        self.products = self.products + z.T @ z
+        self.tail = x[-(self.lags + 1) :]
+
+    def fit(self, products: np.ndarray, lags: int) -> tuple[float, float, float]:
+        """Residual square sum, statistic of the level and number of rows of the regression on the first `lags` changes."""
+        own = [*range(lags + 2)]
+        a, b, yy = products[np.ix_(own, own)], products[own, -1], products[-1, -1]
+        inverse = np.linalg.pinv(a, hermitian=True)
+        beta = inverse @ b
+        left, rows = max(float(yy - beta @ b), 0.0), float(products[0, 0])
+        spread = math.sqrt(left / max(rows - lags - 2, 1) * max(inverse[1, 1], 0.0))
+        return left, float(beta[1]) / spread if spread > 0 else math.nan, rows
+
+    def result(self) -> tuple[int, float] | None:
+        """Lags with the least information criterion, and the statistic over all rows they allow."""
+        if self.lags < 0 or np.ndim(self.products) == 0 or self.products[0, 0] <= self.lags + 2 or self.products[-1, -1] <= 0:
+            return None
+        scores = []
+        for k in range(self.lags + 1):
+            left, _, rows = self.fit(self.products, k)
+            scores.append(rows * math.log(max(left / rows, 1e-300)) + 2 * (k + 2))
+        best = int(np.argmin(scores))
+        keep = [*range(best + 2), self.lags + 2]
+        first = self.rows(self.head[: self.lags + 1], best)  # rows that the longest lags could not use
+        _, statistic, _ = self.fit(self.products[np.ix_(keep, keep)] + first.T @ first, best)
+        return None if math.isnan(statistic) else (best, statistic)
+
+
+def adf(df: DataFrame, x: str = "close") -> DataFrame:
+    """Unit-root test of each symbol around a constant, lags by the information criterion of Akaike.
+
+    Returns symbol, n_obs, lags, statistic, p_value, critical_1pct, critical_5pct, critical_10pct; null results
+    for a constant series or one too short. Missing values are left out. A symbol's sorted rows stream through
+    one task that holds a batch and the sums of products of at most a few dozen columns.
+    """
+
+    def row(symbol: str, m: _Moments) -> tuple:
+        got = m.result()
+        if got is None:
+            return symbol, m.n, None, None, None, None, None, None
+        rows = m.n - 1 - got[0]
+        return symbol, m.n, *got, adf_p_value(got[1]), *[sum(c / rows**i for i, c in enumerate(level)) for level in ADF_CRITICAL]
+
+    schema = "symbol string, n_obs long, lags int, statistic double, p_value double, critical_1pct double, critical_5pct double, critical_10pct double"
+    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int32(), *[pa.float64()] * 5]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values, done = batch.column("x").to_numpy(), []
+            own, sizes = batch.column("symbol").to_numpy(zero_copy_only=False), batch.column("n").to_numpy()
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if state is None or own[a] != symbol:
+                    if state is not None:
+                        done.append(row(symbol, state))
+                    symbol, state = own[a], _Moments(int(sizes[a]))
+                if state.lags >= 0:
+                    state.add(values[a:b])
+            if done:
+                yield packed(done)
+        if state is not None:
+            yield packed([row(symbol, state)])
+
+    rows = df.where(F.col(x).isNotNull() & ~F.isnan(x) & F.col("symbol").isNotNull()).select("symbol", "eob", F.col(x).cast("double").alias("x"))
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("symbol")))
+    return rows.repartition("symbol").sortWithinPartitions("symbol", "eob").select("symbol", "x", "n").mapInArrow(run, schema)
+
+
+def cointegration(pairs: DataFrame, significance: float = 0.05) -> DataFrame:
+    """Two-step test of each pair (rows of symbol, eob, y, x, the pair's name as symbol): y on x, then a unit-root test of what is left.
+
+    Returns the pair's alpha, beta, r_squared and the columns of `adf`, with is_cointegrated; pairs under 20 whole rows have no test.
+    """
+    own = Window.partitionBy("symbol")
+    rows = pairs.where(F.col("y").isNotNull() & F.col("x").isNotNull()).withColumn("m_", F.count("*").over(own)).where("m_ >= 20")
+    line = rows.groupBy("symbol").agg(F.regr_intercept("y", "x").alias("alpha"), F.regr_slope("y", "x").alias("beta"), F.regr_r2("y", "x").alias("r_squared"))
+    beta = F.coalesce(F.try_divide(F.covar_pop("y", "x").over(own), F.var_pop("x").over(own)), F.lit(0.0))
+    left = rows.withColumn("b_", beta).withColumn("left_", F.col("y") - F.avg("y").over(own) - F.col("b_") * (F.col("x") - F.avg("x").over(own)))
+    return line.join(adf(left, "left_"), "symbol").withColumn("is_cointegrated", F.col("p_value") < significance)

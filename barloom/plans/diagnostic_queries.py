@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.oracle import BRAND_WEEK, EVENT_DAY, change, lag, lead, over, roll, steps
+from barloom.functions.oracle import BRAND_WEEK, EVENT_DAY, avg_rank, change, lag, lead, over, roll, steps
 from barloom.functions.windows import change as changed
 from barloom.operators import cross_section as cs
 from barloom.operators import diagnostics as dg
 from barloom.operators import strategies as st
-from barloom.plans.panel_queries import FACTORS, WEEK, _vote, rounded, week
+from barloom.plans.panel_queries import FACTORS, FWD, WEEK, _vote, rounded, week
 from barloom.plans.strategy_queries import KEPT, base, exited, machine_sql
-from barloom.sources import panels
+from barloom.sources import panels, research_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -140,6 +140,33 @@ def kpss_test(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(dg.kpss(panels.brand_bars(spark, folder)))
 
 
+@query()
+def adf_test(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(dg.adf(panels.brand_bars(spark, folder)))
+
+
+@query()
+def cointegrated_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Log prices of each brand against those of Brand#11."""
+    rows = panels.brand_bars(spark, folder).withColumn("p", F.log("close"))
+    index = rows.where("symbol = 'Brand#11'").select("eob", F.col("p").alias("x"))
+    return rounded(dg.cointegration(rows.where("symbol <> 'Brand#11'").join(index, "eob").select("symbol", "eob", F.col("p").alias("y"), "x")))
+
+
+@query(f"""WITH {EVENT_DAY}, x AS (SELECT *, {change('close', 5)} AS fac, {FWD} AS fwd FROM bars), k AS (SELECT eob, symbol, fwd, fac, {avg_rank('fac')} AS a, {avg_rank('fwd')} AS b FROM x WHERE fac IS NOT NULL AND fwd IS NOT NULL),
+i AS (SELECT eob, CASE WHEN isnan(corr(a, b)) THEN NULL ELSE round(corr(a, b), 6) END AS ic FROM k GROUP BY eob HAVING count(*) >= 5), rc AS (SELECT ic, CASE WHEN eob > (SELECT max(eob) FROM i) - INTERVAL 12 MONTH THEN ic END AS rec FROM i),
+st AS (SELECT avg(ic) AS m, stddev_samp(ic) AS s, avg(rec) AS rm, stddev_samp(rec) AS rsd, avg((ic > 0)::INT) AS pos, avg((abs(ic) > 0.02)::INT) AS big, count(ic) AS n FROM rc),
+q AS (SELECT eob, least(floor((row_number() OVER (PARTITION BY eob ORDER BY fac, symbol) - 1) / greatest(floor(count(*) OVER (PARTITION BY eob) / 2), 1)) + 1, 2) AS bucket, fwd FROM k), d AS (SELECT eob, bucket, avg(fwd) / 100 AS r FROM q GROUP BY ALL),
+gr AS (SELECT max(r) FILTER (bucket = 2) AS t, max(r) FILTER (bucket = 1) AS b FROM (SELECT bucket, product(1 + coalesce(r, 0)) - 1 AS r FROM d GROUP BY bucket))
+SELECT round(m, 6) AS IC_mean, round(s, 6) AS IC_std, round(m / nullif(s, 0), 6) AS IC_IR, round(rm, 6) AS IC_mean_last_1y, round(rm / nullif(rsd, 0), 6) AS IC_IR_LAST_1Y, round(pos, 6) AS IC_positive_ratio, round(big, 6) AS IC_abs_gt_2pct,
+round(m / nullif(s, 0) * sqrt(n), 6) AS t_stat, n AS IC_count, round(t, 6) AS top_group_cum_return, round(b, 6) AS bottom_group_cum_return, round(t - b, 6) AS long_short_return FROM st, gr""")
+def factor_test_row(spark: SparkSession, folder: str) -> DataFrame:
+    """What the store keeps on a test of 5-bar momentum in two groups, at a hundredth of the capital."""
+    rows = panels.event_day_bars(spark, folder).withColumns({"fac": changed("close", 5), "fwd": cs.forward_return()})
+    groups = cs.group_returns(rows, "fac", "fwd", 2).select("eob", F.col("bucket").alias("grp"), (F.col("mean_return") / 100).alias("ret"))
+    return rounded(research_store.test_summary(rounded(cs.rank_ic(rows, "fac", "fwd")), groups))
+
+
 # ---- state machines
 
 
