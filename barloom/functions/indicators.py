@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import (
-    change, clip, filled, frame, lag, prefix, ratio, rolling, rolling2, rolling_correlation, row_no, safe_divide, smoothed, stages, zscore, zscore_or_null,
+    change, clip, filled, frame, lag, prefix, ratio, rolling, rolling2, rolling_correlation, row_no, safe_divide, scanned, smoothed, stages, zscore, zscore_or_null,
 )
 
 INDICATORS: dict[str, Callable[..., DataFrame]] = {}
@@ -225,6 +225,48 @@ def atr(bars: DataFrame, period: int = 14) -> DataFrame:
     return smoothed(rows, {"value": ("tr_", 1 / period)}).drop("tr_")
 
 
+@indicator
+def supertrend(bars: DataFrame, period: int = 14, multiplier: float = 2.0, window: int = 60) -> DataFrame:
+    """Where the close stands between bands that only tighten while the trend holds, with the trend's side, age and risk; standardised and smoothed.
+
+    Bands, side and age are one pass over a symbol's rows; the rest are windows. Null until a band was touched.
+    """
+    middle = (F.col("high") + F.col("low")) / 2
+    width = multiplier * (0.8 + 0.4 * F.tanh(safe_divide("a_", "m_", 1.0) - 1)) * F.col("a_")
+    rows = atr(bars, period).withColumnRenamed("value", "a_").withColumn("m_", rolling(F.avg, "a_", 2 * period, period))
+    rows = rows.withColumns({"u_": middle + width, "l_": middle - width})
+
+    def machine() -> Callable[..., tuple]:
+        at, last, top, bottom, side, age = 0, 0.0, 0.0, 0.0, None, 0
+
+        def step(close: float, upper: float, lower: float) -> tuple:
+            nonlocal at, last, top, bottom, side, age
+            early, before = at < period, side
+            if early or upper < top or last > top:
+                top = upper
+            if early or lower > bottom or last < bottom:
+                bottom = lower
+            if not early:
+                side = -1.0 if close <= bottom else 1.0 if close >= top else side
+            age = age + 1 if side is not None and side == before else 1
+            at, last = at + 1, close
+            return top, bottom, side, float(age)
+
+        return step
+
+    rows = scanned(rows, machine, ("close", "u_", "l_"), ("top_", "bottom_", "side_", "age_"))
+    line = F.when(F.col("side_") == 1, F.col("bottom_")).when(F.col("side_") == -1, F.col("top_"))
+    away = safe_divide(F.col("close") - line, line, 0.0)
+    place = (safe_divide(F.col("close") - F.col("bottom_"), F.col("top_") - F.col("bottom_"), 0.5) - 0.5) * 2
+    aged = clip(F.log1p("age_") / math.log1p(period), 0.1, 2.0)
+    risk = F.tanh(safe_divide("v_", "vm_", 1.0))
+    raw = away * 0.4 * F.col("side_") + place * 0.3 + aged * 0.2 * F.col("side_") + risk * 0.1 * F.col("side_")
+    rows = stages(
+        rows, {"r_": change()}, {"v_": rolling(F.stddev_samp, "r_", period)}, {"vm_": rolling(F.avg, "v_", 2 * period)}, {"x_": raw}, {"z_": zscore("x_", window, period)}, keep=("z_",)
+    ).drop("a_", "m_", "u_", "l_", "top_", "bottom_", "side_", "age_")
+    return smoothed(rows, {"e_": ("z_", 0.15)}).withColumn("value", clip(F.col("e_"), -3, 3)).drop("z_", "e_")
+
+
 @indicator
 def close_atr_proxy(bars: DataFrame, lookback: int = 14) -> DataFrame:
     """Smoothed absolute change of the close, null until `lookback` changes are there."""

@@ -166,6 +166,27 @@ def smoothed(df: DataFrame, columns: dict[str, tuple[str, float]]) -> DataFrame:
     return df.repartition("symbol").sortWithinPartitions("symbol", "eob").mapInArrow(run, schema)
 
 
+def scanned(df: DataFrame, machine: Callable[[], Callable[..., tuple]], columns: tuple[str, ...], out: tuple[str, ...]) -> DataFrame:
+    """The rows with the columns `out` added, which a machine of its own gives at each row of a symbol from `columns`, in order of time.
+
+    As with `smoothed`, a task streams sorted symbols, holds one batch and carries the state on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, step = None, None
+        for batch in batches:
+            made = []
+            for own, *values in zip(*(batch.column(c).to_pylist() for c in ("symbol", *columns)), strict=True):
+                if step is None or own != symbol:
+                    symbol, step = own, machine()
+                made.append(step(*values))
+            added = [pa.array([m[i] for m in made], pa.float64()) for i in range(len(out))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *out])
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(o, T.DoubleType()) for o in out]])
+    return df.repartition("symbol").sortWithinPartitions("symbol", "eob").mapInArrow(run, schema)
+
+
 def average_rank(x: Column | str, by: tuple[str, ...] = ("eob",), descending: bool = False) -> Column:
     """Rank with ties at their mean, among rows of a group whose x is not null."""
     own = col(x)

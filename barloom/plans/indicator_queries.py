@@ -165,5 +165,25 @@ SPECS: dict[str, tuple[dict[str, object], str | None]] = {
     "vl_price_volume_divergence": ({}, sql({"t": ROW, "y": log("close"), "v": log("volume")}, {"a": roll2("regr_slope", "y", "t", 20), "b": roll2("regr_slope", "v", "t", 20)}, value=f"-({z_or_null('a', 60, 20, '0')} - {z_or_null('b', 60, 20, '0')})")),
 }
 
+def _supertrend() -> str:
+    """A walk over the bands, sides and ages of each symbol, then windows."""
+    head, last = ema("tr", 1 / 14, "a", "t0")
+    bands = f"""m0 AS (SELECT *, {roll('avg', 'a', 28, 14)} AS m FROM {last}), m1 AS (SELECT *, 2 * (0.8 + 0.4 * tanh({safe('a', 'm', 1.0)} - 1)) * a AS wd FROM m0),
+rn AS (SELECT *, (high + low) / 2 + wd AS u, (high + low) / 2 - wd AS l, row_number() OVER {over()} AS rn FROM m1)"""
+    walk = """wk AS (SELECT symbol, CAST(0 AS BIGINT) AS rn, 0.0::DOUBLE AS tp, 0.0::DOUBLE AS bt, CAST(NULL AS INT) AS side, CAST(0 AS BIGINT) AS age, 0.0::DOUBLE AS pc FROM (SELECT DISTINCT symbol FROM rn) UNION ALL
+SELECT symbol, rn, tp, bt, side, CASE WHEN side IS NULL OR side IS DISTINCT FROM was THEN 1 ELSE old + 1 END, close FROM (SELECT *, CASE WHEN rn <= 14 THEN NULL WHEN close <= bt THEN -1 WHEN close >= tp THEN 1 ELSE was END AS side
+FROM (SELECT n.symbol, n.rn, n.close, p.side AS was, p.age AS old, CASE WHEN n.rn <= 14 OR n.u < p.tp OR p.pc > p.tp THEN n.u ELSE p.tp END AS tp, CASE WHEN n.rn <= 14 OR n.l > p.bt OR p.pc < p.bt THEN n.l ELSE p.bt END AS bt
+FROM wk p JOIN rn n ON n.symbol = p.symbol AND n.rn = p.rn + 1)))"""
+    line = "(CASE side WHEN 1 THEN bt WHEN -1 THEN tp END)"
+    place, aged = f"({safe('close - bt', 'tp - bt', 0.5)} - 0.5) * 2", clip("ln(1 + age) / ln(15)", 0.1, 2.0)
+    raw = f"{safe(f'close - {line}', line)} * 0.4 * side + {place} * 0.3 + {aged} * 0.2 * side + tanh({safe('v', 'vm', 1.0)}) * 0.1 * side"
+    rest = f"""w0 AS (SELECT rn.*, tp, bt, side, age, {change()} AS r FROM rn JOIN wk USING (symbol, rn)), w1 AS (SELECT *, {roll('stddev_samp', 'r', 14)} AS v FROM w0), w2 AS (SELECT *, {roll('avg', 'v', 28)} AS vm FROM w1),
+w3 AS (SELECT *, {raw} AS x FROM w2), w4 AS (SELECT *, CASE WHEN count(x) OVER {over(60)} >= 14 THEN {zscore('x', 60, 14)} END AS z FROM w3)"""
+    tail, last = ema("z", 0.15, "e", "w4")
+    return f"WITH RECURSIVE {BRAND_WEEK}, t0 AS (SELECT *, {TR} AS tr FROM bars), {head}, {bands}, {walk}, {rest}, {tail} SELECT symbol, eob, round({clip('e', -3, 3)}, 6) AS value FROM {last}"
+
+
+SPECS["supertrend"] = ({}, _supertrend())
+
 QUERIES: dict[str, Query] = {f"ind_{name}": query(name, **params) for name, (params, _) in SPECS.items()}
 ORACLE_SQL: dict[str, str] = {f"ind_{name}": text.replace("round(value, 6)", f"round(value, {DIGITS.get(name, 6)})") for name, (_, text) in SPECS.items() if text}
