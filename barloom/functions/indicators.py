@@ -545,6 +545,18 @@ def vl_price_volume_divergence(bars: DataFrame, period: int = 20) -> DataFrame:
     return stages(bars, logs, steps, {"value": -(zscore_or_null("a", period * 3, period, 0.0) - zscore_or_null("b", period * 3, period, 0.0))})
 
 
+@indicator
+def mr_hilbert_phase(bars: DataFrame, period: int = 20) -> DataFrame:
+    """Minus the sine of the phase of the last of `period` closes about their line, from bar period + 4 on.
+
+    The transform looks two bars either way, so at the window's last bar its imaginary part is 0 and the
+    phase 0 or pi: the value is 0 up to rounding wherever the window is whole.
+    """
+    rows = bars.withColumns({"t_": row_no()}).withColumns({"b_": rolling2(F.regr_slope, "close", "t_", period), "m_": rolling(F.avg, "close", period)})
+    left = F.col("close") - F.col("m_") - F.col("b_") * (period - 1) / 2
+    return rows.withColumn("value", F.when(F.col("t_") >= period + 4, F.lit(0.0) - F.sin(F.atan2(F.lit(0.0), left)))).drop("t_", "b_", "m_")
+
+
 @indicator
 def mr_fractal_dim(bars: DataFrame, period: int = 30) -> DataFrame:
     """Higuchi's fractal dimension of the last `period` closes, less 1.5; null outside (0.5, 2.5) and before 2 * period bars.

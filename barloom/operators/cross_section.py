@@ -153,6 +153,20 @@ def top_n(df: DataFrame, score: str, n: int, gross: float = 1.0) -> DataFrame:
     return kept.withColumn("weight", F.lit(gross) / F.count("*").over(by_date())).drop("place_")
 
 
+def partial_rank_ic(df: DataFrame, factor: str, forward: str, control: str, least: int = 5) -> DataFrame:
+    """Daily rank correlation of a factor with the return ahead beyond what both share with a control: eob, ic, partial_ic, n.
+
+    All three come from one pass over a date's ranks; partial_ic is null where the control explains a side wholly.
+    """
+    names = (factor, forward, control)
+    rows = df.dropna(subset=list(names))
+    rows = rows.select("eob", *[average_rank(c).alias(f"k_{i}") for i, c in enumerate(names)])
+    pair = lambda i, j: correlation(f"k_{i}", f"k_{j}")
+    daily = rows.groupBy("eob").agg(pair(0, 1).alias("ic"), pair(0, 2).alias("a_"), pair(1, 2).alias("b_"), F.count("*").alias("n")).where(F.col("n") >= least)
+    left = (1 - F.col("a_") * F.col("a_")) * (1 - F.col("b_") * F.col("b_"))
+    return daily.select("eob", "ic", ((F.col("ic") - F.col("a_") * F.col("b_")) / F.sqrt(F.when(left > 1e-9, left))).alias("partial_ic"), "n")
+
+
 def votes(df: DataFrame, factors: list[str], share: float) -> DataFrame:
     """For each symbol and date the number of factors that rank it in their best `share`."""
     picks = []

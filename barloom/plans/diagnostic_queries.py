@@ -85,6 +85,20 @@ def vote_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(dg.summarize_votes(edges(spark, folder)))
 
 
+# ---- a factor beside others
+
+
+_corr = lambda a, b: f"(CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END)"
+
+
+@query(f"""{base(steps(BRAND_WEEK, WEEK, select='0'))}, k0 AS (SELECT * FROM s0 WHERE mom IS NOT NULL AND gap IS NOT NULL AND fwd IS NOT NULL), k AS (SELECT eob, {avg_rank('mom')} AS x, {avg_rank('fwd')} AS y, {avg_rank('gap')} AS z FROM k0),
+c AS (SELECT eob, {_corr('x', 'y')} AS ic, {_corr('x', 'z')} AS a, {_corr('y', 'z')} AS b, count(*) AS n FROM k GROUP BY eob HAVING count(*) >= 5), l AS (SELECT *, (1 - a * a) * (1 - b * b) AS l FROM c)
+SELECT eob, round(ic, 6) AS ic, round((ic - a * b) / sqrt(CASE WHEN l > 1e-9 THEN l END), 6) AS partial_ic, n FROM l""")
+def partial_ic(spark: SparkSession, folder: str) -> DataFrame:
+    """What momentum says of the return ahead beyond the gap to the mean."""
+    return rounded(cs.partial_rank_ic(week(spark, folder), "mom", "fwd", "gap"))
+
+
 # ---- exits
 
 

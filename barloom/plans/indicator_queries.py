@@ -183,6 +183,7 @@ w3 AS (SELECT *, {raw} AS x FROM w2), w4 AS (SELECT *, CASE WHEN count(x) OVER {
     return f"WITH RECURSIVE {BRAND_WEEK}, t0 AS (SELECT *, {TR} AS tr FROM bars), {head}, {bands}, {walk}, {rest}, {tail} SELECT symbol, eob, round({clip('e', -3, 3)}, 6) AS value FROM {last}"
 
 
+SPECS["mr_hilbert_phase"] = ({}, sql({"t": ROW}, {"e": f"close - {roll('avg', 'close', 20)} - {roll2('regr_slope', 'close', 't', 20)} * 9.5"}, value="CASE WHEN t >= 24 THEN 0.0 - sin(atan2(0.0, e)) END").replace("round(value, 6)", "round(value, 6) + 0.0"))
 SPECS["supertrend"] = ({}, _supertrend())
 
 QUERIES: dict[str, Query] = {f"ind_{name}": query(name, **params) for name, (params, _) in SPECS.items()}
