@@ -163,6 +163,54 @@ def universe_flags(df: DataFrame, fresh: int = 120, limit: float = 0.1) -> DataF
     return rows.select("symbol", "eob", *[next_open(F.col(a)).alias(b) for a, b in (("new_", "newly_listed"), ("stuck_", "suspended"), ("up_", "limit_up_open"))])
 
 
+# ---- shapes of returns
+
+
+#: A rational approximation of the normal quantile (relative error below 2e-9), its middle part and its ends.
+PPF_MIDDLE = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+)
+PPF_END = (
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+PPF_LOW = 0.02425
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal quantile of a probability strictly between 0 and 1."""
+
+    def ratio_of(x: Column, parts: tuple[tuple[float, ...], ...]) -> Column:
+        above, below = (F.lit(part[0]) for part in parts)
+        for c in parts[0][1:]:
+            above = above * x + c
+        for c in parts[1][1:]:
+            below = below * x + c
+        return above / below
+
+    middle, end = p - 0.5, lambda q: ratio_of(F.sqrt(-2 * F.log(q)), PPF_END)
+    return F.when(p < PPF_LOW, end(p)).when(p > 1 - PPF_LOW, -end(1 - p)).otherwise(middle * ratio_of(middle * middle, PPF_MIDDLE))
+
+
+def return_shapes(df: DataFrame, lags: tuple[int, ...] = tuple(range(1, 35))) -> DataFrame:
+    """For each symbol and lag the log returns' n, excess kurtosis, skewness, and their root mean square distance from normal quantiles.
+
+    One sort by symbol makes the returns of all lags; each (symbol, lag) is ranked apart. Null where returns
+    do not vary.
+    """
+    price = F.log(F.when(F.col("close") > 0, F.col("close")))
+    rows = df.select("symbol", "eob", price.alias("y"))
+    cells = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), (F.col("y") - lag("y", k)).alias("r")) for k in lags])
+    long = rows.select("symbol", "eob", cells.alias("c")).select("symbol", "eob", F.explode("c").alias("e")).select("symbol", "eob", "e.*").where("r IS NOT NULL")
+    own = Window.partitionBy("symbol", "lag")
+    placed = long.withColumns({"n_": F.count("*").over(own), "t_": F.row_number().over(own.orderBy("r", "eob")), "z_": F.try_divide(F.col("r") - F.avg("r").over(own), F.nullif(F.stddev_samp("r").over(own), F.lit(0.0)))})
+    away = normal_quantile((F.col("t_") - 0.5) / F.col("n_")) - F.col("z_")
+    return placed.groupBy("symbol", "lag").agg(
+        F.count("*").alias("n"), F.kurtosis("z_").alias("kurtosis"), F.skewness("z_").alias("skewness"), F.sqrt(F.avg(away * away)).alias("qq_deviation")
+    )
+
+
 # ---- unit roots
 
 

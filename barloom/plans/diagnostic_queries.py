@@ -181,6 +181,27 @@ def factor_test_row(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(research_store.test_summary(rounded(cs.rank_ic(rows, "fac", "fwd")), groups))
 
 
+def _ratio(x: str, parts: tuple[tuple[float, ...], ...]) -> str:
+    above, below = (repr(part[0]) for part in parts)
+    for c in parts[0][1:]:
+        above = f"({above} * {x} + {c!r}::DOUBLE)"
+    for c in parts[1][1:]:
+        below = f"({below} * {x} + {c!r}::DOUBLE)"
+    return f"({above} / {below})"
+
+
+_quantile = f"(CASE WHEN p < {dg.PPF_LOW} THEN {_ratio('sqrt(-2 * ln(p))', dg.PPF_END)} WHEN p > {1 - dg.PPF_LOW} THEN -{_ratio('sqrt(-2 * ln(1 - p))', dg.PPF_END)} ELSE (p - 0.5) * {_ratio('((p - 0.5) * (p - 0.5))', dg.PPF_MIDDLE)} END)"
+_lagged = " UNION ALL ".join(f"SELECT symbol, eob, CAST({k} AS BIGINT) AS lag, y - {lag('y', k)} AS r FROM ly" for k in (1, 2, 5, 13))
+
+
+@query(f"""WITH {BRAND_WEEK}, ly AS (SELECT symbol, eob, CASE WHEN close > 0 THEN ln(close) END AS y FROM bars), lr AS (SELECT * FROM ({_lagged}) WHERE r IS NOT NULL),
+pl AS (SELECT symbol, lag, (r - avg(r) OVER w) / nullif(stddev_samp(r) OVER w, 0) AS z, (row_number() OVER (PARTITION BY symbol, lag ORDER BY r, eob) - 0.5::DOUBLE) / count(*) OVER w AS p FROM lr WINDOW w AS (PARTITION BY symbol, lag)),
+mo AS (SELECT symbol, lag, count(*) AS n, avg(z) AS m, stddev_pop(z) AS s, sqrt(avg(pow({_quantile} - z, 2))) AS q FROM pl GROUP BY ALL)
+SELECT pl.symbol, pl.lag, n, round(avg(pow((z - m) / s, 4)) - 3, 6) AS kurtosis, round(avg(pow((z - m) / s, 3)), 6) AS skewness, round(q, 6) AS qq_deviation FROM pl JOIN mo USING (symbol, lag) GROUP BY pl.symbol, pl.lag, n, q""")
+def return_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(dg.return_shapes(panels.brand_bars(spark, folder), (1, 2, 5, 13)))
+
+
 # ---- state machines
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from datetime import date, timedelta
+from statistics import NormalDist
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.operators import diagnostics as dg
 from barloom.operators import strategies as st
@@ -61,6 +63,18 @@ def test_a_pair_with_a_common_walk_is_cointegrated(spark):
     assert set(got) == {"tied", "free"} and got["tied"]["is_cointegrated"] and abs(got["tied"]["beta"] - 0.5) < 0.05 and not got["free"]["is_cointegrated"]
 
 
+def test_normal_quantiles(spark):
+    inverse = NormalDist().inv_cdf
+    p = [1e-6, 0.01, 0.02425, 0.1, 0.5, 0.7, 0.97575, 0.99, 1 - 1e-6]
+    got = spark.createDataFrame([(x,) for x in p], "p double").select("p", dg.normal_quantile(F.col("p")).alias("q")).collect()
+    assert all(abs(r["q"] - inverse(r["p"])) < 1e-8 for r in got)
+
+
+def test_constant_prices_have_no_shape(spark):
+    got = {r["symbol"]: r for r in dg.return_shapes(frame(spark, {"flat": [2.0] * 9, "one": [1.0]}), (1,)).collect()}
+    assert set(got) == {"flat"} and got["flat"]["n"] == 8 and got["flat"]["qq_deviation"] is None and got["flat"]["kurtosis"] is None
+
+
 def test_empty_tables_have_no_rows(spark):
     none = frame(spark, {"a": [1.0]}).where("false")
     assert dg.adf(none).count() == 0 and dg.kpss(none).count() == 0
