@@ -166,8 +166,8 @@ def smoothed(df: DataFrame, columns: dict[str, tuple[str, float]]) -> DataFrame:
     return df.repartition("symbol").sortWithinPartitions("symbol", "eob").mapInArrow(run, schema)
 
 
-def scanned(df: DataFrame, machine: Callable[[], Callable[..., tuple]], columns: tuple[str, ...], out: tuple[str, ...]) -> DataFrame:
-    """The rows with the columns `out` added, which a machine of its own gives at each row of a symbol from `columns`, in order of time.
+def scanned(df: DataFrame, machine: Callable[[], Callable[..., tuple]], columns: tuple[str, ...], out: tuple[str, ...], backwards: bool = False) -> DataFrame:
+    """The rows with the columns `out` added, which a machine of its own gives at each row of a symbol from `columns`, in order of time or against it.
 
     As with `smoothed`, a task streams sorted symbols, holds one batch and carries the state on.
     """
@@ -184,7 +184,44 @@ def scanned(df: DataFrame, machine: Callable[[], Callable[..., tuple]], columns:
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *out])
 
     schema = T.StructType([*df.schema.fields, *[T.StructField(o, T.DoubleType()) for o in out]])
-    return df.repartition("symbol").sortWithinPartitions("symbol", "eob").mapInArrow(run, schema)
+    return df.repartition("symbol").sortWithinPartitions("symbol", F.desc("eob") if backwards else "eob").mapInArrow(run, schema)
+
+
+def kalman_smoothed(df: DataFrame, x: str = "close", noise: float = 1.0, drift: float = 0.1, out: str = "smoothed") -> DataFrame:
+    """The rows with a column's smoothed level added: a walk with variance `drift` seen with variance `noise`, filtered forwards, smoothed backwards.
+
+    Two passes over each symbol's sorted rows. It looks ahead, so it serves labels and reports, not signals. A
+    missing value leaves the level as it was and its variance larger; before the first value the level is null.
+    """
+
+    def ahead() -> Callable[..., tuple]:
+        level, spread = None, 0.0
+
+        def step(value: float | None) -> tuple:
+            nonlocal level, spread
+            if level is None:
+                level, spread = value, noise
+            else:
+                spread += drift
+                if value is not None:
+                    gain = spread / (spread + noise)
+                    level, spread = level + gain * (value - level), (1 - gain) * spread
+            return level, spread
+
+        return step
+
+    def back() -> Callable[..., tuple]:
+        later = None
+
+        def step(level: float | None, spread: float) -> tuple:
+            nonlocal later
+            later = level if later is None or level is None else level + spread / (spread + drift) * (later - level)
+            return (later,)
+
+        return step
+
+    rows = scanned(df.withColumn("x_", col(x).cast("double")), ahead, ("x_",), ("f_", "s_"))
+    return scanned(rows, back, ("f_", "s_"), (out,), backwards=True).drop("x_", "f_", "s_")
 
 
 def average_rank(x: Column | str, by: tuple[str, ...] = ("eob",), descending: bool = False) -> Column:

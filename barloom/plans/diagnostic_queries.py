@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.oracle import BRAND_WEEK, EVENT_DAY, avg_rank, change, lag, lead, over, roll, steps
-from barloom.functions.windows import change as changed
+from barloom.functions.windows import change as changed, kalman_smoothed as smoothed_level
 from barloom.operators import cross_section as cs
 from barloom.operators import diagnostics as dg
 from barloom.operators import strategies as st
@@ -202,6 +202,13 @@ def return_shapes(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(dg.return_shapes(panels.brand_bars(spark, folder), (1, 2, 5, 13)))
 
 
+@query(f"""WITH RECURSIVE {BRAND_WEEK}, nu AS (SELECT symbol, eob, close, row_number() OVER {over()} AS t, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
+fw AS (SELECT symbol, t, n, close AS f, 1.0::DOUBLE AS s FROM nu WHERE t = 1 UNION ALL SELECT b.symbol, b.t, b.n, a.f + (a.s + 0.1::DOUBLE) / (a.s + 1.1::DOUBLE) * (b.close - a.f), (1 - (a.s + 0.1::DOUBLE) / (a.s + 1.1::DOUBLE)) * (a.s + 0.1::DOUBLE) FROM fw a JOIN nu b ON b.symbol = a.symbol AND b.t = a.t + 1),
+bw AS (SELECT symbol, t, f AS v FROM fw WHERE t = n UNION ALL SELECT b.symbol, b.t, b.f + b.s / (b.s + 0.1::DOUBLE) * (a.v - b.f) FROM bw a JOIN fw b ON b.symbol = a.symbol AND b.t = a.t - 1) SELECT symbol, eob, round(v, 6) AS smoothed FROM bw JOIN nu USING (symbol, t)""")
+def kalman_smoothed(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(smoothed_level(panels.brand_bars(spark, folder)).select("symbol", "eob", "smoothed"))
+
+
 # ---- state machines
 
 

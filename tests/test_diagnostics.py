@@ -70,6 +70,17 @@ def test_normal_quantiles(spark):
     assert all(abs(r["q"] - inverse(r["p"])) < 1e-8 for r in got)
 
 
+def test_smoothed_level_of_three_values_and_a_gap(spark):
+    from barloom.functions.windows import kalman_smoothed
+
+    got = [r["smoothed"] for r in kalman_smoothed(frame(spark, {"a": [None, 1.0, 3.0]})).orderBy("eob").collect()]
+    gain = 1.1 / 2.1
+    level = 1 + gain * 2
+    assert got[0] is None and abs(got[2] - level) < 1e-12 and abs(got[1] - (1 + (1 / 1.1) * (level - 1))) < 1e-12
+    got = [r["smoothed"] for r in kalman_smoothed(frame(spark, {"a": [2.0, None, 2.0]})).orderBy("eob").collect()]
+    assert got == [2.0, 2.0, 2.0]
+
+
 def test_constant_prices_have_no_shape(spark):
     got = {r["symbol"]: r for r in dg.return_shapes(frame(spark, {"flat": [2.0] * 9, "one": [1.0]}), (1,)).collect()}
     assert set(got) == {"flat"} and got["flat"]["n"] == 8 and got["flat"]["qq_deviation"] is None and got["flat"]["kurtosis"] is None
