@@ -539,7 +539,8 @@ def test_long_copies_are_verified_once_a_run(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     hits = decontamination.leaks(docs(spark, [item, "x " * 700 + item, " ".join(w if k % 9 else "other" for k, w in enumerate(words))]), bench)
     got = {r["doc_id"]: (r["matched"], r["position"]) for r in hits.collect()}
-    assert got[0] == (3000, 0) and got[1] == (3000, 700) and got[2][0] == 3000 - 334 and got[2][1] == 0
+    # of the changed copy 2666 words agree; the best stretch ends before the last change, whose cost of 3 the two words behind it do not win back
+    assert got[0] == (3000, 0) and got[1] == (3000, 700) and got[2][0] == 3000 - 334 - 2 and got[2][1] == 0
 
 
 def test_redaction_is_that_of_plain_python(spark):
