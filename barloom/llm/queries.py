@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontamination, fingerprints, jaccard_join, packing, pii, quality, sharding, token_counts, toxicity
+from barloom.llm import chat, decontamination, fingerprints, jaccard_join, packing, pii, quality, resampling, sharding, token_counts, toxicity
 from barloom.llm.common import held_out, table
 
 
@@ -59,11 +59,18 @@ def op10_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, weight, score and rank in the draw. Null and empty texts have no words and are never drawn;
+    rows that repeat an id are ranked each; an empty table gives no rows."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_syncmer_fingerprints, op2_attention_quality, op3_minimax_shards, op4_chat_format, op5_spaced_seed_decontamination, op6_viterbi_token_counts,
         op7_weak_supervision_pii, op8_sum_of_squares_packing, op9_crf_toxicity, op10_token_group_jaccard,
+        op11_importance_resampling,
     )
 }
 
@@ -83,4 +90,19 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.
 l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * k >= 80 * (u.n + v.n - k)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n""",
+    "op11_importance_resampling": r"""WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+x AS (SELECT doc_id, unnest(w) AS w FROM d), v AS (SELECT w, hex(w) AS h FROM (SELECT w FROM x UNION SELECT w FROM e)),
+b AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: (strpos('0123456789ABCDEF', h[i]) - 1) * 16 + strpos('0123456789ABCDEF', h[i + 1]) - 1)),
+lambda c, y: xor(c >> 8, t[1 + (xor(c, y) & 255)])), 4294967295) % 10000 AS k FROM v, tab),
+s AS (SELECT k, count(*) AS n FROM x JOIN b USING (w) GROUP BY k), u AS (SELECT k, count(*) AS n FROM e JOIN b USING (w) GROUP BY k),
+a AS (SELECT (SELECT count(*) FROM x) AS alls, (SELECT count(*) FROM e) AS allt),
+g AS (SELECT k.k, CAST(floor(1000 * ln((coalesce(u.n, 0) + 1.0::DOUBLE) * (alls + 10000) / ((coalesce(s.n, 0) + 1.0::DOUBLE) * (allt + 10000)))) AS BIGINT) AS g FROM (SELECT DISTINCT k FROM b) k LEFT JOIN s USING (k) LEFT JOIN u USING (k), a),
+m AS (SELECT doc_id, CAST(sum(g) AS BIGINT) AS weight FROM x JOIN b USING (w) JOIN g USING (k) GROUP BY doc_id),
+h AS (SELECT doc_id, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda i: CAST(strpos('0123456789abcdef', sha256('2024:' || doc_id)[i]) - 1 AS BIGINT))), lambda c, y: c * 16 + y) AS h FROM documents),
+r AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+FROM d JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM r WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN rank <= n * 10 // 100 THEN rank END AS BIGINT) AS rank FROM r LEFT JOIN o USING (doc_id)""",
 }
