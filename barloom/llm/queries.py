@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontamination, fingerprints, jaccard_join, packing, pii, quality, resampling, sharding, token_counts, toxicity
+from barloom.llm import chat, decontamination, divergence, fingerprints, jaccard_join, packing, pii, quality, resampling, sharding, token_counts, toxicity
 from barloom.llm.common import held_out, table
 
 
@@ -65,12 +65,18 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language and the foremost terms of each. Null text, lang and source are '';
+    rows that repeat count each; an empty table gives no rows."""
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_syncmer_fingerprints, op2_attention_quality, op3_minimax_shards, op4_chat_format, op5_spaced_seed_decontamination, op6_viterbi_token_counts,
         op7_weak_supervision_pii, op8_sum_of_squares_packing, op9_crf_toxicity, op10_token_group_jaccard,
-        op11_importance_resampling,
+        op11_importance_resampling, op13_source_divergence,
     )
 }
 
@@ -105,4 +111,17 @@ r AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0)
 FROM d JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)),
 o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM r WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CAST(CASE WHEN rank <= n * 10 // 100 THEN rank END AS BIGINT) AS rank FROM r LEFT JOIN o USING (doc_id)""",
+    "op13_source_divergence": r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT r, lang, source, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM d),
+k AS (SELECT lang, w, count(*) AS q FROM x GROUP BY lang, w HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, w, count(*) AS c FROM x JOIN k USING (lang, w) GROUP BY ALL),
+l AS (SELECT d.lang, coalesce(v, 0) AS v, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang FROM d) d LEFT JOIN (SELECT lang, count(*) AS v, sum(q) AS n FROM k GROUP BY lang) k USING (lang)),
+g AS (SELECT d.lang, d.source, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL) c USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.w, coalesce(c.c, 0) AS c, CAST(1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 1) // (g.n + l.v) AS HUGEINT) AS p, CAST(1 + 1000000000::HUGEINT * (k.q + 1) // (l.n + l.v) AS HUGEINT) AS q
+FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.w = k.w),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+UNION ALL SELECT lang, source, 'term', w, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u QUALIFY part = 'pair' OR rank <= 200""",
 }
