@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chat, decontamination, divergence, fingerprints, jaccard_join, packing, pii, quality, resampling, sharding, token_counts, toxicity
+from barloom.llm import chat, decontamination, divergence, fingerprints, jaccard_join, packing, pii, quality, quality_rules, resampling, sharding, token_counts, toxicity
 from barloom.llm.common import held_out, table
 
 
@@ -65,6 +65,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word statistics of every document, the fixed limits and the robust verdict. Null and empty texts fail the limits;
+    rows that repeat are judged each; an empty table gives no rows."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the sources of each language and the foremost terms of each. Null text, lang and source are '';
     rows that repeat count each; an empty table gives no rows."""
@@ -76,7 +82,7 @@ QUERIES = {
     for f in (
         op1_syncmer_fingerprints, op2_attention_quality, op3_minimax_shards, op4_chat_format, op5_spaced_seed_decontamination, op6_viterbi_token_counts,
         op7_weak_supervision_pii, op8_sum_of_squares_packing, op9_crf_toxicity, op10_token_group_jaccard,
-        op11_importance_resampling, op13_source_divergence,
+        op11_importance_resampling, op12_robust_quality_rules, op13_source_divergence,
     )
 }
 
