@@ -183,7 +183,7 @@ def first_estimates(rows: DataFrame, t: Scratch) -> DataFrame:
     scale = t.small("scale", spread.groupBy("lang", "source").agg(*(at("median", i).alias(f"c{i}") for i in range(D)), *(at("spread", i).alias(f"d{i}") for i in range(D))))
     score = [F.tanh((F.col(f"x{i}") - F.col(f"c{i}")) / F.col(f"d{i}")) for i in range(D)]
     both = rows.join(scale, ["lang", "source"]).groupBy("lang", "source", *(f"c{i}" for i in range(D)), *(f"d{i}" for i in range(D))).agg(*(F.sum(score[i] * score[j]).alias(f"t{i}{j}") for i, j in PAIRS), F.count("*").alias("n"))
-    share = lambda i, j: F.coalesce(F.col(f"t{i}{j}") / F.sqrt(F.col(f"t{i}{i}") * F.col(f"t{j}{j}")), F.lit(0.0)) if i != j else F.lit(1.0)
+    share = lambda i, j: F.coalesce(F.try_divide(F.col(f"t{i}{j}"), F.sqrt(F.col(f"t{i}{i}") * F.col(f"t{j}{j}"))), F.lit(0.0)) if i != j else F.lit(1.0)
     sums = lambda start: both.select(
         "lang", "source", F.lit(start).alias("start"), *(f"c{i}" for i in range(D)), F.lit(1.0).alias("w"), *(F.lit(0.0).alias(f"s{i}") for i in range(D)),
         *((share(i, j) * F.col(f"d{i}") * F.col(f"d{j}") if start or i == j else F.lit(0.0)).alias(f"m{i}{j}") for i, j in PAIRS),
