@@ -19,7 +19,8 @@ SHORT_MASKS = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("111",), 5: ("111", "1101
 LEAST_WORDS, LEAST_SHARE = 12, 0.8
 #: What a word that differs costs against one that agrees; a stretch thus agrees in 3 of 4 words at least.
 MISMATCH = 3
-#: Most seeds (two integers each) that are broadcast at once; more items are searched in further blocks.
+#: Most seeds (six integers each) that are broadcast at once, with the words of the items they come from once; more items are searched
+#: in further blocks. A single item of more is a block of its own.
 BLOCK_SEEDS = 1_000_000
 #: Words of a text that are searched at once, beside those around them that an item laid there may cover.
 WINDOW_WORDS = 512
@@ -54,19 +55,22 @@ def with_seeds(rows: DataFrame, hashes: str, low: Column, high: Column, masks: d
     of a text, the seed is null and meets nothing. Only compiled functions stand here, so Spark compiles them with the join behind and copies words for
     hits alone; outer explodes keep it from evaluating the hashes twice, for a filter of empty arrays.
     """
-    hashed = lambda k, mask: F.xxhash64(F.lit(k), *[F.get(hashes, F.col("at") + o) for o, c in enumerate(mask) if c == "1"])
-    laid = [F.when(there & (F.col("at") + len(mask) <= F.size(hashes)), hashed(k, mask)) for k, (mask, there) in enumerate(masks.items())]
+    laid = [F.when(there & (F.col("at") + len(mask) <= F.size(hashes)), seed_of(F.col(hashes), F.col("at"), k, mask)) for k, (mask, there) in enumerate(masks.items())]
     return rows.select("*", F.explode_outer(F.sequence(low, high)).alias("at")).select("*", F.posexplode_outer(F.array(*laid)).alias("mask", "seed"))
 
 
+def seed_of(hashes: Column, at: Column, k: int, mask: str) -> Column:
+    """The hash of the words that mask number `k` picks at a position."""
+    return F.xxhash64(F.lit(k), *[F.get(hashes, at + o) for o, c in enumerate(mask) if c == "1"])
+
+
 def first_of_run(masks: list[str]) -> Column:
     """Whether a hit is the first of a run: the same mask does not agree one word before on the same diagonal, in the same window.
 
     A run is verified once, so a long copy of a long item costs its length and not its square.
     """
-    before = lambda o: F.get("item", F.col("from") - 1 + o) == F.get("words", F.col("at") - 1 + o)
-    same = [(F.col("mask") == k) & reduce(Column.__and__, [before(o) for o, c in enumerate(mask) if c == "1"]) for k, mask in enumerate(masks)]
-    return (F.col("from") == 0) | (F.col("at") == F.col("low")) | ~F.coalesce(reduce(Column.__or__, same), F.lit(False))
+    before = F.coalesce(*[F.when(F.col("mask") == k, seed_of(F.col("words"), F.col("at") - 1, k, m)) for k, m in enumerate(masks)])
+    return (F.col("from") == 0) | (F.col("at") == F.col("low")) | (before != F.col("before"))
 
 
 def overlap(item: Column, hashes: Column, shift: Column) -> Column:
@@ -96,7 +100,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     Word positions of both sides are hashed under the fixed masks; equal hashes lay an item on a document,
     and the words around are compared there, so substituted words are tolerated. Hits are verified where
     they arise, beside the document's own words: nothing but verified pairs is shuffled. Items go in
-    blocks of at most BLOCK_SEEDS seeds, each broadcast, so a benchmark of any size works.
+    blocks of about BLOCK_SEEDS seeds, each broadcast, so a benchmark of any size works.
 
     A pair leaks if LEAST_WORDS words, or LEAST_SHARE of the item's, agree in a stretch where a differing
     word costs MISMATCH, or if LEAST_SHARE of the item's words agree over the whole item, wherever the
@@ -109,6 +113,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     item_words = F.filter(words(F.col("text")), lambda w: w != "")
     items = benchmark.select(F.col("item_id").cast("long"), F.transform(item_words, lambda w: F.xxhash64(w)).alias("item")).where(F.size("item") > 0).distinct()
+    items = items.withColumn("key", F.xxhash64("item"))
     short = F.collect_set(F.when(F.size("item").isin(*SHORT_MASKS), F.size("item")))
     held = items.agg(F.sum(F.size("item")).alias("n"), F.max(F.size("item")).alias("most"), short.alias("short")).first()
     masks = [*MASKS, *sorted({m for n in held["short"] for m in SHORT_MASKS[n]})]
@@ -118,10 +123,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = []
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == b)
-        # at most about BLOCK_SEEDS rows, counted above; a seed that an item has at several places meets each of them
-        table = with_seeds(own, "item", F.lit(0), F.size("item") - 1, on_items).select("mask", "seed", "item_id", F.col("at").alias("from"), "item")
+        # at most about BLOCK_SEEDS rows of six integers, counted above; a seed that an item has at several places meets each of them
+        before = F.coalesce(*[F.when(F.col("mask") == k, seed_of(F.col("item"), F.col("at") - 1, k, m)) for k, m in enumerate(masks)])
+        table = with_seeds(own, "item", F.lit(0), F.size("item") - 1, on_items).select("mask", "seed", "item_id", "key", F.col("at").alias("from"), before.alias("before"))
         hits = with_seeds(rows, "words", F.col("low"), F.col("high"), dict.fromkeys(masks, F.lit(True))).join(F.broadcast(table), ["mask", "seed"])
-        hits = hits.where(first_of_run(masks))
+        # the words of the block's items, eight bytes for every len(masks) seeds, come to the first hits of runs alone
+        hits = hits.where(first_of_run(masks)).join(F.broadcast(own), ["item_id", "key"])
         shift = F.col("at") - F.col("from")
         # a generated column, as a filter of it stays above the join and does not work it out twice
         laid = F.explode_outer(F.array(overlap(F.col("item"), F.col("words"), shift))).alias("o")
