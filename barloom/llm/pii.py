@@ -67,13 +67,21 @@ def prefix_tops(values: Column, least: int = 0) -> Column:
     return running(values, F.lit(least).cast("bigint"), lambda a, x: F.greatest(a, x))
 
 
-def matches(text: Column, pattern: str, needed: str) -> Column:
-    """All matches of a pattern, left to right, as structs of start, end (code points, end exclusive) and the text m."""
-    none = F.lit([]).cast("array<struct<start:bigint,end:bigint,m:string>>")
+def matches(text: Column, pattern: str, needed: str, context: int = 0) -> Column:
+    """All matches of a pattern, left to right, as structs of start, end (code points, end exclusive) and the text m.
+
+    With `context`, also the `before` of each: that many code points before it. They are put together from the pieces between the
+    matches, not cut from the text, which would be walked from its start for each match; the three matches before and
+    the pieces between them hold all of it if a match has a third of the context at least.
+    """
+    none = F.lit([]).cast(f"array<struct<start:bigint,end:bigint,m:string{',before:string' if context else ''}>>")
 
     def placed(found: Column, between: Column) -> Column:
+        last = lambda x: F.right(F.coalesce(x, F.lit("")), F.lit(context))
+        back = lambda i: [last(F.get(x, i - k)) for k in (3, 2, 1, 0) for x in ((between, found) if k else (between,)) if not (k == 3 and x is between)]
+        before = lambda i: [F.right(F.concat(*back(i)), F.lit(context)).alias("before")] if context else []
         steps = F.transform(found, lambda m, i: (F.length(F.get(between, i)) + F.when(i > 0, F.length(F.get(found, i - 1))).otherwise(0)).cast("bigint"))
-        return let(prefix_sums(steps), lambda s: F.transform(found, lambda m, i: F.struct(F.get(s, i).alias("start"), (F.get(s, i) + F.length(m)).alias("end"), m.alias("m"))))
+        return let(prefix_sums(steps), lambda s: F.transform(found, lambda m, i: F.struct(F.get(s, i).alias("start"), (F.get(s, i) + F.length(m)).alias("end"), m.alias("m"), *before(i))))
 
     found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda f: F.when(F.size(f) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda b: placed(f, b))))
     return F.when(text.rlike(needed), found).otherwise(none)
@@ -116,7 +124,6 @@ def candidates(text: Column, kind: str) -> Column:
 
     def judged(s: Column) -> Column:
         m = s["m"]
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(CONTEXT_CHARS)).cast("int"))
         digits, size = F.length(_digits(m)), F.length(m)
 
         def rate(b: Column) -> Column:
@@ -138,9 +145,9 @@ def candidates(text: Column, kind: str) -> Column:
                 F.array(*[v.cast("int") for v in votes]).alias("votes"), F.array(*[c.cast("int") for c in clues]).alias("clues"),
             )
 
-        return let(before, rate)
+        return let(s["before"], rate)
 
-    return F.transform(matches(text, CANDIDATES[kind], NEEDED[kind]), judged)
+    return F.transform(matches(text, CANDIDATES[kind], NEEDED[kind], CONTEXT_CHARS), judged)
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 50) -> tuple[float, list[dict[int, tuple[float, float]]]]:
