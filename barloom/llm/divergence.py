@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from barloom.llm.common import Scratch, slices, small_batches
 from barloom.llm.terms import LETTERS, word_codes
 
-#: Bytes of text counted at once, and distinct (group, term) pairs that a task holds before it hands them on.
-TEXT_BYTES, HELD_TERMS = 4 << 20, 200_000
+#: Bytes of text counted at once, rows of (group, term) that a task holds before it sums them and, if they stay many, hands them on, a batch of GIVEN_ROWS at a time.
+TEXT_BYTES, HELD_TERMS, GIVEN_ROWS = 4 << 20, 1_000_000, 50_000
 #: A term block has at least so many terms, and TERMS_PER_GROUP for each group of its language, so that all partial
 #: pair matrices together hold no more than an eighth of the numbers in the tiles. A tile has at most TILE numbers.
 BLOCK_TERMS, TERMS_PER_GROUP, TILE = 2048, 8, 1 << 22
@@ -31,38 +31,42 @@ PARTS = "lang string, source string, part string, item string, value long, block
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of every (lang, source, term), summed over a task's rows as far as they are held."""
-    held: dict[tuple[str, str, str], list[int]] = {}
+    numbers: dict[tuple[str, str], int] = {}
+    held: list[pa.Table] = []
 
-    def flush() -> pa.RecordBatch:
-        keys = [pa.array(c, pa.string()) for c in zip(*held, strict=True)]
-        sums = [pa.array(c, pa.int64()) for c in zip(*held.values(), strict=True)]
+    def summed() -> pa.Table:
+        found = pa.concat_tables(held).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
         held.clear()
-        return pa.RecordBatch.from_arrays([*keys, *sums], [x.split()[0] for x in COUNTED.split(", ")])
+        return found
+
+    def given(found: pa.Table) -> Iterator[pa.RecordBatch]:
+        names = [pa.array(c, pa.string()) for c in zip(*numbers, strict=True)]
+        for part in found.to_batches(max_chunksize=GIVEN_ROWS):
+            sides = [n.take(part.column("group")) for n in names]
+            yield pa.RecordBatch.from_arrays([*sides, *(part.column(c) for c in ("term", "n_sum", "docs_sum"))], [x.split()[0] for x in COUNTED.split(", ")])
 
     for batch in batches:
         for part in slices(batch, "text", TEXT_BYTES):
             codes, words, first = word_codes(part.column("text"), LETTERS, lower=True)
             if not len(codes):
                 continue
-            names = list(zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True))
-            number = {g: k for k, g in enumerate(dict.fromkeys(names))}
-            group = np.fromiter((number[g] for g in names), np.int64, len(names))
-            row = np.repeat(np.arange(len(names)), np.diff(first))
+            names = zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True)
+            group = np.fromiter((numbers.setdefault(g, len(numbers)) for g in names), np.int64, part.num_rows)
+            row, wide = np.repeat(np.arange(part.num_rows), np.diff(first)), len(words)
             # once for each (row, term), with its occurrences; then once for each (group, term)
-            pairs, times = np.unique(row * len(words) + codes, return_counts=True)
-            keys, where = np.unique(group[pairs // len(words)] * len(words) + pairs % len(words), return_inverse=True)
-            sums, docs = np.zeros(len(keys), np.int64), np.bincount(where, minlength=len(keys))
-            np.add.at(sums, where, times)
-            groups, terms = list(number), words.to_pylist()
-            for key, n, d in zip(keys.tolist(), sums.tolist(), docs.tolist(), strict=True):
-                g, w = divmod(key, len(terms))
-                own = held.setdefault((*groups[g], terms[w]), [0, 0])
-                own[0] += n
-                own[1] += d
-            if len(held) >= HELD_TERMS:
-                yield flush()
+            pairs, times = np.unique(row * wide + codes, return_counts=True)
+            keys, where = np.unique(group[pairs // wide] * wide + pairs % wide, return_inverse=True)
+            sums = np.bincount(where, weights=times, minlength=len(keys)).astype(np.int64)  # far below 2 ** 53
+            columns = [pa.array(keys // wide, pa.int32()), words.cast(pa.string()).take(pa.array(keys % wide)), pa.array(sums), pa.array(np.bincount(where, minlength=len(keys)).astype(np.int64))]
+            held.append(pa.Table.from_arrays(columns, ["group", "term", "n", "docs"]))
+            if sum(t.num_rows for t in held) >= HELD_TERMS:
+                found = summed()
+                if found.num_rows > HELD_TERMS // 2:
+                    yield from given(found)
+                else:
+                    held.append(found.rename_columns({"n_sum": "n", "docs_sum": "docs"}).select(["group", "term", "n", "docs"]))
     if held:
-        yield flush()
+        yield from given(summed())
 
 
 def shares(counts: np.ndarray, total: np.ndarray, kept: int) -> np.ndarray:
@@ -167,7 +171,8 @@ def audit_sources(documents: DataFrame, least_documents: int = 3, most_terms: in
     small_batches(spark)
     rows = documents.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     with Scratch(spark) as t:
-        counted = rows.mapInArrow(count_terms, COUNTED).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        # tasks hand on sums, so one exchange by (lang, term) serves the sums of a group's term and those of a language's
+        counted = rows.mapInArrow(count_terms, COUNTED).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
         same = W.partitionBy("lang", "term")
         kept = t.keep("kept", (
             counted.withColumn("in", F.sum("docs").over(same)).where(F.col("in") >= least_documents)

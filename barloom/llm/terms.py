@@ -37,15 +37,16 @@ def word_codes(column: pa.Array, word: np.ndarray, lower: bool) -> tuple[np.ndar
     inside = word[data]
     border = np.zeros(len(data) + 1, bool)
     border[offsets] = True
-    starts = inside.copy()
+    starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1] | border[1:-1]
-    starts = np.flatnonzero(starts)
+    ends[:-1] &= ~inside[1:] | border[1:-1]
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends)
     first = np.searchsorted(starts, offsets)
     packed = data[inside]
     if lower:
         packed = _LOWER[packed]
-    place = np.cumsum(inside, dtype=np.int64)
-    ends = np.append(place[starts] - 1, len(packed)).astype(np.int64)
-    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(packed)))
+    places = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts + 1, out=places[1:])
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(packed)))
     coded = words.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, first
