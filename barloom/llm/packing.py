@@ -146,12 +146,13 @@ def cut_documents(documents: DataFrame, tokenizer: str, size: int = 2048, end_id
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces_of(tokenizer, size, end_id, with_ids), kind)
 
 
-def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def sum_of_squares(lengths: np.ndarray, size: int, early: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A bin and an offset in it for each length, placed one by one in the given order.
 
     counts[g] is the number of open bins with gap g. An item goes where the sum of the squared counts
     becomes smallest, into a gap that holds it or into a new bin; on a tie the smallest gap wins, and a
-    new bin comes last. Full bins count no more.
+    new bin comes last. Full bins count no more. Unless `early`, a new bin is begun only for an item that no
+    open bin holds.
     """
     counts = np.zeros(size + 1, np.int64)
     open_bins: list[list[int]] = [[] for _ in range(size + 1)]
@@ -168,7 +169,7 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
             change[counts[x:size] == 0] = 1 << 60
             best = int(np.argmin(change)) if len(change) else 0
             new = 2 * counts[size - x] + 1
-            if len(change) and change[best] <= new:
+            if len(change) and (change[best] <= new or not early and change[best] < 1 << 59):
                 chosen = best + x
         if chosen < 0:
             number, gap = len(used), size
@@ -191,7 +192,8 @@ def pack_group(size: int) -> Callable[[pa.Table], pa.Table]:
         doc, piece, crc, length, grp = (pc.fill_null(rows.column(c), 0).to_numpy() for c in ("doc_id", "piece", "ids_crc32", "length", "grp"))
         order = np.lexsort((crc, piece, doc, -length))
         where, offset = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        where[order], offset[order] = sum_of_squares(length[order], size)
+        # the rule with and without early bins; the one that needs fewer is kept, on a tie the former
+        where[order], offset[order] = min((sum_of_squares(length[order], size, early) for early in (True, False)), key=lambda placed: placed[0].max(initial=-1))
         places = pa.array((grp.astype(np.int64) << 32) + where), pa.array(offset)
         return rows.drop_columns("grp").append_column("sequence_id", places[0]).append_column("offset", places[1])
 
@@ -203,8 +205,9 @@ def pack_documents(documents: DataFrame, tokenizer: str, size: int = 2048, end_i
 
     Only documents longer than `size` are cut. Pieces are dealt row by row, whatever their ids, into groups
     of about GROUP_ROWS documents and GROUP_BYTES of text, and each group is packed by itself, longest
-    first; so the work spreads over the cluster, null or repeated ids as well, and no task sees more than
-    its group. Sequences that stay open at a group's end are a few in a thousand.
+    first, by the rule with new sequences begun early and with new ones only for pieces that no open one
+    holds; the better of both is kept. So the work spreads over the cluster, null or repeated ids as well, and no
+    task sees more than its group. Rarely does a group need more sequences than its tokens fill.
 
     Null and empty texts have their end token alone. Rows that repeat are packed each. A null doc_id is
     kept. An empty table gives no rows. Other columns are ignored. Returns doc_id, piece, start, length,
