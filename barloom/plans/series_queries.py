@@ -56,8 +56,8 @@ _LAGS = (1, 2, 3, 5)
 
 
 @query(_density_sql(
-    f"{NATION_MONTH}, q AS (SELECT 'quarter' AS period, symbol, date_trunc('quarter', eob) AS at, arg_max(close, eob) AS close FROM bars GROUP BY ALL UNION ALL SELECT 'month', symbol, date_trunc('month', eob), arg_max(close, eob) FROM bars GROUP BY ALL),"
-    " p AS (SELECT period || '/' || symbol AS symbol, at AS eob, ln(close) AS p FROM q WHERE close > 0)",
+    f"{NATION_MONTH}, q AS (SELECT 'quarter' AS period, symbol, date_trunc('quarter', eob) AS q0, arg_max(close, eob) AS close FROM bars GROUP BY ALL UNION ALL SELECT 'month', symbol, date_trunc('month', eob), arg_max(close, eob) FROM bars GROUP BY ALL),"
+    " p AS (SELECT period || '/' || symbol AS symbol, q0 AS eob, ln(close) AS p FROM q WHERE close > 0)",
     _LAGS, "split_part(symbol, '/', 1) AS period, split_part(symbol, '/', 2) AS symbol",
 ))
 def density_by_period(spark: SparkSession, folder: str) -> DataFrame:
