@@ -242,6 +242,9 @@ def supertrend(bars: DataFrame, period: int = 14, multiplier: float = 2.0, windo
         def step(close: float, upper: float, lower: float) -> tuple:
             nonlocal at, last, top, bottom, side, age
             early, before = at < period, side
+            if close is None or upper is None or lower is None:  # a row without a price leaves the bands and the trend as they are
+                at += 1
+                return top, bottom, side, float(age)
             if early or upper < top or last > top:
                 top = upper
             if early or lower > bottom or last < bottom:

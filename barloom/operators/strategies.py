@@ -6,9 +6,11 @@ Panels are long and dense: one row for each symbol and date, weights 0 where not
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,25 +160,35 @@ def _prior(fn: Callable[[str], Column], n: int) -> Column:
     return F.when(F.count("close").over(past) >= n, fn("close").over(past))
 
 
-def donchian_weights(df: DataFrame, entry: int = 20, leave: int = 10, span: int = 14, multiplier: float = 2.0, target: float = 0.15, lookback: int = 20) -> DataFrame:
-    """In above the highest close of `entry` bars; out below the lowest of `leave` bars or a stop that only rises."""
+def donchian_weights(df: DataFrame, entry: int = 20, leave: int = 10, span: int = 14, multiplier: float = 2.0, target: float = 0.15, lookback: int = 20, sizing: str = "target_vol") -> DataFrame:
+    """In above the highest close of `entry` bars; out below the lowest of `leave` bars or a stop that only rises.
+
+    A position is 1 (`fixed`) or what brings it to the `target` volatility. A row whose close is null or not positive keeps
+    the position and the stop as they were.
+    """
+    if sizing not in ("fixed", "target_vol"):
+        raise ValueError(f"unknown sizing: {sizing}")
     step, exposure = target_exposure(target, lookback)
-    rows = _range(df, span).withColumns(step).withColumns({"upper_": _prior(F.max, entry), "lower_": _prior(F.min, leave), "share_": exposure})
+    rows = _range(df, span).withColumns(step).withColumns({"upper_": _prior(F.max, entry), "lower_": _prior(F.min, leave), "share_": exposure if sizing == "target_vol" else F.lit(1.0)})
 
     def machine() -> Callable[..., float]:
-        held, mark, stop = False, 0.0, 0.0
+        held, mark, stop, last = False, 0.0, 0.0, 0.0
 
-        def walk(price: float, upper: float | None, lower: float | None, width: float | None, share: float | None) -> float:
-            nonlocal held, mark, stop
+        def walk(price: float | None, upper: float | None, lower: float | None, width: float | None, share: float | None) -> float:
+            nonlocal held, mark, stop, last
+            if price is None or not price > 0:
+                return last
             if None in (upper, lower, width, share):
-                return 0.0
+                last = 0.0
+                return last
             if held:
                 mark = max(mark, price)
                 stop = max(stop, mark - multiplier * width)
                 held = price > stop and price > lower
             elif price > upper:
                 held, mark, stop = True, price, price - multiplier * width
-            return share if held else 0.0
+            last = share if held else 0.0
+            return last
 
         return walk
 
@@ -273,7 +285,8 @@ def core_satellite_weights(df: DataFrame, core: float = 1.0, oversold: float = 1
     """A core that stays, a satellite at an oversold first crossing under a rising trend, and a defence when the price runs far from its low.
 
     The defence goes before the satellite. A satellite closed by its stop opens again once a cooldown is over
-    and the price recovered while the pullback lasts. Crossings are windows; the machine sees only flags.
+    and the price recovered while the pullback lasts. Crossings are windows; the machine sees only flags. A row whose
+    close is null or not positive keeps the state it meets.
     """
     step = {"d_": F.col("close") - lag("close")}
     gains = {"g_": rolling(F.avg, F.greatest("d_", F.when(F.col("d_").isNotNull(), 0.0)), rsi), "l_": rolling(F.avg, F.greatest(-F.col("d_"), F.when(F.col("d_").isNotNull(), 0.0)), rsi)}
@@ -291,6 +304,8 @@ def core_satellite_weights(df: DataFrame, core: float = 1.0, oversold: float = 1
         def walk(price, mean_, pull, oversold_, far) -> float:
             nonlocal at, guard, satellite, stopped
             at += 1
+            if price is None or not price > 0:
+                return defensive if guard else oversold if satellite else core
             if guard and (price <= guard[1] * (1 - drop) or at - guard[0] >= longest_defence):
                 guard = None
             if satellite:
@@ -401,6 +416,45 @@ def factor_weights(daily_ic: DataFrame, factors: list[str], lookback: int, least
     return rows.select("eob", *[F.get("w_", F.lit(i)).alias(f) for i, f in enumerate(factors)])
 
 
+def icir_weights(daily_ic: DataFrame, correlations: DataFrame, factors: list[str], lookback: int = 252, least: int = 126, delay: int = 1, cap: float = 0.5, shrinkage: float = 0.5) -> DataFrame:
+    """Weights of factors on each date that maximise the combined IC ratio: the IC ratios over the factors' correlations, negative ones at 0, capped.
+
+    daily_ic: one row a date, one column of ICs a factor; correlations: factor_a, factor_b, eob, correlation, one row a
+    date and pair in either order. Both are known `delay` dates later. The correlations are drawn to none by `shrinkage`. A date
+    on which one is missing has equal weights. Each date is one small solve, by itself.
+    """
+    n = len(factors)
+    if cap * n < 1 - 1e-12:
+        raise ValueError("the cap is too low for the number of factors")
+    place = {f: i for i, f in enumerate(factors)}
+    frame = dates().rowsBetween(-(lookback - 1 + delay), -delay)
+    ratios = [F.when(F.count(f).over(frame) >= least, F.try_divide(F.avg(f).over(frame), F.stddev_samp(f).over(frame))).alias(f"m_{i}") for i, f in enumerate(factors)]
+    known = correlations.where(F.col("factor_a").isin(factors) & F.col("factor_b").isin(factors) & (F.col("factor_a") != F.col("factor_b")))
+    number = lambda c: F.element_at(F.create_map(*[F.lit(x) for f, i in place.items() for x in (f, i)]), F.col(c))
+    low, high = F.least(number("factor_a"), number("factor_b")), F.greatest(number("factor_a"), number("factor_b"))
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    wide = known.groupBy("eob").agg(*[F.max(F.when((low == i) & (high == j), F.col("correlation"))).alias(f"c_{i}_{j}") for i, j in pairs])
+    rows = daily_ic.select("eob", *ratios).join(wide, "eob", "left")
+    rows = rows.select("eob", *[f"m_{i}" for i in range(n)], *[F.lag(f"c_{i}_{j}", delay).over(dates()).alias(f"c_{i}_{j}") for i, j in pairs])
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = lambda name, batch=batch: batch.column(name).to_numpy(zero_copy_only=False).astype(float)
+            mean = np.stack([read(f"m_{i}") for i in range(n)], 1)
+            matrix = np.zeros((batch.num_rows, n, n)) + np.eye(n)
+            for i, j in pairs:
+                matrix[:, i, j] = matrix[:, j, i] = read(f"c_{i}_{j}")
+            whole = np.isfinite(matrix).all(axis=(1, 2)) & np.isfinite(mean).all(axis=1)
+            out = np.zeros((batch.num_rows, n))
+            if whole.any():
+                drawn = (1 - shrinkage) * matrix[whole] + (shrinkage + 1e-8) * np.eye(n)
+                out[whole] = np.linalg.solve(drawn, mean[whole][:, :, None])[:, :, 0]
+            yield pa.RecordBatch.from_arrays([batch.column("eob"), pa.array(np.maximum(out, 0.0).tolist(), pa.list_(pa.float64()))], ["eob", "w_"])
+
+    weights = rows.mapInArrow(solved, f"eob {dict(daily_ic.dtypes)['eob']}, w_ array<double>").select("eob", capped(F.col("w_"), cap, n).alias("w_"))
+    return weights.select("eob", *[F.get("w_", F.lit(i)).alias(f) for i, f in enumerate(factors)])
+
+
 def log_differences(df: DataFrame, factors: tuple[str, ...] = ("open", "high", "low", "close"), lags: tuple[int, ...] = (1,), shifts: tuple[int, ...] = (0, 5)) -> DataFrame:
     """Log of each price less the lagged log of each, shifted; rows with a missing one go."""
     df = df.withColumns({f"l_{f}": F.log(F.when(F.col(f) > 0, F.col(f))) for f in factors})

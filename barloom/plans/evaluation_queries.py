@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.oracle import BRAND_WEEK, avg_rank, div, lag, lead
+from barloom.functions.windows import lag as lag_of, lead as lead_of, row_no
+from barloom.operators import checks as ck
 from barloom.operators import cross_section as cs
 from barloom.operators import evaluation as ev
+from barloom.plans import formula
 from barloom.plans.panel_queries import HELD, WEEK, first, held, rounded, week
+from barloom.sources import panels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -110,3 +115,72 @@ def robustness_report(spark: SparkSession, folder: str) -> DataFrame:
     """Momentum over all brands and in parts of the sample."""
     regimes = {"early": F.col("eob") < F.lit("1995-01-01").cast("date"), "rising": F.col("close") > F.col("open")}
     return rounded(ev.robustness(week(spark, folder), "mom", "fwd", regimes, {"liquidity": "volume"}, leave_out="symbol"))
+
+
+# ---- causality and validation
+
+
+_AHEAD = {"op": "-", "args": [{"call": "mean", "args": [{"field": "close"}], "n": 5}, {"call": "lag", "args": [{"field": "close"}], "n": 1}]}
+_CUTS = ("1994-06-06", "1996-01-01", "1997-12-29")
+
+
+def _prefix_sql(name: str, value: str) -> str:
+    cut = f"SELECT '{name}' AS formula, c.cut, b.symbol, b.eob, {value.format(w='PARTITION BY c.cut, b.symbol ORDER BY b.eob')} AS v FROM bars b JOIN c ON b.eob <= c.cut"
+    return f"SELECT formula, cut, count(*) AS rows, count(*) FILTER (p.v IS DISTINCT FROM a.v) AS changed FROM ({cut}) p JOIN (SELECT symbol, eob, {value.format(w='PARTITION BY symbol ORDER BY eob')} AS v FROM bars b) a USING (symbol, eob) GROUP BY ALL"
+
+
+@query(f"""WITH {BRAND_WEEK}, c AS (SELECT unnest([{', '.join(f"DATE '{c}'" for c in _CUTS)}]) AS cut), x AS ({_prefix_sql('behind', 'lag(b.close, 3) OVER ({w})')} UNION ALL {_prefix_sql('ahead', 'lead(b.close, 2) OVER ({w})')})
+SELECT formula, cut, rows, changed, changed = 0 AS passed FROM x""")
+def prefix_causality(spark: SparkSession, folder: str) -> DataFrame:
+    """A close of three weeks before passes at every cut, one of two weeks ahead does not."""
+    bars = panels.brand_bars(spark, folder)
+    out = None
+    for name, value in (("behind", lag_of("close", 3)), ("ahead", lead_of("close", 2))):
+        rows = ck.prefix_causality(bars, lambda df, value=value: df.withColumn("value", value), cuts=[datetime.date.fromisoformat(c) for c in _CUTS])
+        rows = rows.select(F.lit(name).alias("formula"), "cut", "rows", "changed", "passed")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"""WITH {BRAND_WEEK}, c AS (SELECT unnest([{', '.join(f"DATE '{c}'" for c in _CUTS)}]) AS cut) SELECT cut, count(*) AS rows, CAST(0 AS BIGINT) AS changed, true AS passed FROM bars JOIN c ON eob <= cut GROUP BY cut""")
+def formula_causality(spark: SparkSession, folder: str) -> DataFrame:
+    """A compiled formula with a rank over each date, at three cuts: no row to come changes it."""
+    tree = {"op": "-", "args": [{"call": "rank", "args": [_AHEAD]}, {"const": 0.5}]}
+    rows = ck.prefix_causality(panels.brand_bars(spark, folder), lambda df: formula.evaluate(df, tree), cuts=[datetime.date.fromisoformat(c) for c in _CUTS])
+    return rows.select("cut", "rows", "changed", "passed")
+
+
+_DIRTY = """d AS (SELECT CASE WHEN l_linenumber = 7 THEN ' ' ELSE l_returnflag || l_linestatus END AS symbol, CAST(l_shipdate AS DATE) AS day, l_extendedprice AS close, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS volume,
+l_extendedprice - l_quantity AS high, l_extendedprice AS low, l_extendedprice AS open FROM lineitem), k AS (SELECT symbol, day, count(*) AS n FROM d GROUP BY ALL)"""
+
+
+@query(f"""WITH {_DIRTY}, f AS (SELECT 'symbol_names' AS code, (SELECT count(*) FROM d WHERE trim(symbol) = '') AS n, 'hard_fail' AS s UNION ALL SELECT 'times', 0, 'hard_fail' UNION ALL SELECT 'unique_keys', (SELECT sum(n - 1) FROM k), 'hard_fail'
+UNION ALL SELECT 'symbol_times', (SELECT count(DISTINCT symbol) FROM k WHERE n > 1), 'hard_fail' UNION ALL SELECT 'bars', (SELECT sum((high < low)::INT + (high < greatest(open, close))::INT + (low > least(open, close))::INT) FROM d), 'soft_fail'
+UNION ALL SELECT 'infinite:close', 0, 'soft_fail' UNION ALL SELECT 'infinite:volume', 0, 'soft_fail' UNION ALL SELECT 'universe', (SELECT count(DISTINCT symbol) FROM d WHERE symbol NOT IN ('AF', 'NO')), 'hard_fail')
+SELECT code, n = 0 AS passed, CASE WHEN n = 0 THEN 'info' ELSE s END AS severity, CAST(CAST(n AS BIGINT) AS VARCHAR) AS detail FROM f
+UNION ALL SELECT 'coverage:' || c, true, 'info', v FROM (SELECT 'close' AS c, '1.0' AS v UNION ALL SELECT 'volume', CAST(CAST(round(avg((volume IS NOT NULL)::INT), 6) AS DOUBLE) AS VARCHAR) FROM d)
+UNION ALL SELECT 'coverage', avg((volume IS NOT NULL)::INT) >= 0.95, CASE WHEN avg((volume IS NOT NULL)::INT) >= 0.95 THEN 'info' ELSE 'soft_fail' END, CAST(CAST(round(avg((volume IS NOT NULL)::INT), 6) AS DOUBLE) AS VARCHAR) FROM d
+UNION ALL SELECT * FROM (VALUES ('levels', true, 'info', 'symbol, day'), ('symbol_type', true, 'info', 'string'), ('required_fields', false, 'hard_fail', 'amount'), ('panel', false, 'info', ''))""")
+def panel_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules of a panel that breaks several: trades by flag and day, with nameless rows, missing volumes and repeated keys."""
+    rows = panels.table(spark, folder, "lineitem").select(
+        F.when(F.col("l_linenumber") == 7, " ").otherwise(F.concat("l_returnflag", "l_linestatus")).alias("symbol"), F.to_date("l_shipdate").alias("day"), F.col("l_extendedprice").alias("close"),
+        F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("volume"), (F.col("l_extendedprice") - F.col("l_quantity")).alias("high"), F.col("l_extendedprice").alias("low"), F.col("l_extendedprice").alias("open"),
+    )
+    return ck.validate_panel(rows, ("close", "volume", "amount"), universe=("AF", "NO"), least_coverage=0.95)
+
+
+@query(f"""WITH {BRAND_WEEK}, v AS (SELECT symbol, eob, {lag('close', 4)} AS value, row_number() OVER (PARTITION BY symbol ORDER BY eob) AS p FROM bars), w AS (SELECT * FROM v WHERE p <> 30),
+r AS (SELECT 'duplicate_keys' AS code, 0 AS n, 'hard_fail' AS s UNION ALL SELECT 'keys', (SELECT count(*) FROM v WHERE p = 30), 'hard_fail' UNION ALL SELECT 'infinite', 0, 'hard_fail' UNION ALL SELECT 'warmup', 1, 'hard_fail' UNION ALL SELECT 'holes', (SELECT count(*) FROM v WHERE p = 30), 'soft_fail')
+SELECT code, n = 0 AS passed, CASE WHEN n = 0 THEN 'info' ELSE s END AS severity, CAST(n AS VARCHAR) AS detail FROM r""")
+def output_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Values with four rows of warm-up where three are declared, without each symbol's thirtieth row."""
+    bars = panels.brand_bars(spark, folder)
+    values = bars.withColumns({"value": lag_of("close", 4), "p": row_no()}).where("p <> 30")
+    return ck.alignment(bars, values, warmup=3)
+
+
+@query()
+def table_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Content digests of the weekly bars of every brand."""
+    return ck.content_hash(panels.brand_bars(spark, folder), ("symbol",))

@@ -388,12 +388,44 @@ def rolling_correlation(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(st.rolling_factor_correlation(week(spark, folder), FACTORS, 26, 13))
 
 
-@query()
+_ONE = "SELECT eob, corr(a, b) AS {0} FROM (SELECT eob, " + avg_rank("{0}") + " AS a, " + avg_rank("fwd") + " AS b FROM s0 WHERE {0} IS NOT NULL AND fwd IS NOT NULL) GROUP BY eob HAVING count(*) >= 5"
+_ICS = f"{base(steps(BRAND_WEEK, WEEK, select='0'))}, di AS (SELECT * FROM ({_ONE.format('mom')}) FULL JOIN ({_ONE.format('gap')}) USING (eob) FULL JOIN ({_ONE.format('vol')}) USING (eob))"
+_LATE = "(ORDER BY eob ROWS BETWEEN 27 PRECEDING AND 2 PRECEDING)"
+
+
+def _capped_sql(source: str) -> str:
+    """Weights from x0, x1, x2 of `source` under a cap of one half: at most one of three can be above it."""
+    clean = "SELECT eob, " + ", ".join(f"greatest(coalesce(x{i}, 0), 0) AS y{i}" for i in range(3)) + f" FROM {source}"
+    own = "SELECT eob, " + ", ".join(f"CASE WHEN y0 + y1 + y2 > 0 THEN y{i} / (y0 + y1 + y2) ELSE 1 / 3.0 END AS w{i}" for i in range(3)) + f" FROM ({clean})"
+    top = lambda i: f"CASE WHEN w{i} > 0.5 THEN 0.5 WHEN greatest(w0, w1, w2) <= 0.5 THEN w{i} WHEN 1 - greatest(w0, w1, w2) > 1e-15 THEN 0.5 * w{i} / (1 - greatest(w0, w1, w2)) ELSE 0.25 END"
+    return "SELECT eob, " + ", ".join(f"round({top(i)}, 6) AS {f}" for i, f in enumerate(FACTORS)) + f" FROM ({own})"
+
+
+@query(f"{_ICS}, x AS (SELECT eob, " + ", ".join(f"CASE WHEN count({f}) OVER {_LATE} >= 13 THEN avg({f}) OVER {_LATE} END AS x{i}" for i, f in enumerate(FACTORS)) + f" FROM di) {_capped_sql('x')}")
 def factor_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Capped weights of three factors from their ICs of the last 26 weeks, known two weeks late."""
+    return rounded(st.factor_weights(_daily_ics(spark, folder), FACTORS, 26, 13, 2, 0.5))
+
+
+def _daily_ics(spark: SparkSession, folder: str) -> DataFrame:
     rows = week(spark, folder)
     daily = [cs.rank_ic(rows, f, "fwd").select("eob", F.col("ic").alias(f)) for f in FACTORS]
-    return rounded(st.factor_weights(daily[0].join(daily[1], "eob", "full").join(daily[2], "eob", "full"), FACTORS, 26, 13, 2, 0.5))
+    return daily[0].join(daily[1], "eob", "full").join(daily[2], "eob", "full")
+
+
+_RATIO = ", ".join(f"CASE WHEN count({f}) OVER {_LATE} >= 13 THEN avg({f}) OVER {_LATE} / nullif(stddev_samp({f}) OVER {_LATE}, 0) END AS m{i}" for i, f in enumerate(FACTORS))
+_PAIRS3 = {"p": ("mom", "gap"), "q": ("mom", "vol"), "r": ("gap", "vol")}
+_SOLVED = {0: "m0 * (a * a - r * r) + m1 * (q * r - a * p) + m2 * (p * r - a * q)", 1: "m0 * (q * r - a * p) + m1 * (a * a - q * q) + m2 * (p * q - a * r)", 2: "m0 * (p * r - a * q) + m1 * (p * q - a * r) + m2 * (a * a - p * p)"}
+
+
+@query(f"""{base(steps(BRAND_WEEK, WEEK, {f'k_{f}': avg_rank(f) for f in FACTORS}, select='0'))}, dc AS (SELECT eob, {_cc} FROM s1 GROUP BY eob), cl AS ({_cl}), rc AS (SELECT factor_a, factor_b, eob, CASE WHEN count(c) OVER {_cw} >= 13 THEN avg(c) OVER {_cw} END AS c FROM cl),
+wc AS (SELECT eob, {', '.join(f"max(c) FILTER (factor_a = '{a}' AND factor_b = '{b}') AS {k}0" for k, (a, b) in _PAIRS3.items())} FROM rc GROUP BY eob), {_ICS[_ICS.index('di AS'):]},
+j AS (SELECT di.eob, {_RATIO}, {', '.join(f"0.5 * lag({k}0, 2) OVER (ORDER BY eob) AS {k}" for k in _PAIRS3)}, 1 + 1e-8 AS a FROM di LEFT JOIN wc USING (eob)),
+x AS (SELECT eob, {', '.join(f"({e}) / (a * a * a + 2 * p * q * r - a * (p * p + q * q + r * r)) AS x{i}" for i, e in _SOLVED.items())} FROM j) {_capped_sql('x')}""")
+def icir_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Capped weights that maximise the combined IC ratio of three factors, with correlations drawn half way to none."""
+    correlations = st.rolling_factor_correlation(week(spark, folder), FACTORS, 26, 13)
+    return rounded(st.icir_weights(_daily_ics(spark, folder), correlations, FACTORS, 26, 13, 2, 0.5, 0.5))
 
 
 @query(f"{base(steps(BRAND_WEEK, {f'l_{f}': f'ln({f})' for f in ('open', 'close')}, select='0'))}, f AS (SELECT symbol, eob, l_open - lag(l_close, 1) OVER w AS logdiff_open_close1_shift0, lag(l_close, 5) OVER w - lag(l_open, 6) OVER w AS logdiff_close_open1_shift5, lag(l_close, 5) OVER w - lag(l_close, 6) OVER w AS full_ FROM s0 WINDOW w AS (PARTITION BY symbol ORDER BY eob)) SELECT symbol, eob, round(logdiff_open_close1_shift0, 6) AS logdiff_open_close1_shift0, round(logdiff_close_open1_shift5, 6) AS logdiff_close_open1_shift5 FROM f WHERE full_ IS NOT NULL")

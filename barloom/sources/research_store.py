@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.sources.store import compacted
+from barloom.sources.store import compacted, partitioned
 
 YEAR = 252
 
@@ -32,7 +32,7 @@ def _at(root: str, *parts: str) -> str:
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at a path, or None where nothing is stored."""
     try:
-        return spark.read.parquet(path)
+        return partitioned(spark, path, "symbol", "namespace", "run")
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -165,7 +165,7 @@ def backtests(spark: SparkSession, root: str, where: str = "true") -> DataFrame
     path = _at(root, "backtest_summary")
     if _read(spark, path) is None:
         return None
-    return spark.read.option("mergeSchema", "true").parquet(path).where(where)  # runs may have further metrics
+    return partitioned(spark, path, "namespace", "run", mergeSchema="true").where(where)  # runs may have further metrics
 
 
 # ---- models, clearing

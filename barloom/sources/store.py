@@ -11,6 +11,13 @@ from pyspark.sql import types as T
 BARS = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("eob", T.TimestampNTZType()), *(T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume"))])
 
 
+def partitioned(spark: SparkSession, path: str, *keys: str, **options: str) -> DataFrame:
+    """A table whose partition columns `keys` are text, whatever their values look like: 000001 stays 000001."""
+    reader = spark.read.options(**options)
+    fields = [T.StructField(f.name, T.StringType()) if f.name in keys else f for f in reader.parquet(path).schema]
+    return reader.schema(T.StructType(fields)).parquet(path)
+
+
 def save(bars: DataFrame, root: str, frequency: str) -> None:
     """Write bars under root/frequency, replacing the partitions of the symbols they hold and no others."""
     bars.repartition("symbol").sortWithinPartitions("symbol", "eob").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(f"{root}/{frequency}")
@@ -18,7 +25,7 @@ def save(bars: DataFrame, root: str, frequency: str) -> None:
 
 def read(spark: SparkSession, root: str, frequency: str, symbols: list[str] | None = None) -> DataFrame:
     """Bars of the given symbols (all if None); partitions are pruned; symbols that are missing raise together."""
-    bars = spark.read.parquet(f"{root}/{frequency}").withColumn("symbol", F.col("symbol").cast("string"))
+    bars = partitioned(spark, f"{root}/{frequency}", "symbol")
     if symbols is None:
         return bars
     if not symbols:
@@ -43,7 +50,31 @@ def sql(spark: SparkSession, folder: str, text: str, tables: tuple[str, ...]) ->
     for t in tables:
         spark.read.parquet(f"{folder}/{t}.parquet").createOrReplaceTempView(f"{t}_{mark}")
         head.append(f"{t} AS (SELECT * FROM {t}_{mark})")
-    return spark.sql(f"WITH {', '.join(head)} {text}")
+    try:
+        return spark.sql(f"WITH {', '.join(head)} {text}")
+    finally:
+        for t in tables:
+            spark.catalog.dropTempView(f"{t}_{mark}")
+
+
+def import_combined(spark: SparkSession, path: str, root: str, frequency: str, zone: str = "Asia/Shanghai") -> list[str]:
+    """Bars of many symbols from one CSV, saved symbol by symbol; the names of the symbols that came in."""
+    bars = from_csv(spark, path, zone)
+    save(bars, root, frequency)
+    return [r["symbol"] for r in bars.select("symbol").distinct().orderBy("symbol").collect()]
+
+
+def market(spark: SparkSession, root: str, frequency: str, text: str, symbols: list[str] | None = None) -> DataFrame:
+    """A SELECT over the view `market`: the stored bars of a frequency, of the given symbols or of all.
+
+    The view has a name of its own while the text is resolved, and is gone when the plan is there.
+    """
+    mark = f"market_{uuid4().hex[:8]}"
+    read(spark, root, frequency, symbols).createOrReplaceTempView(mark)
+    try:
+        return spark.sql(f"WITH market AS (SELECT * FROM {mark}) {text}")
+    finally:
+        spark.catalog.dropTempView(mark)
 
 
 def missing_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
