@@ -37,7 +37,7 @@ def deflated_sharpe(spark: SparkSession, folder: str) -> DataFrame:
 def overfitting(spark: SparkSession, folder: str) -> DataFrame:
     """Each brand's weekly change stands for a candidate."""
     rows = week(spark, folder).select(F.col("symbol").alias("candidate"), "eob", F.col("fwd").alias("ret")).where("ret IS NOT NULL")
-    return rs.overfitting(rows, 6)
+    return rounded(rs.overfitting(rows, 6))
 
 
 def regression_attribution(spark: SparkSession, folder: str) -> DataFrame:
