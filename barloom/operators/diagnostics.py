@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import change, dates, lag, lead, series
+from barloom.session import cut
 
 #: A generator of block starts that any engine can repeat: x -> (x * STEP + SHIFT) mod MODULUS.
 STEP, SHIFT, MODULUS = 1103515245, 12345, 2147483648
@@ -47,7 +48,9 @@ def superiority_tests(candidates: DataFrame, benchmark: str | None = None, repli
     own = Window.partitionBy("candidate")
     rows = rows.withColumns({"n": F.count("*").over(own), "mean": F.avg("ret").over(own), "s_": F.stddev_samp("ret").over(own)}).where("n >= 2")
     running = F.sum(F.col("ret") - F.col("mean")).over(own.orderBy("eob").rowsBetween(Window.unboundedPreceding, 0))
-    sums = rows.select("candidate", F.row_number().over(own.orderBy("eob")).alias("t"), running.alias("sum"))
+    # everything below hangs on these narrow rows: they are worked out once
+    rows = cut(rows.select("candidate", "ret", "n", "mean", "s_", F.row_number().over(own.orderBy("eob")).alias("t"), running.alias("sum")))
+    sums = rows.select("candidate", "t", "sum")
     per = rows.groupBy("candidate").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("s_").alias("s_"))
     pooled = rows.agg(F.coalesce(F.nullif(F.stddev_samp("ret"), F.lit(0.0)), F.lit(1.0)).alias("pooled"))  # one row
     whole = Window.partitionBy()  # one row a candidate
@@ -55,7 +58,7 @@ def superiority_tests(candidates: DataFrame, benchmark: str | None = None, repli
     least = -F.sqrt(F.greatest(F.log(F.log(F.greatest("n", F.lit(3)))), F.lit(1.0)) / F.col("n")) * F.col("std")
     per = per.withColumns({"best": F.max("mean").over(whole), "in_": F.col("mean") >= least})
     per = per.withColumn("in_", F.when(F.max("in_").over(whole), F.col("in_")).otherwise(F.col("mean") == F.col("best")))
-    per = per.withColumn("score", F.sqrt("n") * F.col("mean") / F.col("std"))
+    per = cut(per.withColumn("score", F.sqrt("n") * F.col("mean") / F.col("std")))
     size = F.least(F.lit(block), F.col("n")).cast("long")
     head = per.agg(
         F.first("n").alias("n"), F.count("*").alias("n_candidates"), F.max("mean").alias("best_mean"), F.min_by("candidate", F.struct(-F.col("mean"), "candidate")).alias("best_candidate"),

@@ -93,8 +93,9 @@ def last_dates(dates: DataFrame, unit: str) -> DataFrame:
 
 
 def densified(weights: DataFrame, dates: DataFrame, symbols: DataFrame) -> DataFrame:
-    """One row for each date and symbol (both are small lists of distinct values), weights null where there was none."""
-    return dates.crossJoin(F.broadcast(symbols)).join(weights, ["eob", "symbol"], "left")
+    """One row for each date and symbol, weights null where there was none; the dates are one row each, of which each symbol gets the list."""
+    calendar = dates.agg(F.collect_set("eob")).scalar()
+    return symbols.select("symbol", F.explode(calendar).alias("eob")).join(weights, ["eob", "symbol"], "left")
 
 
 def hold_every(weights: DataFrame, every: int) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import cut
 from barloom.functions.windows import by_date, change, dates, dates_prefix, lag, lead, prefix, ratio, rolling, series
 
 YEAR = 252
@@ -77,7 +78,7 @@ def yearly_returns(daily: DataFrame, ret: str = "ret") -> DataFrame:
 def drawdown_episodes(daily: DataFrame, ret: str = "ret", top: int = 5) -> DataFrame:
     """The deepest falls below a high: peak, trough, recovery date and depth."""
     e = equity(daily, ret).withColumn("new_high", (F.col("equity") >= F.col("high")).cast("int"))
-    e = e.withColumn("island", F.sum("new_high").over(dates_prefix()))
+    e = cut(e.withColumn("island", F.sum("new_high").over(dates_prefix())))  # one row a date, used twice
     under = e.where("new_high = 0").groupBy("island").agg(F.max("drawdown").alias("depth"), F.min_by("eob", F.struct(F.negative("drawdown"), "eob")).alias("trough"), F.count("*").alias("days"))
     peaks = e.where("new_high = 1").select("island", F.col("eob").alias("peak"), F.lead("eob").over(dates()).alias("recovery"))
     return under.join(peaks, "island", "left").orderBy(F.desc("depth"), "trough").limit(top).select("peak", "trough", "recovery", "depth", "days")

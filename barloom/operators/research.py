@@ -28,27 +28,28 @@ def expanding_folds(days: DataFrame, least: int, step: int, purge: int) -> DataF
     return tests.groupBy("fold").agg(F.min("eob").alias("test_start"), F.max("eob").alias("test_end"), F.count("*").alias("test_days"), (F.min("place") - purge).cast("bigint").alias("train_days"))
 
 
-def screen(bars: DataFrame, names: list[str], horizon: int = 1, least: int = 5) -> DataFrame:
-    """Daily rank IC summary of each named indicator, the strongest first.
+def unfolded(bars: DataFrame, columns: dict, key: str, horizon: int, least: int) -> DataFrame:
+    """Summaries of daily rank ICs of several columns: label -> a function that adds `value` to the bars.
 
-    All indicators are columns of one long table of (indicator, symbol, date), so the correlations are one job.
+    The functions run one behind the other on the same rows, so those that are windows share one sort; then each row is unfolded.
     """
-    base = bars.withColumn("fwd", forward_return("close", horizon))
-    parts = [INDICATORS[n](base).select(F.lit(n).alias("indicator"), "eob", "value", "fwd") for n in names]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    return summarize_ic(rank_ic(long, "value", "fwd", least, ("indicator", "eob")), ("indicator",))
+    wide, names = bars.withColumn("ahead_of_all", forward_return("close", horizon)), {}
+    for i, (label, add) in enumerate(columns.items()):
+        names[label] = f"value_{i}_of_all"
+        wide = add(wide).withColumnRenamed("value", names[label])
+    cells = F.array(*[F.struct(F.lit(label).alias(key), F.col(n).cast("double").alias("value")) for label, n in names.items()])
+    long = wide.select("eob", F.col("ahead_of_all").alias("fwd"), F.explode(cells).alias("c")).select("eob", "fwd", "c.*")
+    return summarize_ic(rank_ic(long, "value", "fwd", least, (key, "eob")), (key,))
+
+
+def screen(bars: DataFrame, names: list[str], horizon: int = 1, least: int = 5) -> DataFrame:
+    """Daily rank IC summary of each named indicator: one scan and one plan for all of them."""
+    return unfolded(bars, {n: INDICATORS[n] for n in names}, "indicator", horizon, least)
 
 
 def sweep(bars: DataFrame, name: str, parameter: str, values: list, horizon: int = 1, least: int = 5) -> DataFrame:
     """The same for one indicator over values of one parameter."""
-    base = bars.withColumn("fwd", forward_return("close", horizon))
-    long = None
-    for v in values:
-        part = INDICATORS[name](base, **{parameter: v}).select(F.lit(v).alias(parameter), "eob", "value", "fwd")
-        long = part if long is None else long.unionByName(part)
-    return summarize_ic(rank_ic(long, "value", "fwd", least, (parameter, "eob")), (parameter,))
+    return unfolded(bars, {v: lambda df, v=v: INDICATORS[name](df, **{parameter: v}) for v in values}, parameter, horizon, least)
 
 
 def rolling_metrics(daily: DataFrame, x: str, windows: tuple[int, ...], year: int = 252) -> DataFrame:

@@ -13,6 +13,7 @@ from barloom.operators import attribution as at
 from barloom.operators import cross_section as cs
 from barloom.operators import market as mk
 from barloom.operators import portfolio as pf
+from barloom.session import cut
 from barloom.sources import panels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,7 +60,7 @@ def first(x: str, by: str = "eob") -> str:
 
 def held(spark: SparkSession, folder: str) -> DataFrame:
     """Dense small weights (a small part of the capital) of the five best of momentum, on the calendar of the week panel."""
-    rows = week(spark, folder)
+    rows = cut(week(spark, folder))  # the grid of dates and symbols, the picks and the bars all come from it
     picks = cs.top_n(rows, "mom", 5, 0.002).select("symbol", "eob", "weight")
     dense = mk.densified(picks, rows.select("eob").distinct(), rows.select("symbol").distinct())
     return dense.join(rows.drop("weight"), ["symbol", "eob"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))

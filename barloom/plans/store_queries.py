@@ -15,7 +15,8 @@ def _days(spark: SparkSession, folder: str) -> DataFrame:
 def coverage_gaps(spark: SparkSession, folder: str) -> DataFrame:
     """Symbol-hours of the grid without an event, unless excused (the first symbol is)."""
     days = _days(spark, folder).withColumn("key", F.concat_ws(" ", F.col("date").cast("string"), F.col("hour").cast("string")))
-    grid = days.select("symbol").distinct().crossJoin(F.broadcast(days.select("key").distinct()))
+    hours = days.agg(F.collect_set("key")).scalar()  # one text an hour of the calendar
+    grid = days.select("symbol").distinct().select("symbol", F.explode(hours).alias("key"))
     excused = grid.where(F.col("symbol") == "click")
     return store.coverage(grid, days, excused, ["symbol", "key"])
 
