@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.windows import average_rank, correlation, dates, lag, lead, ratio
 from barloom.operators.cross_section import rank_ic
 from barloom.operators.portfolio import executed
+from barloom.session import cut
 
 POOLED = ("residual_ic", "conditional_corr", "r2_before", "r2_after")
 
@@ -71,7 +72,7 @@ def compare_to_pool(df: DataFrame, candidate: str, pool: list[str], forward: str
     `direction` turns a candidate that bets on low values; redundancy is in absolute value. A mean over
     fewer than `least_dates` dates is null. The panel is shuffled by date twice, whatever the size of the pool.
     """
-    rows = df.withColumn(candidate, F.col(candidate) * direction)
+    rows = cut(df.select("symbol", "eob", (F.col(candidate) * direction).alias(candidate), *pool, forward))  # read by both reports
     both = rows.select("eob", *(F.when(F.col(candidate).isNotNull() & F.col(m).isNotNull(), F.col(c)).alias(f"{k}_{m}") for m in pool for k, c in (("a", candidate), ("b", m))))
     both = both.withColumns({f"{k}r_{m}": average_rank(f"{k}_{m}") for m in pool for k in "ab"})
     pearson = [F.when(F.count(f"a_{m}") >= least, correlation(f"a_{m}", f"b_{m}")).alias(f"p_{m}") for m in pool]
@@ -83,7 +84,7 @@ def compare_to_pool(df: DataFrame, candidate: str, pool: list[str], forward: str
     added = pool_by_date(rows, candidate, pool, forward, least).agg(
         *[enough(c).alias(c) for c in POOLED], enough(F.col("r2_after") - F.col("r2_before")).alias("r2_delta"), F.count("residual_ic").alias("dates"), F.count("r2_before").alias("r2_dates"),
     )
-    return redundancy.crossJoin(added)  # one row each
+    return redundancy.withColumn("one_", F.lit(1)).join(added.withColumn("one_", F.lit(1)), "one_").drop("one_")  # one row each
 
 
 def backtest_pair(df: DataFrame, before: str, after: str, signal_lag: int = 1, cost_rate: float = 0.0004) -> DataFrame:
@@ -121,13 +122,14 @@ def robustness(df: DataFrame, factor: str, forward: str, regimes: dict[str, Colu
     over fewer than `least_dates` dates is null.
     """
     regimes, scores = regimes or {}, scores or {}
-    rows = df.withColumns({f"late{k}": lag(factor, k) for k in delays}).where(F.col(forward).isNotNull())
+    # all slices and the cuts between them come from these rows, which are worked out once
+    rows = cut(df.withColumns({f"late{k}": lag(factor, k) for k in delays}).where(F.col(forward).isNotNull()))
     # medians, quantiles and the values left out: one row of a few numbers
-    cuts = rows.agg(
+    cuts = rows.agg(F.struct(
         *[F.percentile(s, F.lit(0.5)).alias(f"m_{i}") for i, s in enumerate(scores.values())], F.percentile(F.abs(factor), F.lit(0.05)).alias("low_"), F.percentile(F.abs(factor), F.lit(0.95)).alias("high_"),
         *([F.collect_set(leave_out).alias("values_")] if leave_out else []),
-    )
-    rows = rows.crossJoin(F.broadcast(cuts))
+    )).scalar()
+    rows = rows.withColumn("cut_", cuts).select("*", "cut_.*")
     own = lambda name, there, x=factor: F.struct(F.lit(name).alias("slice"), F.when(there, F.col(x)).alias("x"))
     cells = [own("base", F.lit(True)), *(own(f"regime:{r}", c) for r, c in regimes.items())]
     for i, (name, s) in enumerate(scores.items()):

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import dates, percent_rank
+from barloom.session import cut
 
 # ---- sparse index tracking
 
@@ -66,7 +67,7 @@ def lasso_track(df: DataFrame, index: DataFrame, lookback: int = 120, alpha: flo
     days = days.withColumn("run", F.floor((F.sum(F.col("solve").cast("int")).over(dates()) - 1) / SOLVES))
     runs = days.where("solve").groupBy("run").agg((F.min("t") - lookback).alias("a"), F.max("t").alias("b"), F.sort_array(F.collect_list("t")).alias("solves"))
     times = runs.select("run", "solves", F.explode(F.sequence(F.greatest("a", F.lit(0)), F.col("b"))).alias("t"))
-    rows = days.join(df.select("symbol", "eob", "ret"), "eob").select("symbol", "eob", "t", "ret", "index_")
+    rows = cut(days.join(df.select("symbol", "eob", "ret"), "eob").select("symbol", "eob", "t", "ret", "index_"))
     dealt = rows.join(times, "t").select("run", "solves", "symbol", "t", "ret", "index_")
 
     def solved(part: pa.Table) -> pa.Table:
@@ -196,7 +197,7 @@ def expanding_components(df: DataFrame, features: list[str], label: str, least:
     unknown = set(models) - {*LINEAR, "rf", "gbt"}
     if unknown or not models:
         raise ValueError(f"unknown models: {sorted(unknown)}" if unknown else "no models asked for")
-    rows = df.dropna(subset=features)
+    rows = cut(df.select("symbol", "eob", *features, label).dropna(subset=features))  # the sums, the folds and the scores read these rows
     calendar = fold_calendar(rows, label, least, step, purge)
     sums = fold_sums(rows, features, label, calendar)
     wide, kinds = len(features) + 2, [m for m in models if m in LINEAR]
@@ -242,6 +243,7 @@ def expanding_components(df: DataFrame, features: list[str], label: str, least:
 def score_metrics(scored: DataFrame, labels: DataFrame, label: str, by: tuple[str, ...] = ("model",)) -> DataFrame:
     """Mean squared error, its root, r2 over the labelled rows, and the mean of the daily rank correlations, of each group of scores."""
     both = scored.join(labels.select("symbol", "eob", F.col(label).alias("y_")), ["symbol", "eob"]).where("y_ IS NOT NULL AND score IS NOT NULL")
+    both = cut(both.select(*by, "eob", "score", "y_"))  # errors and ranks
     off = F.col("score") - F.col("y_")
     errors = both.groupBy(*by).agg(
         F.avg(off * off).alias("mse"), F.sqrt(F.avg(off * off)).alias("rmse"), F.when(F.var_pop("y_") > 0, 1 - F.avg(off * off) / F.var_pop("y_")).alias("r2"), F.count("*").alias("n"),

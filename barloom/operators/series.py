@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.windows import series
 from barloom.operators.diagnostics import adf, kpss
+from barloom.session import cut
 
 #: The density's grid, -5 to 5 in deviations, and the bins between two of its points.
 GRID, FINE = 1000, 8
@@ -55,7 +56,7 @@ def density_shapes(df: DataFrame, x: str = "close", lags: tuple[int, ...] = tupl
     is a few thousand numbers when its density is taken. Prices that are null or not positive are left out first; a
     (symbol, lag) of fewer than two returns or without spread gives no row.
     """
-    rows = df.where(F.col(x) > 0).select("symbol", "eob", F.log(x).alias("p"))
+    rows = cut(df.where(F.col(x) > 0).select("symbol", "eob", F.log(x).alias("p")))  # moments first, then places by them
     rows = rows.withColumns({f"r{k}": F.col("p") - F.lag("p", k).over(series()) for k in lags})
     returns = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("r")) for k in lags])
     long = rows.select("symbol", F.explode(returns).alias("v")).select("symbol", "v.lag", "v.r").where("r IS NOT NULL")
@@ -158,7 +159,7 @@ def recent_windows(df: DataFrame, windows: tuple[int, ...] = (20, 40, 60), x: st
     held = F.filter(F.array(*map(F.lit, windows)), lambda w: (w >= F.col("back")) & ((w <= F.col("all")) if by_year else F.lit(True)))
     name = F.concat_ws("\u0001", F.col("window").cast("string"), F.coalesce(F.col("year").cast("string"), F.lit("")), "symbol")
     rows = rows.select("symbol", "year", "eob", x, F.explode(held).alias("window")).select(name.alias("symbol"), "eob", x)
-    memory = None
+    rows, memory = cut(rows), None  # each test reads these rows
     for w in windows:  # the lags depend on the window; each branch reads its own rows alone
         some = hurst(rows.where(F.col("symbol").startswith(f"{w}\u0001")), x, max(5, w // 6), min(max(10, w // 3), w // 2)).select("symbol", "hurst")
         memory = some if memory is None else memory.unionByName(some)
