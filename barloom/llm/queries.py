@@ -11,14 +11,20 @@ from barloom.llm.common import held_out, table
 
 
 def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text. Null and empty texts have the empty fingerprint; rows that repeat
+    an id follow each other by a hash of their text; null ids come last; an empty table gives no rows."""
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
 def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shard and a place for every row. Null texts stand with the empty ones; equal texts share a shard; rows that repeat
+    have a place each; an empty table gives no rows."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests read back from every formatted conversation and from one that quotes control strings. Null roles and texts are
+    empty; a null conv_id is a conversation of its own; rows of one turn go by role and text; an empty table leaves the one."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -26,14 +32,19 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text. Null and empty texts have none; rows that repeat are counted each; an empty table gives no rows."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence and an offset for every piece of every text. Null and empty texts are their end token; rows that repeat are
+    packed each; a null id is kept; an empty table gives no rows."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every text, empty and null ones too, from a model fitted outside the held-out fold. Rows that repeat
+    are scored each; a null id is kept; labels of no document do not count; an empty table gives no rows."""
     documents = table(spark, sf_dir, "documents")
     model = quality.fit(documents, table(spark, sf_dir, "labels"))
     scored = quality.score(documents, model)
@@ -41,14 +52,20 @@ def op2_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it holds. Null and empty texts on either side hold nothing; rows of one id
+    are taken together; an empty table gives no rows."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every text. Null and empty texts have none; rows that repeat are searched each; a null id is
+    kept; an empty table gives no rows."""
     return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
 
 
 def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every text and its offending spans, from a model fitted outside the held-out fold. Empty and null texts
+    are scored without spans; rows that repeat are scored each; an empty table gives no rows."""
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
     scored = toxicity.score(documents, model)
@@ -56,6 +73,8 @@ def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and near-copy class of every row. Null texts and texts without words link with nothing; equal rows share a
+    class; a null id never names one; an empty table gives no rows."""
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
