@@ -19,27 +19,42 @@ LEAST_QUALITY = 0.5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the attention classifier accepts; it is fitted on labelled documents of the stage's input."""
+    """Documents that the attention classifier accepts; it is fitted on labelled documents of the stage's input.
+
+    Null and empty texts are scored as any other; rows that repeat are judged each; an empty table stays empty.
+    """
     return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")), LEAST_QUALITY)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies.
+
+    Texts without words all stay, null ones included; of equal rows one stays; an empty table stays empty.
+    """
     return jaccard_join.without_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts stay; a row goes by its own text, whatever its id; an empty table stays empty.
+    """
     return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind, and n_chars of the new text.
+
+    Null texts stay null; rows that repeat stay each; an empty table stays empty.
+    """
     return pii.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 tokens, with the ids of every piece."""
+    """Token sequences of at most 2048 tokens, with the ids of every piece.
+
+    Null and empty texts are their end token; rows that repeat are packed each; an empty table gives no rows.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
