@@ -74,7 +74,7 @@ def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and near-copy class of every row. Null texts and texts without words link with nothing; equal rows share a
-    class; a null id never names one; an empty table gives no rows."""
+    class; rows with a null id have none; an empty table gives no rows."""
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
