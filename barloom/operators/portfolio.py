@@ -157,6 +157,33 @@ def walked(rows: DataFrame, machine: Callable[[], Callable[..., float]], columns
     return ordered.mapInArrow(run, f"symbol string, eob {dict(rows.dtypes)['eob']}, {out} double")
 
 
+def walked_grid(rows: DataFrame, machines: dict[str, tuple[Callable[[], Callable[..., float]], tuple[str, ...]]], out: str = "weight") -> DataFrame:
+    """config, symbol, eob and the state of each of many machines, which all walk a symbol's rows in one pass.
+
+    machines: name -> (a machine's maker, its columns). The columns that machines share are there once; a task
+    streams its sorted symbols and holds one batch and one state a machine.
+    """
+    columns = sorted({c for _, own in machines.values() for c in own})
+    places = {name: [columns.index(c) for c in own] for name, (_, own) in machines.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol, steps = None, {}
+        for batch in batches:
+            names, values = batch.column("symbol").to_pylist(), [batch.column(c).to_pylist() for c in columns]
+            states: dict[str, list[float]] = {name: [] for name in machines}
+            for i, own in enumerate(names):
+                if not steps or own != symbol:
+                    symbol, steps = own, {name: make() for name, (make, _) in machines.items()}
+                row = [v[i] for v in values]
+                for name, step in steps.items():
+                    states[name].append(step(*[row[p] for p in places[name]]))
+            for name, made in states.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(made), pa.string()), batch.column("symbol"), batch.column("eob"), pa.array(made, pa.float64())], ["config", "symbol", "eob", out])
+
+    ordered = rows.select("symbol", "eob", *columns).repartition("symbol").sortWithinPartitions("symbol", "eob")
+    return ordered.mapInArrow(run, f"config string, symbol string, eob {dict(rows.dtypes)['eob']}, {out} double")
+
+
 def reversion_stop(df: DataFrame, ma: int = 10, span: int = 14, multiplier: float = 2.0) -> DataFrame:
     """Position of a reversion rule: long below the mean, out at a stop under the high-water mark of close and high that only rises.
 

@@ -160,16 +160,8 @@ def _prior(fn: Callable[[str], Column], n: int) -> Column:
     return F.when(F.count("close").over(past) >= n, fn("close").over(past))
 
 
-def donchian_weights(df: DataFrame, entry: int = 20, leave: int = 10, span: int = 14, multiplier: float = 2.0, target: float = 0.15, lookback: int = 20, sizing: str = "target_vol") -> DataFrame:
-    """In above the highest close of `entry` bars; out below the lowest of `leave` bars or a stop that only rises.
-
-    A position is 1 (`fixed`) or what brings it to the `target` volatility. A row whose close is null or not positive keeps
-    the position and the stop as they were.
-    """
-    if sizing not in ("fixed", "target_vol"):
-        raise ValueError(f"unknown sizing: {sizing}")
-    step, exposure = target_exposure(target, lookback)
-    rows = _range(df, span).withColumns(step).withColumns({"upper_": _prior(F.max, entry), "lower_": _prior(F.min, leave), "share_": exposure if sizing == "target_vol" else F.lit(1.0)})
+def channel_machine(multiplier: float) -> Callable[[], Callable[..., float]]:
+    """Positions between a channel and a stop that only rises, from close, channel, range and share at each row."""
 
     def machine() -> Callable[..., float]:
         held, mark, stop, last = False, 0.0, 0.0, 0.0
@@ -192,7 +184,21 @@ def donchian_weights(df: DataFrame, entry: int = 20, leave: int = 10, span: int
 
         return walk
 
-    return walked(rows, machine, ("close", "upper_", "lower_", "range_", "share_"))
+    return machine
+
+
+def donchian_weights(df: DataFrame, entry: int = 20, leave: int = 10, span: int = 14, multiplier: float = 2.0, target: float = 0.15, lookback: int = 20, sizing: str = "target_vol") -> DataFrame:
+    """In above the highest close of `entry` bars; out below the lowest of `leave` bars or a stop that only rises.
+
+    A position is 1 (`fixed`) or what brings it to the `target` volatility. A row whose close is null or not positive keeps
+    the position and the stop as they were.
+    """
+    if sizing not in ("fixed", "target_vol"):
+        raise ValueError(f"unknown sizing: {sizing}")
+    step, exposure = target_exposure(target, lookback)
+    rows = _range(df, span).withColumns(step).withColumns({"upper_": _prior(F.max, entry), "lower_": _prior(F.min, leave), "share_": exposure if sizing == "target_vol" else F.lit(1.0)})
+
+    return walked(rows, channel_machine(multiplier), ("close", "upper_", "lower_", "range_", "share_"))
 
 
 def trend_weights(df: DataFrame, fast: int = 10, slow: int = 20, trend: int = 40, slope: int = 5, breakout: int = 20, leave: int = 10, span: int = 14,
@@ -279,24 +285,8 @@ def vol_recovery_weights(df: DataFrame, family: str = "target_vol", trend: int =
     return walked(rows, machine, ("close", "fast_", "slow_", "trend_", "upper_", "share_", "up_"))
 
 
-def core_satellite_weights(df: DataFrame, core: float = 1.0, oversold: float = 1.5, defensive: float = 0.0, rsi: int = 14, rsi_below: float = 35.0, mean: int = 20, trend: int = 120,
-                           slope: int = 20, profit: float = 0.07, stop: float = 0.07, longest: int = 10, recovery: float = 0.03, cooldown: int = 5,
-                           low: int = 60, distance: float = 0.13, drop: float = 0.05, longest_defence: int = 10) -> DataFrame:
-    """A core that stays, a satellite at an oversold first crossing under a rising trend, and a defence when the price runs far from its low.
-
-    The defence goes before the satellite. A satellite closed by its stop opens again once a cooldown is over
-    and the price recovered while the pullback lasts. Crossings are windows; the machine sees only flags. A row whose
-    close is null or not positive keeps the state it meets.
-    """
-    step = {"d_": F.col("close") - lag("close")}
-    gains = {"g_": rolling(F.avg, F.greatest("d_", F.when(F.col("d_").isNotNull(), 0.0)), rsi), "l_": rolling(F.avg, F.greatest(-F.col("d_"), F.when(F.col("d_").isNotNull(), 0.0)), rsi)}
-    levels = {"mean_": rolling(F.avg, "close", mean), "trend_": rolling(F.avg, "close", trend), "low_": rolling(F.min, "close", low)}
-    strength = F.coalesce(100 - 100 / (1 + F.try_divide("g_", "l_")), F.lit(50.0))
-    rows = df.withColumns(step).withColumns(gains | levels)
-    rows = rows.withColumn("pull_", F.coalesce((F.col("close") < F.col("trend_")) & (F.col("trend_") > lag("trend_", slope)), F.lit(False)))
-    rows = rows.withColumns({"o_": (strength <= rsi_below) & F.col("pull_"), "f_": F.coalesce(F.try_divide("close", "low_") - 1 >= distance, F.lit(False))})
-    crossed = lambda x: F.col(x) & ~F.coalesce(lag(x), F.lit(False))
-    rows = rows.withColumns({"oc_": crossed("o_"), "fc_": crossed("f_")})
+def satellite_machine(core: float, oversold: float, defensive: float, profit: float, stop: float, longest: int, recovery: float, cooldown: int, drop: float, longest_defence: int) -> Callable[[], Callable[..., float]]:
+    """Exposures of the core, the satellite and the defence, from close, mean, pullback and the two crossings at each row."""
 
     def machine() -> Callable[..., float]:
         at, guard, satellite, stopped = -1, None, None, None  # each: the bar and the price it began with
@@ -327,6 +317,29 @@ def core_satellite_weights(df: DataFrame, core: float = 1.0, oversold: float = 1
 
         return walk
 
+    return machine
+
+
+def core_satellite_weights(df: DataFrame, core: float = 1.0, oversold: float = 1.5, defensive: float = 0.0, rsi: int = 14, rsi_below: float = 35.0, mean: int = 20, trend: int = 120,
+                           slope: int = 20, profit: float = 0.07, stop: float = 0.07, longest: int = 10, recovery: float = 0.03, cooldown: int = 5,
+                           low: int = 60, distance: float = 0.13, drop: float = 0.05, longest_defence: int = 10) -> DataFrame:
+    """A core that stays, a satellite at an oversold first crossing under a rising trend, and a defence when the price runs far from its low.
+
+    The defence goes before the satellite. A satellite closed by its stop opens again once a cooldown is over
+    and the price recovered while the pullback lasts. Crossings are windows; the machine sees only flags. A row whose
+    close is null or not positive keeps the state it meets.
+    """
+    step = {"d_": F.col("close") - lag("close")}
+    gains = {"g_": rolling(F.avg, F.greatest("d_", F.when(F.col("d_").isNotNull(), 0.0)), rsi), "l_": rolling(F.avg, F.greatest(-F.col("d_"), F.when(F.col("d_").isNotNull(), 0.0)), rsi)}
+    levels = {"mean_": rolling(F.avg, "close", mean), "trend_": rolling(F.avg, "close", trend), "low_": rolling(F.min, "close", low)}
+    strength = F.coalesce(100 - 100 / (1 + F.try_divide("g_", "l_")), F.lit(50.0))
+    rows = df.withColumns(step).withColumns(gains | levels)
+    rows = rows.withColumn("pull_", F.coalesce((F.col("close") < F.col("trend_")) & (F.col("trend_") > lag("trend_", slope)), F.lit(False)))
+    rows = rows.withColumns({"o_": (strength <= rsi_below) & F.col("pull_"), "f_": F.coalesce(F.try_divide("close", "low_") - 1 >= distance, F.lit(False))})
+    crossed = lambda x: F.col(x) & ~F.coalesce(lag(x), F.lit(False))
+    rows = rows.withColumns({"oc_": crossed("o_"), "fc_": crossed("f_")})
+
+    machine = satellite_machine(core, oversold, defensive, profit, stop, longest, recovery, cooldown, drop, longest_defence)
     return walked(rows, machine, ("close", "mean_", "pull_", "oc_", "fc_"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.windows import change, percent_rank
 from barloom.operators import cross_section as cs
+from barloom.operators import grids as gr
 from barloom.operators import models as md
 from barloom.plans.panel_queries import FACTORS, rounded, week
 from barloom.sources import panels
@@ -72,3 +73,19 @@ def boosted_barriers(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def learned_ranks(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(md.learned_factor(ranked(spark, folder), FACTORS, "label", rounds=8), 4)
+
+
+@query
+def channel_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight settings of the channel rule over all brands' weeks, ranked within the sample."""
+    bars = panels.brand_bars(spark, folder)
+    weights = gr.channel_grid(bars, (10, 20), (5, 15), (14,), (2.0, 3.0))
+    return rounded(gr.rank_in_sample(gr.grid_figures(bars, weights)), 5)
+
+
+@query
+def satellite_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen settings of the core and satellite rule, ranked within the sample."""
+    bars = panels.brand_bars(spark, folder)
+    weights = gr.satellite_grid(bars, (0.2, 0.3), (0.0,), (5, 10), (35.0, 45.0), (1.5,), (0.07,), (0.05, 0.1), (10,), trend=40, slope=5, low=20)
+    return rounded(gr.rank_in_sample(gr.grid_figures(bars, weights)), 5)
