@@ -18,8 +18,8 @@ from barloom.llm.common import slices, small_batches
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Documents, and bytes of text, that one packing task gets on average: enough that its last open sequences hardly count, and few enough for any executor.
 GROUP_ROWS, GROUP_BYTES = 4096, 16 << 20
-#: Words whose ids a task keeps.
-CACHE_WORDS = 100_000
+#: Words whose ids a Python worker keeps, about 50 MB of them, and bytes of text that it encodes at once.
+CACHE_WORDS, TEXT_BYTES = 300_000, 1 << 20
 #: Texts on which a tokenizer's whole encoding must equal that of its words, else it is refused.
 PROBES = ("Plain words, and one.Two!", "CAPITALS Mixed 12 3.5 don't (x) a-b", "naïve café ß Ωmega 🎉 東京", "tabs\tand\nlines  twice ", "")
 #: Lower-case words that are one word for the tokenizer however they stand: its normaliser leaves them as they are.
@@ -113,7 +113,7 @@ def pieces_of(path: str, size: int, end_id: int, with_ids: bool) -> Callable[[It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 ids, offsets = words.encode(part.column("text"))
                 lengths = np.diff(offsets) + 1
                 cuts = -(-lengths // size)
