@@ -18,7 +18,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import dates, percent_rank
@@ -319,7 +319,7 @@ def learned_factor(df: DataFrame, features: list[str], label: str, train_share:
     Fixed (`window` None): trained once on the first `train_share` of the dates. Rolling: before every `step` test
     dates on the last `window` dates. The last `purge` dates before a test are left out, as their labels reach into it.
     """
-    rows = assembled(df.dropna(subset=features), features)
+    rows = assembled(cut(df.select("symbol", "eob", *features, label).dropna(subset=features)), features)  # every fold reads them
     days = rows.select("eob").distinct().withColumn("place", F.row_number().over(dates()) - 1)
     n, out = days.count(), None
     first = int(n * train_share) if window is None else window
@@ -363,8 +363,3 @@ def predicted(model: PipelineModel, rows: DataFrame, features: list[str]) -> Dat
     """The rows whose features are all there, with the model's prediction."""
     whole = rows.dropna(subset=features)
     return model.transform(assembled(whole, features)).drop("features", "rawPrediction", "probability")
-
-
-def in_train(at: Column, split: str) -> Column:
-    """Whether a date lies before the split."""
-    return at < F.lit(split).cast("timestamp_ntz")

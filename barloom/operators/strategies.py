@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.windows import average_rank, by_date, change, correlation, dates, dates_prefix, first_rank, lag, ratio, rolling, smoothed
 from barloom.operators.cross_section import quantile_groups
-from barloom.operators.portfolio import YEAR, breadth, volatility_target, walked
+from barloom.operators.portfolio import YEAR, breadth, told, volatility_target, walked
 
 
 def scaled(df: DataFrame, scale: DataFrame, weight: str = "weight") -> DataFrame:
@@ -285,50 +285,61 @@ def vol_recovery_weights(df: DataFrame, family: str = "target_vol", trend: int =
     return walked(rows, machine, ("close", "fast_", "slow_", "trend_", "upper_", "share_", "up_"))
 
 
-def satellite_machine(core: float, oversold: float, defensive: float, profit: float, stop: float, longest: int, recovery: float, cooldown: int, drop: float, longest_defence: int) -> Callable[[], Callable[..., float]]:
-    """Exposures of the core, the satellite and the defence, from close, mean, pullback and the two crossings at each row."""
+def satellite_machine(core: float, oversold: float, defensive: float, profit: float, stop: float, longest: int, recovery: float, cooldown: int, drop: float, longest_defence: int, told: bool = False) -> Callable[[], Callable[..., float | tuple]]:
+    """Exposures of the core, the satellite and the defence, from close, mean, pullback and the two crossings at each row; if `told`, with the state's name and what happened."""
 
-    def machine() -> Callable[..., float]:
+    def machine() -> Callable[..., float | tuple]:
         at, guard, satellite, stopped = -1, None, None, None  # each: the bar and the price it began with
 
-        def walk(price, mean_, pull, oversold_, far) -> float:
+        def left(price: float, mean_: float | None) -> str | None:
+            """Why the satellite closes, if it does."""
+            gain = price / satellite[1] - 1
+            if gain >= profit:
+                return "take_profit"
+            if gain <= -stop:
+                return "stop"
+            if at - satellite[0] >= longest:
+                return "time"
+            return "mean" if mean_ is not None and price >= mean_ else None
+
+        def walk(price, mean_, pull, oversold_, far) -> float | tuple:
             nonlocal at, guard, satellite, stopped
-            at += 1
-            if price is None or not price > 0:
-                return defensive if guard else oversold if satellite else core
-            if guard and (price <= guard[1] * (1 - drop) or at - guard[0] >= longest_defence):
-                guard = None
-            if satellite:
-                gain = price / satellite[1] - 1
-                lost = gain <= -stop
-                if lost or gain >= profit or at - satellite[0] >= longest or (mean_ is not None and price >= mean_):
-                    satellite, stopped = None, (at, price) if lost else stopped
-            if not guard and far:
-                guard, satellite = (at, price), None
-            elif not guard and not satellite:
-                if stopped:
-                    if not pull:
-                        stopped = None
-                    elif at - stopped[0] >= cooldown and price >= stopped[1] * (1 + recovery):
-                        satellite, stopped = (at, price), None
-                elif oversold_:
-                    satellite = (at, price)
-            return defensive if guard else oversold if satellite else core
+            at, events = at + 1, []
+            if price is not None and price > 0:
+                if guard:
+                    fell = price <= guard[1] * (1 - drop)
+                    if fell or at - guard[0] >= longest_defence:
+                        guard = None
+                        events.append("defensive_exit_pullback" if fell else "defensive_exit_time")
+                why = left(price, mean_) if satellite else None
+                if why:
+                    satellite, stopped = None, (at, price) if why == "stop" else stopped
+                    events.append(f"oversold_exit_{why}")
+                if not guard and far:
+                    guard, satellite = (at, price), None
+                    events.append("defensive_entry")
+                elif not guard and not satellite:
+                    if stopped:
+                        if not pull:
+                            stopped = None
+                        elif at - stopped[0] >= cooldown and price >= stopped[1] * (1 + recovery):
+                            satellite, stopped = (at, price), None
+                            events.append("oversold_reentry_recovery")
+                    elif oversold_:
+                        satellite = (at, price)
+                        events.append("oversold_entry")
+            weight = defensive if guard else oversold if satellite else core
+            if not told:
+                return weight
+            return weight, "defensive" if guard else "oversold_satellite" if satellite else "recovery_wait" if stopped else "core", "|".join(events)
 
         return walk
 
     return machine
 
 
-def core_satellite_weights(df: DataFrame, core: float = 1.0, oversold: float = 1.5, defensive: float = 0.0, rsi: int = 14, rsi_below: float = 35.0, mean: int = 20, trend: int = 120,
-                           slope: int = 20, profit: float = 0.07, stop: float = 0.07, longest: int = 10, recovery: float = 0.03, cooldown: int = 5,
-                           low: int = 60, distance: float = 0.13, drop: float = 0.05, longest_defence: int = 10) -> DataFrame:
-    """A core that stays, a satellite at an oversold first crossing under a rising trend, and a defence when the price runs far from its low.
-
-    The defence goes before the satellite. A satellite closed by its stop opens again once a cooldown is over
-    and the price recovered while the pullback lasts. Crossings are windows; the machine sees only flags. A row whose
-    close is null or not positive keeps the state it meets.
-    """
+def _crossings(df: DataFrame, rsi: int, rsi_below: float, mean: int, trend: int, slope: int, low: int, distance: float) -> DataFrame:
+    """The rows with the mean, whether the price pulls back under a rising trend, and the first rows that are oversold there or far from the low."""
     step = {"d_": F.col("close") - lag("close")}
     gains = {"g_": rolling(F.avg, F.greatest("d_", F.when(F.col("d_").isNotNull(), 0.0)), rsi), "l_": rolling(F.avg, F.greatest(-F.col("d_"), F.when(F.col("d_").isNotNull(), 0.0)), rsi)}
     levels = {"mean_": rolling(F.avg, "close", mean), "trend_": rolling(F.avg, "close", trend), "low_": rolling(F.min, "close", low)}
@@ -338,11 +349,31 @@ def core_satellite_weights(df: DataFrame, core: float = 1.0, oversold: float = 1
     rows = rows.withColumns({"o_": (strength <= rsi_below) & F.col("pull_"), "f_": F.coalesce(F.try_divide("close", "low_") - 1 >= distance, F.lit(False))})
     crossed = lambda x: F.col(x) & ~F.coalesce(lag(x), F.lit(False))
     rows = rows.withColumns({"oc_": crossed("o_"), "fc_": crossed("f_")})
+    return rows
 
+
+def core_satellite_weights(df: DataFrame, core: float = 1.0, oversold: float = 1.5, defensive: float = 0.0, rsi: int = 14, rsi_below: float = 35.0, mean: int = 20, trend: int = 120,
+                           slope: int = 20, profit: float = 0.07, stop: float = 0.07, longest: int = 10, recovery: float = 0.03, cooldown: int = 5,
+                           low: int = 60, distance: float = 0.13, drop: float = 0.05, longest_defence: int = 10) -> DataFrame:
+    """A core that stays, a satellite at an oversold first crossing under a rising trend, and a defence when the price runs far from its low.
+
+    The defence goes before the satellite. A satellite closed by its stop opens again once a cooldown is over
+    and the price recovered while the pullback lasts. Crossings are windows; the machine sees only flags. A row whose
+    close is null or not positive keeps the state it meets.
+    """
+    rows = _crossings(df, rsi, rsi_below, mean, trend, slope, low, distance)
     machine = satellite_machine(core, oversold, defensive, profit, stop, longest, recovery, cooldown, drop, longest_defence)
     return walked(rows, machine, ("close", "mean_", "pull_", "oc_", "fc_"))
 
 
+def core_satellite_states(df: DataFrame, core: float = 1.0, oversold: float = 1.5, defensive: float = 0.0, rsi: int = 14, rsi_below: float = 35.0, mean: int = 20, trend: int = 120, slope: int = 20, profit: float = 0.07, stop: float = 0.07,
+                          longest: int = 10, recovery: float = 0.03, cooldown: int = 5, low: int = 60, distance: float = 0.13, drop: float = 0.05, longest_defence: int = 10) -> DataFrame:
+    """The same rule told row by row: symbol, eob, weight, state (core, oversold_satellite, recovery_wait, defensive) and the events of the row, joined by |."""
+    machine = satellite_machine(core, oversold, defensive, profit, stop, longest, recovery, cooldown, drop, longest_defence, told=True)
+    rows = _crossings(df, rsi, rsi_below, mean, trend, slope, low, distance)
+    return told(rows, machine, ("close", "mean_", "pull_", "oc_", "fc_"), ("state", "event"))
+
+
 # ---- several strategies: rows of strategy, eob, ret
 
 

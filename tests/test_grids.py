@@ -70,3 +70,56 @@ def test_figures_and_ranks(bars):
     score = sum(frame[c].rank(pct=True).fillna(0.0) * w for c, w in gr.RANKED.items())
     assert not ranked["idle"]["eligible"] and ranked["idle"]["score"] is None and ranked["idle"]["place"] == 3
     assert all(abs(ranked[n]["score"] - score[n]) < 1e-12 for n in got if n != "idle")
+
+
+def test_states_and_events_tell_the_weights(bars):
+    args = dict(rsi_below=45.0, trend=40, slope=5, profit=0.05, stop=0.03, longest=10, low=30, distance=0.12, longest_defence=8, cooldown=2, recovery=0.01, defensive=0.25)
+    rows = st.core_satellite_states(bars, **args).orderBy("symbol", "eob").collect()
+    weights = of(st.core_satellite_weights(bars, **args))
+    assert {(r["symbol"], r["eob"]): r["weight"] for r in rows} == weights
+    assert {r["state"] for r in rows} >= {"core", "defensive", "oversold_satellite"}
+    worth = {"core": 1.0, "recovery_wait": 1.0, "defensive": 0.25, "oversold_satellite": 1.5}
+    before = {}
+    for r in rows:
+        assert r["weight"] == worth[r["state"]]
+        was, events = before.get(r["symbol"], "core"), [e for e in r["event"].split("|") if e]
+        if "defensive_entry" in events:
+            assert r["state"] == "defensive"
+        elif {"oversold_entry", "oversold_reentry_recovery"} & set(events):
+            assert r["state"] == "oversold_satellite"
+        if not events and was != r["state"]:
+            assert (was, r["state"]) == ("recovery_wait", "core")  # the pullback ended
+        if was == "defensive" and r["state"] != "defensive":
+            assert events[0].startswith("defensive_exit_")
+        if was == "oversold_satellite" and r["state"] in ("core", "recovery_wait"):
+            assert any(e.startswith("oversold_exit_") for e in events)
+        before[r["symbol"]] = r["state"]
+
+
+def test_controls_steps_and_frames(bars):
+    from barloom.operators import signals as sg
+
+    assert [sg.rebalance_step(x) for x in ("d", "W", "M", "7", 3)] == [1, 5, 22, 7, 3]
+    for bad in ("x", 0, "-1", "1.5"):
+        with pytest.raises(ValueError):
+            sg.rebalance_step(bad)
+    book = bars.withColumn("weight", F.lit(0.5))
+    twice = sg.controlled(book, [("universe_vol_exposure", {"window": 5, "span": 30, "least": 5, "gross": 0.6}), ("universe_vol_exposure", {"window": 5, "span": 30, "least": 5, "gross": 0.3})]).collect()
+    assert {round(r["weight"], 9) for r in twice} == {0.5, 0.15} and all((r["weight"] < 0.5) == (r["active_0"] and r["active_1"]) for r in twice)
+    with pytest.raises(ValueError):
+        sg.controlled(book, [("unknown", {})]).count()
+    with pytest.raises(ValueError):
+        sg.factor_frame(bars, {"x": ("unknown", {})})
+    assert {r["dates"] for r in sg.weight_counts(book).collect()} == {400}
+
+
+def test_a_report_says_what_fails(bars):
+    from barloom.functions.windows import lead, ratio
+    from barloom.operators import signals as sg
+
+    tree = {"op": "-", "args": [{"field": "close"}, {"call": "lag", "args": [{"field": "close"}], "n": 2}]}
+    rows = {(r["part"], r["name"]): r for r in sg.factor_report(bars, tree, ratio(lead("close", 2), lead("close", 1)) - 1, [day(100), day(300)], least=2).collect()}
+    assert rows["formula", "nodes"]["passed"] and rows["causality", "2020-04-10 00:00:00"]["passed"] and rows["panel", "unique_keys"]["passed"]
+    assert ("ic", "ic_mean") in rows and ("slice", "base") in rows and abs(rows["ic", "ic_mean"]["value"] - rows["slice", "base"]["value"]) < 1e-12
+    bad = {(r["part"], r["name"]): r for r in sg.preflight(bars.union(bars.limit(1)), {"call": "lead", "args": [{"field": "close"}], "n": 2}).collect()}
+    assert not bad["panel", "unique_keys"]["passed"] and not next(r for (p, _), r in bad.items() if p == "formula")["passed"]
