@@ -288,22 +288,28 @@ def assembled(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
 
 
+#: Rows that a partition of the boosted classifiers' training rows has, about.
+TRAIN_ROWS = 250_000
+
+
 def barrier_weights(df: DataFrame, features: list[str], label: str, split: str, purge: int = 5, threshold: float = 0.15, rounds: int = 50, seed: int = 7) -> DataFrame:
     """Weights 1, -1 or 0 on the dates from `split` on, by the chance of an upper barrier less that of a lower one.
 
     Two boosted classifiers (a label of 1 against others, and -1 against others) are trained on the rows before
     `split` but the last `purge` dates, whose labels reach beyond it. Labels are -1, 0 or 1; both outer ones must occur, rows
-    with a missing feature take no part. Returns symbol, eob, up, down, weight.
+    with a missing feature take no part. `df` is worked out once. Returns symbol, eob, up, down, weight.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
-    rows = assembled(df.dropna(subset=features), features)
+    rows = assembled(cut(df.select("symbol", "eob", *features, label).dropna(subset=features)), features)  # dates, labels, both models and the test read them
     before = F.col("eob") < F.lit(split).cast("timestamp_ntz")
     days = rows.where(before & F.col(label).isNotNull()).select("eob").distinct().withColumn("back", F.row_number().over(Window.orderBy(F.desc("eob")))).where(F.col("back") > purge)
-    train = rows.where(F.col(label).isNotNull()).join(days.select("eob"), "eob").select("features", F.col(label).cast("int").alias("y_"))
-    seen = {r["y_"] for r in train.select("y_").distinct().collect()}
-    if not {-1, 1} <= seen or seen - {-1, 0, 1}:
+    train = rows.where(F.col(label).isNotNull()).join(days.select("eob"), "eob").select("symbol", "eob", "features", F.col(label).cast("int").alias("y_"))
+    seen = {r["y_"]: r["count"] for r in train.groupBy("y_").count().collect()}
+    if not {-1, 1} <= seen.keys() or seen.keys() - {-1, 0, 1}:
         raise ValueError(f"labels -1 and 1 must occur before {split}, and none but -1, 0, 1: {sorted(seen)}")
+    # Spark ML draws a round's rows by partition and place: dealt by key and in order, they are the same whatever the cluster
+    train = train.repartition(8 + sum(seen.values()) // TRAIN_ROWS, "eob", "symbol").sortWithinPartitions("eob", "symbol")
     test = rows.where(~before).select("symbol", "eob", "features")
     for name, side in (("up", 1), ("down", -1)):
         machine = GBTClassifier(maxIter=rounds, maxDepth=2, stepSize=0.05, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed)

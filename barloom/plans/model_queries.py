@@ -65,8 +65,7 @@ def component_sweep(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def boosted_barriers(spark: SparkSession, folder: str) -> DataFrame:
     """Weights of boosted classifiers of the triple barrier over all brands' weeks, tested on the weeks from 1997 on."""
-    bars = cs.triple_barrier(panels.brand_bars(spark, folder), 0.1, 0.1, 5)
-    rows = bars.join(week(spark, folder).select("symbol", "eob", *FACTORS), ["symbol", "eob"])
+    rows = cs.triple_barrier(week(spark, folder), 0.1, 0.1, 5).dropna(subset=["symbol", "eob"])
     return rounded(md.barrier_weights(rows, FACTORS, "label", "1997-01-01", rounds=10), 4)
 
 

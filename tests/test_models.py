@@ -142,6 +142,22 @@ def test_barriers_are_learned_before_the_split_only(spark, panel):
         md.barrier_weights(rows.withColumn("label", F.lit(1)), ["a"], "label", "2020-02-10")
 
 
+def test_barriers_work_their_rows_out_once_and_do_not_depend_on_the_layout(spark, panel):
+    df, kept = panel
+    rows = df.withColumn("label", F.when(F.col("a") > 1, 1).when(F.col("b") < -1, -1).otherwise(0))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    weights = lambda d: {(q["symbol"], q["eob"]): (round(q["up"], 9), round(q["down"], 9), q["weight"]) for q in md.barrier_weights(d, ["a", "b"], "label", "2020-02-10", rounds=5).collect()}
+    got = weights(rows.mapInArrow(counted, rows.schema))
+    assert seen.value == len(kept) + 1  # with the row that misses a feature
+    assert got == weights(rows.orderBy(F.desc("symbol")).coalesce(1)) == weights(rows.repartition(7, "c"))
+
+
 def test_models_are_written_and_read_back(spark, panel, tmp_path):
     from barloom.sources import research_store
 

@@ -23,6 +23,10 @@ def test_sources_are_scanned_once(spark, name, scans, exchanges):
     assert got["scan"] <= scans and got["exchange"] <= exchanges, got
 
 
+def test_boosted_rows_come_from_one_reading(spark):
+    assert counts(QUERIES["boosted_barriers"](spark, FOLDER)) == {"scan": 0, "exchange": 0, "nested": 0}
+
+
 @pytest.mark.parametrize("name", ["backtest_daily", "coverage_gaps", "risk_parity"])
 def test_grids_need_no_nested_loops(spark, name):
     assert counts(QUERIES[name](spark, FOLDER))["nested"] == 0
